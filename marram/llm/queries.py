@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, quality
+from . import bpe, licences, quality, urls
 
 QUERIES = {
+    "op1_license_scans": licences.op1_license_scans,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_url_filters": urls.op5_url_filters,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
 #: The method of each operator goes beyond what SQL states, but for those listed here.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_license_scans": licences.OP1_SQL, "op5_url_filters": urls.OP5_SQL}
