@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, licences, quality, urls
+from . import bpe, language, licences, quality, urls, warc
 
 QUERIES = {
     "op1_license_scans": licences.op1_license_scans,
+    "op2_warc": warc.op2_warc,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_url_filters": urls.op5_url_filters,
+    "op8_language_id": language.op8_language_id,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
 #: The method of each operator goes beyond what SQL states, but for those listed here.
-ORACLES: dict[str, str] = {"op1_license_scans": licences.OP1_SQL, "op5_url_filters": urls.OP5_SQL}
+ORACLES: dict[str, str] = {"op1_license_scans": licences.OP1_SQL, "op2_warc": warc.OP2_SQL, "op5_url_filters": urls.OP5_SQL}
