@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language, licences, quality, urls, warc
+from . import bpe, language, licences, quality, similar, urls, warc
 
 QUERIES = {
     "op1_license_scans": licences.op1_license_scans,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_url_filters": urls.op5_url_filters,
     "op8_language_id": language.op8_language_id,
+    "op9_ngram_jaccard": similar.op9_ngram_jaccard,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
