@@ -74,7 +74,7 @@ _BASE = 0xD6E8FEB86659FD93
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64, ``n`` at least."""
     if len(_POWERS[0]) < n:
         size = max(n, 1 << 20)
@@ -105,7 +105,7 @@ class Words:
         if len(inside) and inside[0]:
             edges = np.concatenate(([0], edges))
         self.start, self.end = edges[0::2], edges[1::2]
-        up, down = _powers(len(self.raw) + 1)
+        up, down = powers(len(self.raw) + 1)
         total = np.concatenate(([np.uint64(0)], np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * up[: len(self.raw)], dtype=np.uint64)))
         self.hash = mix((total[self.end] - total[self.start]) * down[self.start])
         self.doc = np.searchsorted(self.offsets, self.start, "right") - 1
