@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are handled in chunks of about this many characters inside a task.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:

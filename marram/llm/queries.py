@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, language, licences, quality, similar, urls, warc
+from . import bpe, html, language, leaks, licences, quality, repeats, similar, urls, warc
 
 QUERIES = {
     "op1_license_scans": licences.op1_license_scans,
     "op2_warc": warc.op2_warc,
+    "op3_html_extraction": html.op3_html_extraction,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_url_filters": urls.op5_url_filters,
+    "op6_suffix_dedup": repeats.op6_suffix_dedup,
+    "op7_benchmark_decontamination": leaks.op7_benchmark_decontamination,
     "op8_language_id": language.op8_language_id,
     "op9_ngram_jaccard": similar.op9_ngram_jaccard,
     "op10_byte_bpe": bpe.op10_byte_bpe,

@@ -139,12 +139,13 @@ def _kept(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[bytes,
     return raw[~gone].tobytes(), int(gone.sum()), spans
 
 
-_FINAL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_FINAL = "doc_id long, tag long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+COLUMNS = ["doc_id", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
 
-def _final(doc_id, raw: np.ndarray, start, stop, with_bytes: bool) -> tuple:
+def _final(doc_id, tag, raw: np.ndarray, start, stop, with_bytes: bool) -> tuple:
     rest, removed, spans = _kept(raw, np.asarray(start, np.int64), np.asarray(stop, np.int64))
-    return doc_id, len(raw), removed, spans, hashlib.sha256(rest).hexdigest(), rest if with_bytes else None
+    return doc_id, tag, len(raw), removed, spans, hashlib.sha256(rest).hexdigest(), rest if with_bytes and removed else None
 
 
 def _numbers(lists) -> np.ndarray:
@@ -162,19 +163,19 @@ def answer(joined: DataFrame, with_bytes: bool) -> DataFrame:
                 done, still = _numbers(covered), _numbers(asked)
                 own = None if pd.isna(doc_id) else int(doc_id)
                 if not len(done) and not len(still):
-                    out.append((*_final(own, raw, [], [], with_bytes), tag, None, None, None))
+                    out.append((*_final(own, tag, raw, [], [], with_bytes), None, None, None))
                     continue
                 low, start, n, _ = anchors.runs(raw, offsets)
                 if not len(still):
-                    out.append((*_final(own, raw, start[done], start[done] + n[done], with_bytes), tag, None, None, None))
+                    out.append((*_final(own, tag, raw, start[done], start[done] + n[done], with_bytes), None, None, None))
                     continue
                 ranges = np.stack((start[done], start[done] + n[done])).astype("<i8").tobytes()
                 spans = [{"anchor": int(low[k].view(np.int64)), "start": int(start[k]), "span": raw[start[k] : start[k] + n[k] + anchors.WIDTH - 1].tobytes()} for k in still]
-                out.append((own, len(raw), 0, 0, None, None, tag, text, ranges, spans))
-            got = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "tag", "text", "ranges", "spans"])
+                out.append((own, tag, len(raw), 0, 0, None, None, text, ranges, spans))
+            got = pd.DataFrame(out, columns=[*COLUMNS, "text", "ranges", "spans"])
             yield got.astype({"doc_id": "Int64"})
 
-    return joined.mapInPandas(run, _FINAL + ", tag long, text string, ranges binary, spans array<struct<anchor:long,start:long,span:binary>>")
+    return joined.mapInPandas(run, _FINAL + ", text string, ranges binary, spans array<struct<anchor:long,start:long,span:binary>>")
 
 
 def open_spans(frames):
@@ -226,20 +227,23 @@ def finish(pending: DataFrame, with_bytes: bool) -> DataFrame:
     def run(frames):
         for pdf in frames:
             out = []
-            for doc_id, text, ranges, more in zip(pdf["doc_id"], pdf["text"], pdf["ranges"], pdf["more"], strict=True):
+            for doc_id, tag, text, ranges, more in zip(pdf["doc_id"], pdf["tag"], pdf["text"], pdf["ranges"], pdf["more"], strict=True):
                 raw, _ = _joined([text])
                 start, stop = np.frombuffer(ranges, "<i8").reshape(2, -1)
                 if more is not None and len(more):
                     start = np.concatenate((start, [x["start"] for x in more]))
                     stop = np.concatenate((stop, [x["stop"] for x in more]))
-                out.append(_final(int(doc_id), raw, start, stop, with_bytes))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                out.append(_final(int(doc_id), tag, raw, start, stop, with_bytes))
+            yield pd.DataFrame(out, columns=COLUMNS)
 
     return pending.mapInPandas(run, _FINAL)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", with_bytes: bool = False) -> DataFrame:
-    """For every row of ``docs``: sizes, removed bytes and spans, digest (and bytes) of the rest.
+    """For every row of ``docs``: sizes, removed bytes and spans, and the digest of the rest.
+
+    ``with_bytes`` adds ``tag`` (xxhash64 of the text) and ``kept``, the rest where something
+    was removed, else null.
 
     Null and empty texts have no bytes.  A row without a doc_id is neither smaller nor larger
     than another: nothing is removed from it or because of it.  Rows that share a doc_id are
@@ -256,10 +260,30 @@ def remove_repeats(docs: DataFrame, text: str = "text", with_bytes: bool = False
     found = spans.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(open_spans, "doc_id long, tag long, start long, stop long")
     more = found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("more"))
     pending = state.filter("spans is not null").select("doc_id", "tag", "text", "ranges").join(more, ["doc_id", "tag"], "left")
-    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    out = state.filter("spans is null").select(columns).unionByName(finish(pending.select("doc_id", "text", "ranges", "more"), with_bytes))
-    return out if with_bytes else out.drop("kept")
+    out = state.filter("spans is null").select(COLUMNS).unionByName(finish(pending.select("doc_id", "tag", "text", "ranges", "more"), with_bytes))
+    return out if with_bytes else out.drop("tag", "kept")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def cut_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the repeated bytes; the columns of ``docs`` are kept.
+
+    A character that is cut in two goes; ``n_chars``, where there is such a column, follows
+    the text.  A document of nothing but repeats stays, with an empty text.
+    """
+    cut = remove_repeats(docs, with_bytes=True).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "kept").dropDuplicates(["_id", "_tag"])
+
+    def decode(frames):
+        for pdf in frames:
+            yield pdf.assign(_left=[bytes(b).decode("utf-8", "ignore") for b in pdf["kept"]]).drop(columns="kept")
+
+    left = cut.mapInPandas(decode, "_id long, _tag long, _left string")
+    own = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_tag"))
+    joined = docs.join(left, own, "left").withColumn("text", F.coalesce("_left", "text"))
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        joined = joined.withColumn("n_chars", F.when(F.col("_left").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+    return joined.select(docs.columns)
