@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marram.llm import bpe, quality
+from marram.llm import bpe, leaks, quality, repeats, similar
 from marram.llm.common import materialise
 
 STAGES = [
     ("quality_rules", quality.filter_stage),
+    ("ngram_jaccard", similar.distinct_stage),
+    ("suffix_dedup", repeats.cut_stage),
+    ("benchmark_decontamination", leaks.clean_stage),
     ("byte_bpe", bpe.encode_stage),
 ]
 
