@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import catalog_queries, feed_queries, matching_queries, template_queries
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (catalog_queries, feed_queries, matching_queries, template_queries):
+    QUERIES |= _module.Q.queries
+    ORACLES |= _module.Q.oracles
