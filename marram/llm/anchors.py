@@ -9,7 +9,7 @@ from .common import mix, powers
 #: Repeats of this many bytes are looked for.
 WIDTH = 50
 #: An anchor is a GRAM-byte string; a window holds WIDTH - GRAM + 1 of them.
-GRAM = 26
+GRAM = 22
 SPREAD = WIDTH - GRAM + 1
 
 _MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)

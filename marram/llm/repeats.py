@@ -1,22 +1,25 @@
 """Removal of long repeated byte strings across documents, exact to the byte.
 
-The named method, induced sorting of all suffixes on disk, keeps a tuple of position and
-rank for every byte of text, several times the disk that one gets here (README).  Instead,
-repeats are located by anchors, and only what stays open is compared window by window:
+Sorting every suffix of the corpus carries several times its size in tuples and takes about
+a microsecond of one core a byte, more than one gets here (README).  So the shards that
+external induced sorting works on hold only what cheaper steps leave open:
 
 1. Each document's windows of 50 bytes fall into runs that share their least anchor hash
    (``anchors``); equal windows have equal anchors.  Tasks send runs, as packed arrays, to
    the bucket of their anchor.
 2. A bucket sorts its runs by anchor, by hash of the run's whole span, and by document.  A
    run whose span stands in a smaller document is covered.  Where an anchor has several
-   spans, the first document of each span is asked for the bytes.
-3. The spans asked for are opened into windows; windows are sorted by hash and document, and
-   each is covered if it stands in a smaller document.
+   spans, the first document of each span is asked for the bytes.  Answers go back packed by
+   home, a group of documents.
+3. The spans asked for are the shards, dealt by anchor.  The suffixes of a shard are sorted
+   with their shared prefixes (``induced``); neighbours that share 50 bytes or more are one
+   string, which is covered wherever its document is not the smallest.
 4. Each document joins its answers and drops the bytes under covered windows.
 
-A bucket holds the runs of about BUCKET_CHARS characters, so its memory is bounded however
-large the input; an anchor held by a third of all documents adds 14 bytes a document to one
-bucket, and equal spans are resolved there without being compared in pairs.
+A bucket holds the runs of about BUCKET_CHARS characters and a home the documents of about
+HOME_CHARS, so memory is bounded however large the input; an anchor held by a third of all
+documents adds 15 bytes a document to one bucket, and equal spans are resolved there without
+being compared in pairs.
 """
 
 from __future__ import annotations
@@ -26,14 +29,17 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors
+from . import anchors, induced
 from .common import chunks, materialise
 
 #: Characters of text whose runs make a bucket.
 BUCKET_CHARS = 48_000_000
+#: Characters of text of the documents that share a home.
+HOME_CHARS = 8_000_000
 #: Characters handled at once in a task, and documents at most.
 PART_CHARS = 4_000_000
 #: Spans that are opened at once.
@@ -42,9 +48,28 @@ OPEN_SPANS = 50_000
 _RUNS = "bucket int, owners binary, packed binary"
 
 
-def _keyed(docs: DataFrame, text: str) -> DataFrame:
+def _keyed(docs: DataFrame, text: str, homes: int) -> DataFrame:
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("tag"), body.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("tag"), body.alias("text"))
+    return rows.withColumn("home", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(homes)).cast("int"))
+
+
+def _pack(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _packed(keyed: DataFrame) -> DataFrame:
+    """The rows with their UTF-8 bytes compressed, which halves what a shuffle carries."""
+
+    def run(frames):
+        for pdf in frames:
+            yield pdf.drop(columns="text").assign(body=[_pack(t.encode("utf-8", "replace")) for t in pdf["text"]])
+
+    return keyed.mapInPandas(run, "doc_id long, tag long, home int, body binary")
 
 
 def _joined(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -56,6 +81,11 @@ def _narrow(values: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The four bytes of each number, as four planes: the upper ones of small numbers are zeros."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
 def _widen(data: np.ndarray, width: int) -> np.ndarray:
     out = np.zeros((len(data) // width, 8), np.uint8)
     out[:, :width] = data.reshape(-1, width)
@@ -75,12 +105,12 @@ def send_runs(keyed: DataFrame, buckets: int) -> DataFrame:
                     continue
                 span = anchors.span_hashes(raw, start, n + (anchors.WIDTH - 1))
                 counts = np.bincount(doc, minlength=last - first)
-                owners = zlib.compress(np.concatenate((pdf["doc_id"].iloc[first:last].to_numpy(np.int64), pdf["tag"].iloc[first:last].to_numpy(np.int64), counts)).tobytes(), 1)
+                owners = zlib.compress(np.concatenate((pdf["doc_id"].iloc[first:last].to_numpy(np.int64), pdf["tag"].iloc[first:last].to_numpy(np.int64), pdf["home"].iloc[first:last].to_numpy(np.int64), counts)).tobytes(), 1)
                 bucket = (low % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((low, bucket))
+                order = np.argsort(bucket, kind="stable")
                 bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 rows = [order[bounds[b] : bounds[b + 1]] for b in range(buckets)]
-                packed = [_narrow(low[r] // np.uint64(buckets), 5) + _narrow(span[r], 6) + _narrow(r, 4) for r in rows]
+                packed = [_narrow(low[r] // np.uint64(buckets), 5) + _narrow(span[r], 6) + _planes(np.diff(r, prepend=0)) for r in rows]
                 full = [b for b in range(buckets) if len(rows[b])]
                 yield pd.DataFrame({"bucket": full, "owners": [owners] * len(full), "packed": [packed[b] for b in full]})
 
@@ -88,21 +118,22 @@ def send_runs(keyed: DataFrame, buckets: int) -> DataFrame:
 
 
 def settle_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Covered and open runs of one bucket, as run numbers by document."""
-    low, span, doc, tag, number = [], [], [], [], []
+    """Covered and open runs of one bucket: a packed row for each home."""
+    low, span, doc, tag, home, number = [], [], [], [], [], []
     for owners, packed in zip(pdf["owners"], pdf["packed"], strict=True):
-        table = np.frombuffer(zlib.decompress(owners), np.int64).reshape(3, -1)
+        table = np.frombuffer(zlib.decompress(owners), np.int64).reshape(4, -1)
         data = np.frombuffer(packed, np.uint8)
         m = len(data) // 15
-        first = np.concatenate(([0], np.cumsum(table[2])))
-        place = _widen(data[11 * m :], 4).astype(np.int64)
+        first = np.concatenate(([0], np.cumsum(table[3])))
+        place = np.cumsum(np.ascontiguousarray(data[11 * m :].reshape(4, m).T).view("<u4").ravel(), dtype=np.int64)
         own = np.searchsorted(first, place, "right") - 1
         low.append(_widen(data[: 5 * m], 5))
         span.append(_widen(data[5 * m : 11 * m], 6))
         doc.append(table[0][own])
         tag.append(table[1][own])
+        home.append(table[2][own].astype(np.int32))
         number.append((place - first[own]).astype(np.uint32))
-    low, span, doc, tag, number = map(np.concatenate, (low, span, doc, tag, number))
+    low, span, doc, tag, home, number = map(np.concatenate, (low, span, doc, tag, home, number))
     order = np.argsort(low, kind="stable")
     new = np.concatenate(([True], low[order][1:] != low[order][:-1]))
     group = np.cumsum(new) - 1
@@ -110,23 +141,46 @@ def settle_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     d = doc[order]
     keep = (np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin))[group]
     order = order[keep]
-    low, span, doc, tag, number = low[order], span[order], doc[order], tag[order], number[order]
+    low, span, doc, tag, home, number = low[order], span[order], doc[order], tag[order], home[order], number[order]
     if not len(low):
-        return pd.DataFrame({"doc_id": [], "tag": [], "covered": [], "asked": []})
+        return pd.DataFrame({"home": [], "found": []})
     order = np.lexsort((doc, span, low))
-    low, span, doc, tag, number = low[order], span[order], doc[order], tag[order], number[order]
+    low, span, doc, tag, home, number = low[order], span[order], doc[order], tag[order], home[order], number[order]
     a = np.concatenate(([True], low[1:] != low[:-1]))
     s = a | np.concatenate(([True], span[1:] != span[:-1]))
     first = doc[np.flatnonzero(s)][np.cumsum(s) - 1]
     kinds = np.add.reduceat(s.astype(np.int64), np.flatnonzero(a))[np.cumsum(a) - 1]
     covered, asked = doc > first, (doc == first) & (kinds > 1)
-    some = covered | asked
-    doc, tag, number, covered = doc[some], tag[some], number[some], covered[some]
+    some = np.flatnonzero(covered | asked)
+    some = some[np.lexsort((number[some], tag[some], doc[some], home[some]))]
+    doc, tag, home, number, covered = doc[some], tag[some], home[some], number[some], covered[some]
+    edge = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1]))).tolist() if len(home) else []
+    out = [zlib.compress(doc[i:j].tobytes() + tag[i:j].tobytes() + number[i:j].tobytes() + covered[i:j].tobytes(), 1) for i, j in zip(edge, [*edge[1:], len(home)], strict=True)]
+    return pd.DataFrame({"home": home[edge], "found": out})
+
+
+def _answers(found) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """Covered and open run numbers of each (doc_id, tag) of a home."""
+    doc, tag, number, covered = [], [], [], []
+    for data in found:
+        raw = zlib.decompress(data)
+        m = len(raw) // 21
+        doc.append(np.frombuffer(raw, np.int64, m))
+        tag.append(np.frombuffer(raw, np.int64, m, 8 * m))
+        number.append(np.frombuffer(raw, np.uint32, m, 16 * m))
+        covered.append(np.frombuffer(raw, np.bool_, m, 20 * m))
+    if not doc:
+        return {}
+    doc, tag, number, covered = map(np.concatenate, (doc, tag, number, covered))
     order = np.lexsort((number, tag, doc))
-    doc, tag, number, covered = doc[order], tag[order], number[order], covered[order]
-    edge = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])))) if len(doc) else np.zeros(0, np.int64)
-    out = [(number[i:j][covered[i:j]].tobytes(), number[i:j][~covered[i:j]].tobytes()) for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(doc)], strict=True)]
-    return pd.DataFrame({"doc_id": doc[edge], "tag": tag[edge], "covered": [x[0] for x in out], "asked": [x[1] for x in out]})
+    doc, tag, number, covered = doc[order], tag[order], number[order].astype(np.int64), covered[order]
+    edge = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]), [True]))).tolist()
+    out = {}
+    for i, j in zip(edge[:-1], edge[1:], strict=True):
+        c = covered[i:j]
+        # Rows that repeat a document report the same runs.
+        out[int(doc[i]), int(tag[i])] = np.unique(number[i:j][c]), np.unique(number[i:j][~c])
+    return out
 
 
 def _kept(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[bytes, int, int]:
@@ -148,34 +202,27 @@ def _final(doc_id, tag, raw: np.ndarray, start, stop, with_bytes: bool) -> tuple
     return doc_id, tag, len(raw), removed, spans, hashlib.sha256(rest).hexdigest(), rest if with_bytes and removed else None
 
 
-def _numbers(lists) -> np.ndarray:
-    return np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in lists])).astype(np.int64) if lists is not None and len(lists) else np.zeros(0, np.int64)
-
-
-def answer(joined: DataFrame, with_bytes: bool) -> DataFrame:
-    """Finish the documents without open runs; hand on the text and open spans of the others."""
+def answer(texts: pd.DataFrame, found: pd.DataFrame, with_bytes: bool) -> pd.DataFrame:
+    """Finish a home's documents without open runs; hand on the bytes and open spans of the others."""
+    known, out, none = _answers(found["found"]), [], np.zeros(0, np.int64)
+    for doc_id, tag, body in zip(texts["doc_id"], texts["tag"], texts["body"], strict=True):
+        raw = np.frombuffer(_unpack(body), np.uint8)
+        own = None if pd.isna(doc_id) else int(doc_id)
+        done, still = known.get((own, int(tag)), (none, none))
+        if not len(done) and not len(still):
+            out.append((*_final(own, tag, raw, [], [], with_bytes), None, None, None))
+            continue
+        low, start, n, _ = anchors.runs(raw, np.array([0, len(raw)]))
+        if not len(still):
+            out.append((*_final(own, tag, raw, start[done], start[done] + n[done], with_bytes), None, None, None))
+            continue
+        ranges = np.stack((start[done], start[done] + n[done])).astype("<i8").tobytes()
+        spans = [{"anchor": int(low[k].view(np.int64)), "start": int(start[k]), "span": raw[start[k] : start[k] + n[k] + anchors.WIDTH - 1].tobytes()} for k in still]
+        out.append((own, tag, len(raw), 0, 0, None, None, body, ranges, spans))
+    return pd.DataFrame(out, columns=[*COLUMNS, "body", "ranges", "spans"]).astype({"doc_id": "Int64"})
 
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for doc_id, tag, text, covered, asked in zip(pdf["doc_id"], pdf["tag"], pdf["text"], pdf["covered"], pdf["asked"], strict=True):
-                raw, offsets = _joined([text])
-                done, still = _numbers(covered), _numbers(asked)
-                own = None if pd.isna(doc_id) else int(doc_id)
-                if not len(done) and not len(still):
-                    out.append((*_final(own, tag, raw, [], [], with_bytes), None, None, None))
-                    continue
-                low, start, n, _ = anchors.runs(raw, offsets)
-                if not len(still):
-                    out.append((*_final(own, tag, raw, start[done], start[done] + n[done], with_bytes), None, None, None))
-                    continue
-                ranges = np.stack((start[done], start[done] + n[done])).astype("<i8").tobytes()
-                spans = [{"anchor": int(low[k].view(np.int64)), "start": int(start[k]), "span": raw[start[k] : start[k] + n[k] + anchors.WIDTH - 1].tobytes()} for k in still]
-                out.append((own, tag, len(raw), 0, 0, None, None, text, ranges, spans))
-            got = pd.DataFrame(out, columns=[*COLUMNS, "text", "ranges", "spans"])
-            yield got.astype({"doc_id": "Int64"})
 
-    return joined.mapInPandas(run, _FINAL + ", text string, ranges binary, spans array<struct<anchor:long,start:long,span:binary>>")
+_STATE = _FINAL + ", body binary, ranges binary, spans array<struct<anchor:long,start:long,span:binary>>"
 
 
 def open_spans(frames):
@@ -183,26 +230,46 @@ def open_spans(frames):
 
     def settle(g: pd.DataFrame):
         sizes = np.array([len(x) for x in g["span"]], np.int64)
-        raw = np.frombuffer(b"".join(g["span"]), np.uint8)
-        first = np.concatenate(([0], np.cumsum(sizes)))
-        n = sizes - (anchors.WIDTH - 1)
-        row = np.repeat(np.arange(len(g)), n)
-        offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        value = anchors.gram_hashes(raw, anchors.WIDTH)[first[row] + offset]
-        doc = g["doc_id"].to_numpy()[row]
-        order = np.lexsort((doc, value))
-        new = np.concatenate(([True], value[order][1:] != value[order][:-1]))
-        least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        hit = np.sort(order[doc[order] > least])
+        first = np.concatenate(([0], np.cumsum(sizes + 1)))
+        docs, starts = g["doc_id"].to_numpy(), g["start"].to_numpy()
+        hits, carry = [], None
+        for at, shared in induced.suffixes(induced.joined(list(g["span"])), induced.ALPHABET, anchors.WIDTH):
+            # Strings of WIDTH bytes that stand in no span whole agree with no whole one.
+            new = shared < anchors.WIDTH
+            if carry is not None and not new[0]:
+                at, new = np.concatenate((carry, at)), np.concatenate(([True], np.zeros(len(carry) - 1, bool), new))
+            elif carry is not None:
+                hits.append(covered(carry, np.arange(len(carry)) == 0, first, docs))
+            new[0] = True
+            last = int(np.flatnonzero(new)[-1])
+            if last:
+                hits.append(covered(at[:last], new[:last], first, docs))
+            carry = at[last:]
+        if carry is not None:
+            hits.append(covered(carry, np.arange(len(carry)) == 0, first, docs))
+        hit = np.sort(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
         if not len(hit):
             return None
-        r, o = row[hit], offset[hit]
+        r = np.searchsorted(first, hit, "right") - 1
+        o = hit - first[r]
         # Neighbouring windows of a span make one range.
         edge = np.concatenate(([True], (r[1:] != r[:-1]) | (o[1:] != o[:-1] + 1)))
         i = np.flatnonzero(edge)
         j = np.append(i[1:], len(hit)) - 1
-        begin = g["start"].to_numpy()[r[i]]
-        return pd.DataFrame({"doc_id": g["doc_id"].to_numpy()[r[i]], "tag": g["tag"].to_numpy()[r[i]], "start": begin + o[i], "stop": begin + o[j] + 1})
+        return pd.DataFrame({"doc_id": docs[r[i]], "tag": g["tag"].to_numpy()[r[i]], "start": starts[r[i]] + o[i], "stop": starts[r[i]] + o[j] + 1})
+
+    def covered(at: np.ndarray, new: np.ndarray, first: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Those of sorted suffixes whose string also stands in a smaller document."""
+        r = np.searchsorted(first, at, "right") - 1
+        whole = r < len(docs)
+        whole[whole] = at[whole] + anchors.WIDTH < first[r[whole] + 1]
+        group = (np.cumsum(new) - 1)[whole]
+        at, own = at[whole], docs[r[whole]]
+        if not len(at):
+            return at
+        begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        least = np.repeat(np.minimum.reduceat(own, begin), np.diff(np.append(begin, len(at))))
+        return at[own > least]
 
     held, count = [], 0
     for pdf in frames:
@@ -227,8 +294,8 @@ def finish(pending: DataFrame, with_bytes: bool) -> DataFrame:
     def run(frames):
         for pdf in frames:
             out = []
-            for doc_id, tag, text, ranges, more in zip(pdf["doc_id"], pdf["tag"], pdf["text"], pdf["ranges"], pdf["more"], strict=True):
-                raw, _ = _joined([text])
+            for doc_id, tag, body, ranges, more in zip(pdf["doc_id"], pdf["tag"], pdf["body"], pdf["ranges"], pdf["more"], strict=True):
+                raw = np.frombuffer(_unpack(body), np.uint8)
                 start, stop = np.frombuffer(ranges, "<i8").reshape(2, -1)
                 if more is not None and len(more):
                     start = np.concatenate((start, [x["start"] for x in more]))
@@ -249,18 +316,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", with_bytes: bool = False
     than another: nothing is removed from it or because of it.  Rows that share a doc_id are
     one document: none of them is removed on account of another, each is answered.
     """
-    keyed = _keyed(docs, text)
-    total = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(4, -(-int(total) // BUCKET_CHARS))
-    settled = send_runs(keyed, buckets).groupBy("bucket").applyInPandas(settle_bucket, "doc_id long, tag long, covered binary, asked binary")
-    answers = settled.groupBy("doc_id", "tag").agg(F.collect_list("covered").alias("covered"), F.collect_list("asked").alias("asked"))
-    joined = keyed.join(answers, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "covered", "asked")
-    state = materialise(answer(joined, with_bytes), "repeats-state")
+    total = int(docs.agg(F.sum(F.length(F.col(text).cast("string")))).first()[0] or 0)
+    buckets, homes = max(4, -(-total // BUCKET_CHARS)), max(16, -(-total // HOME_CHARS))
+    keyed = _keyed(docs, text, homes)
+    settled = send_runs(keyed, buckets).groupBy("bucket").applyInPandas(settle_bucket, "home int, found binary")
+    finished = _packed(keyed).groupBy("home").cogroup(settled.groupBy("home")).applyInPandas(lambda texts, found: answer(texts, found, with_bytes), _STATE)
+    state = materialise(finished, "repeats-state")
     spans = state.filter("spans is not null").select("doc_id", "tag", F.explode("spans").alias("s")).select("doc_id", "tag", "s.*")
     found = spans.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(open_spans, "doc_id long, tag long, start long, stop long")
     more = found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("more"))
-    pending = state.filter("spans is not null").select("doc_id", "tag", "text", "ranges").join(more, ["doc_id", "tag"], "left")
-    out = state.filter("spans is null").select(COLUMNS).unionByName(finish(pending.select("doc_id", "tag", "text", "ranges", "more"), with_bytes))
+    pending = state.filter("spans is not null").select("doc_id", "tag", "body", "ranges").join(more, ["doc_id", "tag"], "left")
+    out = state.filter("spans is null").select(COLUMNS).unionByName(finish(pending.select("doc_id", "tag", "body", "ranges", "more"), with_bytes))
     return out if with_bytes else out.drop("tag", "kept")
 
 
