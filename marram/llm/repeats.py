@@ -32,18 +32,19 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import anchors, induced
 from .common import chunks, materialise
 
 #: Characters of text whose runs make a bucket.
-BUCKET_CHARS = 48_000_000
+BUCKET_CHARS = 12_000_000
 #: Characters of text of the documents that share a home.
 HOME_CHARS = 8_000_000
-#: Characters handled at once in a task, and documents at most.
-PART_CHARS = 4_000_000
+#: Characters hashed at once in a task, and those whose runs are held before they are sent.
+PART_CHARS, SEND_CHARS = 1_000_000, 16_000_000
 #: Spans that are opened at once.
-OPEN_SPANS = 50_000
+OPEN_SPANS = 10_000
 
 _RUNS = "bucket int, owners binary, packed binary"
 
@@ -93,26 +94,47 @@ def _widen(data: np.ndarray, width: int) -> np.ndarray:
 
 
 def send_runs(keyed: DataFrame, buckets: int) -> DataFrame:
-    """Packed runs of every document, by bucket of their anchor."""
+    """Packed runs of every document, by bucket of their anchor.
+
+    A row holds the runs of one bucket from about SEND_CHARS characters, and names only the
+    documents that they come from, so what is sent grows with the runs and not with the
+    number of buckets.
+    """
+
+    def rows(held: list) -> pd.DataFrame:
+        low, span, owner, number, doc, tag, home = (np.concatenate(x) for x in zip(*held, strict=True))
+        bucket = (low % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        full, owners, packed = [], [], []
+        for b in np.flatnonzero(np.diff(bounds)).tolist():
+            r = order[bounds[b] : bounds[b + 1]]
+            edge = np.flatnonzero(np.concatenate(([True], owner[r][1:] != owner[r][:-1])))
+            own = owner[r[edge]]
+            full.append(b)
+            owners.append(zlib.compress(np.concatenate((doc[own], tag[own], home[own], np.diff(np.append(edge, len(r))))).astype(np.int64).tobytes(), 1))
+            packed.append(_narrow(low[r] // np.uint64(buckets), 5) + _narrow(span[r], 6) + _planes(number[r]))
+        return pd.DataFrame({"bucket": full, "owners": owners, "packed": packed})
 
     def run(frames):
+        held: list = []
+        size = docs = 0
         for pdf in frames:
             texts = list(pdf["text"])
             for first, last in chunks(texts, PART_CHARS):
                 raw, offsets = _joined(texts[first:last])
                 low, start, n, doc = anchors.runs(raw, offsets)
-                if not len(low):
-                    continue
-                span = anchors.span_hashes(raw, start, n + (anchors.WIDTH - 1))
-                counts = np.bincount(doc, minlength=last - first)
-                owners = zlib.compress(np.concatenate((pdf["doc_id"].iloc[first:last].to_numpy(np.int64), pdf["tag"].iloc[first:last].to_numpy(np.int64), pdf["home"].iloc[first:last].to_numpy(np.int64), counts)).tobytes(), 1)
-                bucket = (low % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                rows = [order[bounds[b] : bounds[b + 1]] for b in range(buckets)]
-                packed = [_narrow(low[r] // np.uint64(buckets), 5) + _narrow(span[r], 6) + _planes(np.diff(r, prepend=0)) for r in rows]
-                full = [b for b in range(buckets) if len(rows[b])]
-                yield pd.DataFrame({"bucket": full, "owners": [owners] * len(full), "packed": [packed[b] for b in full]})
+                if len(low):
+                    number = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                    part = pdf.iloc[first:last]
+                    span = anchors.span_hashes(raw, start, n + (anchors.WIDTH - 1))
+                    held.append((low, span, (doc + docs).astype(np.int32), number.astype(np.uint32), part["doc_id"].to_numpy(np.int64), part["tag"].to_numpy(np.int64), part["home"].to_numpy(np.int64)))
+                    docs, size = docs + last - first, size + len(raw)
+                if size >= SEND_CHARS:
+                    yield rows(held)
+                    held, size, docs = [], 0, 0
+        if held:
+            yield rows(held)
 
     return keyed.filter("doc_id is not null").mapInPandas(run, _RUNS)
 
@@ -124,15 +146,13 @@ def settle_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         table = np.frombuffer(zlib.decompress(owners), np.int64).reshape(4, -1)
         data = np.frombuffer(packed, np.uint8)
         m = len(data) // 15
-        first = np.concatenate(([0], np.cumsum(table[3])))
-        place = np.cumsum(np.ascontiguousarray(data[11 * m :].reshape(4, m).T).view("<u4").ravel(), dtype=np.int64)
-        own = np.searchsorted(first, place, "right") - 1
+        own = np.repeat(np.arange(table.shape[1]), table[3])
         low.append(_widen(data[: 5 * m], 5))
         span.append(_widen(data[5 * m : 11 * m], 6))
         doc.append(table[0][own])
         tag.append(table[1][own])
         home.append(table[2][own].astype(np.int32))
-        number.append((place - first[own]).astype(np.uint32))
+        number.append(np.ascontiguousarray(data[11 * m :].reshape(4, m).T).view("<u4").ravel())
     low, span, doc, tag, home, number = map(np.concatenate, (low, span, doc, tag, home, number))
     order = np.argsort(low, kind="stable")
     new = np.concatenate(([True], low[order][1:] != low[order][:-1]))
@@ -199,7 +219,7 @@ COLUMNS = ["doc_id", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256", "k
 
 def _final(doc_id, tag, raw: np.ndarray, start, stop, with_bytes: bool) -> tuple:
     rest, removed, spans = _kept(raw, np.asarray(start, np.int64), np.asarray(stop, np.int64))
-    return doc_id, tag, len(raw), removed, spans, hashlib.sha256(rest).hexdigest(), rest if with_bytes and removed else None
+    return doc_id, tag, len(raw), removed, spans, hashlib.sha256(rest).hexdigest(), _pack(rest) if with_bytes and removed else None
 
 
 def answer(texts: pd.DataFrame, found: pd.DataFrame, with_bytes: bool) -> pd.DataFrame:
@@ -309,8 +329,8 @@ def finish(pending: DataFrame, with_bytes: bool) -> DataFrame:
 def remove_repeats(docs: DataFrame, text: str = "text", with_bytes: bool = False) -> DataFrame:
     """For every row of ``docs``: sizes, removed bytes and spans, and the digest of the rest.
 
-    ``with_bytes`` adds ``tag`` (xxhash64 of the text) and ``kept``, the rest where something
-    was removed, else null.
+    ``with_bytes`` adds ``tag`` (xxhash64 of the text) and ``kept``, the rest (zstd) where
+    something was removed, else null.
 
     Null and empty texts have no bytes.  A row without a doc_id is neither smaller nor larger
     than another: nothing is removed from it or because of it.  Rows that share a doc_id are
@@ -340,16 +360,15 @@ def cut_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A character that is cut in two goes; ``n_chars``, where there is such a column, follows
     the text.  A document of nothing but repeats stays, with an empty text.
     """
-    cut = remove_repeats(docs, with_bytes=True).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "kept").dropDuplicates(["_id", "_tag"])
+    left = remove_repeats(docs, with_bytes=True).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("kept").alias("_left")).dropDuplicates(["_id", "_tag"])
 
-    def decode(frames):
-        for pdf in frames:
-            yield pdf.assign(_left=[bytes(b).decode("utf-8", "ignore") for b in pdf["kept"]]).drop(columns="kept")
+    @F.pandas_udf(StringType())
+    def unpacked(kept: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([t if k is None else _unpack(k).decode("utf-8", "ignore") for k, t in zip(kept, text, strict=True)])
 
-    left = cut.mapInPandas(decode, "_id long, _tag long, _left string")
-    own = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_tag"))
-    joined = docs.join(left, own, "left").withColumn("text", F.coalesce("_left", "text"))
+    own = (docs["doc_id"].cast("long") == left["_id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == left["_tag"])
+    made = {"text": unpacked(left["_left"], docs["text"].cast("string"))}
+    out = docs.join(left.hint("merge"), own, "left").select(*[made.get(c, docs[f"`{c}`"]).alias(c) for c in docs.columns], left["_left"].isNotNull().alias("_cut"))
     if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        joined = joined.withColumn("n_chars", F.when(F.col("_left").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return joined.select(docs.columns)
+        out = out.withColumn("n_chars", F.when(out["_cut"], F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(out["n_chars"]))
+    return out.drop("_cut")

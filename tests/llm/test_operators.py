@@ -297,7 +297,7 @@ def test_stages_keep_columns_with_clashing_names(spark, tmp_path):
 
     r = random.Random(11)
     rows = [(i, prose(r, 80)) for i in range(4)]
-    names = ("gone", "_id", "_tag", "_left", "_text", "tag", "kept", "n_words", "rep", "item_id", "stratum", "quality", "root", "block", "node", "a.b")
+    names = ("gone", "_id", "_tag", "_left", "_text", "tag", "kept", "n_words", "rep", "item_id", "stratum", "quality", "root", "block", "node", "a.b", "_left")
     docs = docs_of(spark, rows)
     for n in names:
         docs = docs.withColumn(n, F.lit("x"))
