@@ -213,4 +213,5 @@ def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that pass; the columns of ``docs`` are kept."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged = verdicts(docs, labels).filter("not kept").select("doc_id").distinct()
-    return docs.join(judged, docs["doc_id"].eqNullSafe(judged["doc_id"]), "left_anti")
+    # Sorted and merged at every size: whether the rejected ids could be sent to all depends on chance.
+    return docs.join(judged.hint("merge"), docs["doc_id"].eqNullSafe(judged["doc_id"]), "left_anti")
