@@ -246,7 +246,8 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     placed = loose.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     members = materialise(placed.join(reps.select(F.col("k1").alias("node"), "rep"), "node"), "similar-members")
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    given = members.join(body, F.col("rep").eqNullSafe(F.col("doc_id"))).select("root", "node", "block", "blocks", "text")
+    # Sorted and merged at every size: whether the members could be sent to all depends on chance.
+    given = members.join(body.hint("merge"), F.col("rep").eqNullSafe(F.col("doc_id"))).select("root", "node", "block", "blocks", "text")
     tasks = given.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "text")
     key = ("root", "i", "j")
     found = materialise(
@@ -274,6 +275,6 @@ def distinct_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     found = materialise(classes(docs), "similar-result")
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone")), "left_anti")
+    kept = docs.join(gone.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(gone["gone"]), "left_anti")
     repeated = found.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
