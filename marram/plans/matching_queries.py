@@ -61,7 +61,7 @@ Q.add("e7_upsert_counts", lambda s, d: G.upsert_counts(G.by_ids(tracks(s, d))[0]
 # Matching: a part is a local track, parts of nearby numbers are its candidates
 def album_pairs(s, d):
     """(case, candidate) pairs: orders as local releases, with three derived candidates each."""
-    lines = table(s, d, "lineitem").filter("l_orderkey % 50 = 0").join(table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand"), "l_partkey")
+    lines = table(s, d, "lineitem").join(table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand"), "l_partkey")
     item = F.struct(F.col("l_linenumber").alias("n"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), (F.col("l_quantity") * 1000).cast("long").alias("duration_ms"), F.lit(None).cast("string").alias("isrc"), F.lit(None).cast("string").alias("track_id"))
     local = lines.groupBy(F.col("l_orderkey").alias("case_id")).agg(F.array_sort(F.collect_list(item)).alias("items"), F.min("p_name").alias("local_album"), F.min("p_brand").alias("local_album_artist"))
     strip = lambda a: F.transform(a, lambda x: x.dropFields("n"))

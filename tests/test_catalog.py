@@ -155,3 +155,13 @@ def test_streams(spark, tmp_path):
     catalog = spark.createDataFrame([("lib/a", 9, 9, None)], "path string, size_bytes long, mtime long, missing_since long")
     L.incremental_scan(spark.readStream.schema(listing.schema).parquet(f"{tmp_path}/listing"), catalog, f"{tmp_path}/cat", "lib", f"{tmp_path}/cp2").awaitTermination()
     assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/cat/v0").collect()} == {("lib/a", 1, 1, None), ("lib/b", 2, 2, None)}
+
+
+def test_matching_takes_every_order(spark, tmp_path):
+    from marram.plans import matching_queries as Q
+
+    spark.createDataFrame([(k, 1, k % 3, 5.0) for k in range(1, 8)], "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"name {k}", "b") for k in range(3)], "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("e10_alignment_cost", "e11_album_scores", "e14_e16_rank", "e15_decisions", "e9_e12_single_scores"):
+        got = Q.Q.queries[name](spark, str(tmp_path))
+        assert {r["case_id"] for r in got.collect()} == set(range(1, 8)), name
