@@ -1,14 +1,15 @@
 """Licence scans by a positional rare-token index, in Spark expressions only.
 
 The index maps the longer words of each licence template to their (template, position)
-postings.  A file looks up only its ``LOOKUPS`` rarest licence words (those held by the
-fewest files, counted over all files).  A word at position i of the file that stands at
-position p of a template votes for the alignment i - p; alignments with ``AGREE`` votes are
-candidates.  A candidate counts if the template's key phrase stands word for word where the
-alignment puts it and at least ``COVER`` of the template's words are in place.
-
-All of it is local to a row but for the counts of files per word, which are as many as the
-templates have words; nothing else is shuffled or collected.
+postings, and every such word of a file is looked up.  A word at position i of the file that
+stands at position p of a template votes for the alignment i - p; alignments with ``AGREE``
+votes are candidates.  A candidate counts if the template's key phrase stands word for word
+where the alignment puts it and at least ``COVER`` of the template's words are in place.
+Every key phrase has AGREE indexed words, so no alignment that counts is passed over.
+
+All of it is local to a row: nothing is shuffled or collected.  The SQL twin looks up only
+the ``LOOKUPS`` words of a file that the fewest files hold, so it can miss labels that the
+scan finds.
 """
 
 from __future__ import annotations
@@ -81,12 +82,6 @@ def word_hits(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
     return spots.select(*keep, "_words", F.filter(pairs, lambda h: h["w"].isin(vocabulary)).alias("_hits"))
 
 
-def file_counts(hits: DataFrame) -> dict[str, int]:
-    """Files that hold each indexed word: one row a word at most, so it fits the driver."""
-    words = F.array_distinct(F.transform("_hits", lambda h: h["w"]))
-    return {r["w"]: r["n"] for r in hits.select(F.explode(words).alias("w")).filter(F.col("w").isin(sorted(POSTINGS))).groupBy("w").agg(F.count("*").alias("n")).collect()}
-
-
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and the scan's result for every row of ``docs``.
 
@@ -94,7 +89,6 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     files each and are judged alike.
     """
     hits = word_hits(docs, text, keep)
-    ranked = {w: k for k, (_, w) in enumerate(sorted((n, w) for w, n in file_counts(hits).items()))}
     at = lambda i: _low(F.get("_words", i))
 
     def phrase(h):
@@ -108,15 +102,10 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
         return c
 
     found = hits.withColumn("_base", F.array_compact(F.transform("_hits", phrase)))
-    indexed = [w for w in sorted(POSTINGS) if w in ranked]
-    if not indexed:
-        return _result(found.withColumn("_good", F.array().cast("array<struct<score:double,label:string>>")), keep)
-    number = F.create_map(*[x for w in indexed for x in (F.lit(w), F.lit(ranked[w]))])
-    votes = F.create_map(*[x for w in indexed for x in (F.lit(ranked[w]), F.array(*[F.lit(t * _STEP + _SHIFT - p).cast("long") for t, p in POSTINGS[w]]))])
-    own = F.transform(F.filter("_hits", lambda h: h["w"].isin(indexed)), lambda h: F.struct(h["i"].alias("i"), F.element_at(number, h["w"]).alias("r")))
-    found = found.withColumn("_own", F.when(F.size("_hits") >= AGREE, own).otherwise(F.array().cast("array<struct<i:int,r:int>>")))
-    found = found.withColumn("_asked", F.slice(F.array_sort(F.array_distinct(F.transform("_own", lambda h: h["r"]))), 1, LOOKUPS))
-    voted = F.transform(F.filter("_own", lambda h: F.array_contains("_asked", h["r"])), lambda h: F.transform(F.element_at(votes, h["r"]), lambda v: v + h["i"]))
+    votes = F.create_map(*[x for w in sorted(POSTINGS) for x in (F.lit(w), F.array(*[F.lit(t * _STEP + _SHIFT - p).cast("long") for t, p in POSTINGS[w]]))])
+    own = F.filter("_hits", lambda h: h["w"].isin(sorted(POSTINGS)))
+    found = found.withColumn("_own", F.when(F.size("_hits") >= AGREE, own).otherwise(F.array().cast("array<struct<i:int,w:string>>")))
+    voted = F.transform("_own", lambda h: F.transform(F.element_at(votes, h["w"]), lambda v: v + h["i"]))
     found = found.withColumn("_votes", F.sort_array(F.flatten(voted)))
     found = found.withColumn("_places", F.array_distinct(F.filter("_votes", lambda v, k: F.get("_votes", k - (AGREE - 1)) == v)))
     templates = F.array(*[F.array(*map(F.lit, words)) for _, words, _, _ in TEMPLATE_WORDS])

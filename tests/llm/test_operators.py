@@ -37,6 +37,16 @@ def test_license_scan_counts_phrases_and_takes_nulls(spark):
     assert licences.scan(docs_of(spark, []).select("doc_id", "text")).count() == 0
 
 
+def test_license_scan_finds_every_template_of_a_file(spark):
+    texts = {label: text.replace("|", " ") for label, text in reversed(licences.TEMPLATES)}
+    rows = [(0, "\n".join((texts["epl"], texts["bsd"], texts["isc"])))] + [(i, texts["bsd"] + "\n" + texts["isc"]) for i in range(1, 6)]
+    rows += [(10, "\n".join(texts.values()))]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licences.scan(docs_of(spark, rows)).collect()}
+    assert got == {0: ("bsd,epl,isc", 1.0)} | {i: ("bsd,isc", 1.0) for i in range(1, 6)} | {10: (",".join(sorted(texts)), 1.0)}
+    for _, words, first, size in licences.TEMPLATE_WORDS:
+        assert sum(w in licences.POSTINGS for w in words[first : first + size]) >= licences.AGREE
+
+
 # op2
 def test_warc_round_trip_and_revisits(spark):
     big = "x" * 1000
