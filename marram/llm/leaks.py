@@ -2,9 +2,9 @@
 
 1. Items and documents become bags of five-word shingles (one shingle of all words where an
    item has fewer than five).
-2. A window has as many words as an item.  At a similarity of 4/5 or more it shares at least
-   8/9 of its shingles with the item, so windows that hold fewer shingles of any item are
-   passed over; that is exact.
+2. A window has as many words as an item; a document that is shorter is one window.  At a
+   similarity of 4/5 or more, at least 4/9 of the shingles of item and window together are
+   shared, so windows that hold fewer shingles of any item are passed over; that is exact.
 3. Every other window gets a SimHash of its bag.  The fingerprints of the items of that size
    are indexed by BLOCKS blocks of BLOCK_BITS bits, each with all values within
    RADIUS // BLOCKS flipped bits, so every item within RADIUS bits of a window agrees in one
@@ -136,9 +136,9 @@ def _short(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(total + np.uint64(n))
 
 
-def needed(shingles: int) -> int:
-    """Shared shingles that two bags of ``shingles`` each need for the threshold."""
-    return -(-2 * PART * shingles // (PART + WHOLE))
+def needed(a: int, b: int) -> int:
+    """Shared shingles that bags of ``a`` and ``b`` shingles need for the threshold."""
+    return -(-PART * (a + b) // (PART + WHOLE))
 
 
 def find(texts: list[str], items: Items) -> list[tuple[int, int, int, int, float]]:
@@ -169,29 +169,31 @@ def find(texts: list[str], items: Items) -> list[tuple[int, int, int, int, float
                 n, d = int(size[lo]), int(w.doc[first[spot[lo]]])
                 s = n - WORDS + 1
                 a, b = gram_begin[d], gram_begin[d + 1]
-                if s > b - a or hi - lo < needed(s):
+                t = min(s, int(b - a))
+                least = needed(s, t)
+                if hi - lo < least:
                     continue
                 own = grams[a:b]
                 mark = np.zeros(b - a + 1, np.int32)
                 mark[spot[lo:hi] - a + 1] = 1
                 count = np.cumsum(mark)
-                starts = np.flatnonzero(count[s:] - count[:-s] >= needed(s))
+                starts = np.flatnonzero(count[t:] - count[:-t] >= least)
                 if not len(starts):
                     continue
                 best: dict[int, tuple[float, int]] = {}
                 # Neighbouring windows share their bits' sums: take them by stretches.
-                for part in np.split(starts, np.flatnonzero(np.diff(starts) > s) + 1):
+                for part in np.split(starts, np.flatnonzero(np.diff(starts) > t) + 1):
                     base = part[0]
-                    prints = simhash(own[base : part[-1] + s], part - base, s)
+                    prints = simhash(own[base : part[-1] + t], part - base, t)
                     for q, p in zip(*items.index[n].near(prints), strict=True):
                         item, bag = items.bags[n][p]
                         start = int(part[q])
-                        common = weighted_overlap(own[start : start + s], bag)
-                        if common >= needed(s):
-                            score = common / (2 * s - common)
+                        common = weighted_overlap(own[start : start + t], bag)
+                        if common >= least:
+                            score = common / (s + t - common)
                             if item not in best or (-score, start) < (-best[item][0], best[item][1]):
                                 best[item] = (score, start)
-                out += [(d, item, start, n, score) for item, (score, start) in best.items()]
+                out += [(d, item, start, t + WORDS - 1, score) for item, (score, start) in best.items()]
     for n in short:
         runs = _short(w.hash, n)
         inside = np.flatnonzero(w.doc[: len(runs)] == w.doc[n - 1 : n - 1 + len(runs)]) if len(runs) else np.zeros(0, np.int64)

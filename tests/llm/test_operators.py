@@ -221,6 +221,26 @@ def test_leaks_match_brute_force(spark):
     assert leaks.contaminated(docs_of(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_documents_shorter_than_an_item_are_one_window(spark):
+    r = random.Random(12)
+    items = [(i, prose(r, n)) for i, n in enumerate((5, 6, 9, 16, 30, 56, 56))]
+    docs = []
+    for _, t in items:
+        own = t.split()
+        for head in range(8):
+            docs += [(len(docs) + k, " ".join(own[head : len(own) - tail])) for k, tail in enumerate(range(8))]
+    grams = lambda t: Counter(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4))
+    expected = {}
+    for i, t in items:
+        for d, text in docs:
+            a, b = grams(t), grams(text)
+            if len(text.split()) <= len(t.split()) and 5 * (a & b).total() >= 4 * (a | b).total():
+                expected[d, i] = (0, len(text.split()), pytest.approx((a & b).total() / (a | b).total()))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): tuple(r)[2:] for r in leaks.contaminated(docs_of(spark, docs), bench).collect()}
+    assert got == expected and len(got) > 100
+
+
 def test_hamming_index_finds_all_within_radius():
     r = np.random.default_rng(1)
     prints = r.integers(0, 1 << 63, 50, dtype=np.uint64)
