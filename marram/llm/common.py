@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are handled in chunks of about this many characters inside a task.
 CHUNK_CHARS = 250_000
@@ -48,6 +49,11 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def text_tag(text: Column) -> Column:
+    """With a doc_id, which may be null or repeated, what names a row: the hash of its text."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def chunks(texts: list[str], limit: int = CHUNK_CHARS):
     """Yield (first, last) ranges of ``texts`` of about ``limit`` characters each."""
     first = size = 0

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, chunks, mix
+from .common import ALNUM, Words, chunks, mix, text_tag
 
 WORDS = 5
 #: The threshold as a fraction: 4/5.
@@ -211,11 +211,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> D
     a doc_id or an item_id are one document or item: its best window counts (of equal ones,
     that with the smallest first word).
     """
+    best = F.max(F.struct("similarity", (-F.col("first_word")).alias("back"), "n_words")).alias("b")
+    found = _windows(docs, benchmark, text).groupBy("doc_id", "item_id").agg(best)
+    return found.select("doc_id", "item_id", (-F.col("b.back")).alias("first_word"), F.col("b.n_words").alias("n_words"), F.col("b.similarity").alias("similarity"))
+
+
+def _windows(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, tag, item_id, first_word, n_words, similarity) of the best window of every row and item."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_tag(F.col(text)).alias("tag"), F.col(text).cast("string").alias("_text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     blocks = -(-items.count() // ITEM_BLOCK) or 1
-    schema = "doc_id long, item_id long, first_word long, n_words long, similarity double"
+    schema = "doc_id long, tag long, item_id long, first_word long, n_words long, similarity double"
     found = []
     for k in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
@@ -229,14 +236,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> D
                     got = find(texts[lo:hi], own)
                     if got:
                         t, item, start, n, score = zip(*got, strict=True)
-                        yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[lo:hi].iloc[list(t)].astype("Int64").to_numpy(), "item_id": item, "first_word": start, "n_words": n, "similarity": score})
+                        yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[lo:hi].iloc[list(t)].astype("Int64").to_numpy(), "tag": pdf["tag"].iloc[lo:hi].iloc[list(t)].to_numpy(), "item_id": item, "first_word": start, "n_words": n, "similarity": score})
 
         found.append(rows.mapInPandas(run, schema))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    best = F.max(F.struct("similarity", (-F.col("first_word")).alias("back"), "n_words")).alias("b")
-    return every.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.back")).alias("first_word"), F.col("b.n_words").alias("n_words"), F.col("b.similarity").alias("similarity"))
+    return every
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,7 +252,8 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item; the columns of ``docs`` are kept.
 
-    A document without a doc_id goes if any such document holds an item.
+    A row goes by its doc_id and text, so a doc_id may be null or repeated.
     """
-    gone = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone"]), "left_anti")
+    found = _windows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = found.select(F.col("doc_id").alias("gone"), F.col("tag").alias("gone_tag")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone"]) & (text_tag(docs["text"]) == gone["gone_tag"]), "left_anti")

@@ -212,6 +212,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass; the columns of ``docs`` are kept."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = verdicts(docs, labels).filter("not kept").select("doc_id").distinct()
+    lang = docs["lang"] if "lang" in docs.columns else F.lit(None).cast("string")
+    # Rows are judged by text and language; a doc_id may be null or repeated.
+    row = lambda text, lang: F.xxhash64(F.coalesce(text.cast("string"), F.lit("")), F.coalesce(F.lower(lang.cast("string")), F.lit("none")))
+    rows = docs.select(docs["doc_id"], docs["text"], lang.alias("lang"), row(docs["text"], lang).alias("_row"))
+    judged = verdicts(rows, labels, keep=("doc_id", "_row")).filter("not kept").select("doc_id", "_row").distinct()
     # Sorted and merged at every size: whether the rejected ids could be sent to all depends on chance.
-    return docs.join(judged.hint("merge"), docs["doc_id"].eqNullSafe(judged["doc_id"]), "left_anti")
+    return docs.join(judged.hint("merge"), docs["doc_id"].eqNullSafe(judged["doc_id"]) & (row(docs["text"], lang) == judged["_row"]), "left_anti")

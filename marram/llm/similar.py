@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, chunks, materialise, mix
+from .common import ALNUM, Words, chunks, materialise, mix, text_tag
 from .graph import components
 
 WORDS = 5
@@ -95,7 +95,7 @@ def set_keys(grams: np.ndarray, offsets: np.ndarray, texts: list[str]) -> tuple[
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, k1, k2, n, bands) for every row: key and size of its set, keys of its bands."""
+    """(doc_id, tag, k1, k2, n, bands) for every row: tag of its text, key and size of its set, keys of its bands."""
 
     def run(frames):
         for pdf in frames:
@@ -106,10 +106,10 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
                 k1, k2 = set_keys(grams, offsets, part)
                 n = np.diff(offsets)
                 keys = band_keys(minhash(grams, offsets))
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[first:last].to_numpy(), "k1": k1, "k2": k2, "n": n, "bands": [row if m else row[:0] for row, m in zip(keys, n, strict=True)]})
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[first:last].to_numpy(), "tag": pdf["tag"].iloc[first:last].to_numpy(), "k1": k1, "k2": k2, "n": n, "bands": [row if m else row[:0] for row, m in zip(keys, n, strict=True)]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text"))
-    return rows.mapInPandas(run, "doc_id long, k1 long, k2 long, n long, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_tag(F.col(text)).alias("tag"), F.col(text).cast("string").alias("_text"))
+    return rows.mapInPandas(run, "doc_id long, tag long, k1 long, k2 long, n long, bands array<long>")
 
 
 def posterior(matches: int, of: int) -> float:
@@ -185,7 +185,7 @@ def compare(frames, key: tuple[str, ...]):
         texts = list(g["text"])
         grams, offsets = shingles(texts)
         k1, _ = set_keys(grams, offsets, texts)
-        # A doc_id that stands for several texts brings all of them; the node's own one counts.
+        # Rows that repeat a doc_id and a text bring one node several times; once counts.
         fit = np.flatnonzero(k1 == g["node"].to_numpy())
         node, at = np.unique(k1[fit], return_index=True)
         rows = fit[at]
@@ -236,18 +236,24 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     words (null, empty, punctuation) links to nothing and is a copy only of equal texts.
     Rows with a null doc_id take part; a class of such rows only has a null class_id.
     """
+    return _classes(docs, text).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def _classes(docs: DataFrame, text: str = "text") -> DataFrame:
+    """:func:`classes` with the tags of the row's text (tag) and of the first document's (class_tag)."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag"))
     prints = materialise(fingerprints(docs, text), "similar-prints")
-    reps = materialise(prints.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.any_value("bands").alias("bands")), "similar-reps")
+    reps = materialise(prints.groupBy("k1", "k2").agg(first.alias("rep"), F.count("*").alias("n_copies"), F.any_value("bands").alias("bands")), "similar-reps")
     banded = reps.select(F.col("k1").alias("node"), F.explode("bands").alias("band"))
     shared = materialise(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low")).filter("n > 1").drop("n"), "similar-bands")
     loose = components(banded.join(shared, "band").filter("node > low").select(F.col("node").alias("a"), F.col("low").alias("b")))
     loose = materialise(loose, "similar-loose")
     sizes = materialise(loose.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "similar-sizes")
     placed = loose.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    members = materialise(placed.join(reps.select(F.col("k1").alias("node"), "rep"), "node"), "similar-members")
-    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    members = materialise(placed.join(reps.select(F.col("k1").alias("node"), F.col("rep.doc_id").alias("rep"), F.col("rep.tag").alias("rep_tag")), "node"), "similar-members")
+    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_tag(F.col(text)).alias("tag"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     # Sorted and merged at every size: whether the members could be sent to all depends on chance.
-    given = members.join(body.hint("merge"), F.col("rep").eqNullSafe(F.col("doc_id"))).select("root", "node", "block", "blocks", "text")
+    given = members.join(body.hint("merge"), F.col("rep").eqNullSafe(F.col("doc_id")) & (F.col("rep_tag") == F.col("tag"))).select("root", "node", "block", "blocks", "text")
     tasks = given.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "text")
     key = ("root", "i", "j")
     found = materialise(
@@ -259,8 +265,9 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     nodes = reps.select("k1", "k2", "rep", "n_copies").join(label.withColumnRenamed("node", "k1"), "k1", "left").join(links.withColumnRenamed("node", "k1"), "k1", "left")
     nodes = materialise(nodes, "similar-nodes")
     named = materialise(nodes.filter("root is not null").groupBy("root").agg(F.min("rep").alias("named")), "similar-names")
-    full = nodes.join(named, "root", "left").select("k1", "k2", F.coalesce("named", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    return prints.select("doc_id", "k1", "k2").join(materialise(full, "similar-classes"), ["k1", "k2"]).select("doc_id", "class_id", "n_links", "n_copies")
+    full = nodes.join(named, "root", "left").select("k1", "k2", F.coalesce("named", "rep").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    rows = prints.select("doc_id", "tag", "k1", "k2").join(materialise(full, "similar-classes"), ["k1", "k2"])
+    return rows.select("doc_id", "tag", F.col("class.doc_id").alias("class_id"), F.col("class.tag").alias("class_tag"), "n_links", "n_copies")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,11 +277,15 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distinct_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class: that with the smallest doc_id.
 
-    doc_id names a document; rows that repeat it are one document, of which one row stays.
+    doc_id and text name a document; rows that repeat both are one, of which one row stays.
     Rows without a doc_id stay only if their class has no document with one, and then one does.
     """
-    found = materialise(classes(docs), "similar-result")
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(gone["gone"]), "left_anti")
-    repeated = found.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    found = materialise(_classes(docs), "similar-result")
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("tag") == F.col("class_tag"))
+    gone = found.filter(~stays).select(F.col("doc_id").alias("gone"), F.col("tag").alias("gone_tag")).distinct()
+    kept = docs.join(gone.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(gone["gone"]) & (text_tag(docs["text"]) == gone["gone_tag"]), "left_anti")
+    repeated = found.groupBy("doc_id", "tag").count().filter("count > 1").limit(1).count()
+    if not repeated:
+        return kept
+    name = "_tag" + "_" * max(map(len, docs.columns))
+    return kept.withColumn(name, text_tag(kept["text"])).dropDuplicates(["doc_id", name]).drop(name)

@@ -338,6 +338,25 @@ def test_stages_keep_columns_with_clashing_names(spark, tmp_path):
         assert out.columns == docs.columns and out.count() == 4, stage
 
 
+def test_stages_keep_clean_rows_of_null_and_repeated_ids(spark, tmp_path):
+    r = random.Random(21)
+    clean, item = [prose(random.Random(300 + k), 90) for k in range(6)], prose(r, 30)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    texts = lambda df: sorted(x["text"] or "" for x in df.collect())
+    whole = [(None, clean[0]), (None, clean[1]), (7, clean[2]), (7, clean[3])]
+    for stage, bad in ((quality.filter_stage, "too short"), (leaks.clean_stage, prose(r, 20) + " " + item)):
+        got = stage(spark, docs_of(spark, whole + [(None, bad), (7, bad)]), str(tmp_path))
+        assert texts(got) == sorted(clean[:4]), stage
+    # A copy of a numbered document without an id, one of another class under the same id, copies without any id.
+    rows = whole + [(1, clean[4]), (None, clean[4]), (7, clean[4]), (None, clean[1]), (None, clean[5] + " more"), (None, clean[5]), (None, None), (None, "")]
+    got = texts(similar.distinct_stage(spark, docs_of(spark, rows), str(tmp_path)))
+    assert len(got) == 7 and set(got) > {"", *clean[:5]} and got.count(clean[1]) == 1
+    found = similar.classes(docs_of(spark, rows))
+    assert found.columns == ["doc_id", "class_id", "n_links", "n_copies"] and found.count() == len(rows)
+    assert sum(x["n_links"] for x in found.collect()) == 2
+
+
 def test_pipeline_on_small_tables(spark, tmp_path):
     import corpus_pipeline
 
