@@ -34,10 +34,16 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 #: An element that none of ENDS reaches beyond.
 SCOPE = frozenset("ul ol dl table div section article body".split())
 SECTIONS = frozenset("nav header footer aside article main section form figure blockquote table ul ol body".split())
+#: Start tags that a head may hold; any other ends it.
+HEADED = frozenset("base basefont bgsound html link meta noframes".split())
+#: No start tag ends an element that is open outside these.
+BARRED = SCOPE | {"object"}
+#: Elements whose own content is not read.
+UNREAD = ("object", "audio", "video")
 #: Elements that end an open paragraph.
 _NOT_INLINE_P = INLINE | {"label", "button"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea|svg|math|select|iframe|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(script|style|noscript|template|title|textarea|svg|math|select|iframe|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -73,12 +79,14 @@ def leaf_blocks(page: str, paths: Paths):
     """(text, linked characters, path) of every leaf block, in page order.
 
     Tags may be unclosed or misplaced: an end tag without an open element is ignored, a
-    paragraph ends where another block starts.
+    paragraph ends where another block starts.  A head ends at the first tag that it may not
+    hold or at text; an unread element ends with its own end tag or that of an element around it.
     """
     if len(paths.rows) > Paths.LIMIT:
         paths.clear()
     rows, at, out, parts = paths.rows, 0, [], []
-    linked = anchors = hidden = 0
+    linked = anchors = unread = 0
+    head = False
 
     def settle():
         nonlocal linked
@@ -87,18 +95,19 @@ def leaf_blocks(page: str, paths: Paths):
             parts.clear()
             if text:
                 place = at
-                while rows[place][0] in INLINE:
+                while rows[place][0] in INLINE or rows[place][0] in UNREAD:
                     place = rows[place][1]
                 out.append((text, min(linked, len(text)), place))
         linked = 0
 
     def leave(tags, scope) -> bool:
-        nonlocal at, anchors
+        nonlocal at, anchors, unread
         place = at
         while place > 0 and rows[place][0] not in scope:
             if rows[place][0] in tags:
                 while True:
                     anchors -= rows[at][0] == "a"
+                    unread -= rows[at][0] in UNREAD
                     last, at = at, rows[at][1]
                     if last == place:
                         return True
@@ -108,7 +117,8 @@ def leaf_blocks(page: str, paths: Paths):
     for m in _TOKEN.finditer(page):
         whole = m[0]
         if whole[0] != "<" or whole == "<":
-            if not hidden:
+            head = head and not whole.strip()
+            if not head and not unread:
                 parts.append(whole)
                 if anchors > 0:
                     linked += len(whole)
@@ -117,6 +127,8 @@ def leaf_blocks(page: str, paths: Paths):
         if tag is None:
             continue
         tag = tag.lower()
+        if head and (tag in ("head", "body", "html", "br") if m[2] else tag not in HEADED):
+            head = False
         if tag in INLINE:
             if m[2]:
                 if tag == "a":
@@ -127,19 +139,26 @@ def leaf_blocks(page: str, paths: Paths):
                 at = paths.child(at, "a", "")
                 anchors += 1
             continue
-        if tag in ("head", "object", "audio", "video"):
-            hidden += -1 if m[2] and hidden else 0 if m[2] else 1
+        if tag == "head":
+            head = not m[2]
             continue
-        if tag == "body":
-            hidden = 0
+        if tag in UNREAD:
+            if m[2]:
+                leave((tag,), ())
+            elif not m[4].endswith("/"):
+                at = paths.child(at, tag, "")
+                unread += 1
+            continue
+        while tag == "body" and unread:
+            leave(UNREAD, ())
         settle()
         if m[2]:
             leave((tag,), ())
             continue
         if tag in ENDS:
-            leave(ENDS[tag], SCOPE)
+            leave(ENDS[tag], BARRED)
         if tag not in _NOT_INLINE_P:
-            leave(("p",), SCOPE)
+            leave(("p",), BARRED)
         if tag not in VOID and not m[4].endswith("/"):
             at = paths.child(at, tag, m[4])
     settle()

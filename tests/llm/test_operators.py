@@ -96,6 +96,20 @@ def test_extraction_handles_odd_pages(spark):
     assert sorted(got, key=repr) == sorted([(1, "u", text, len(text)), (1, "u", text, len(text)), (2, None, "", 0), (3, "u", "", 0), (4, "u", "", 0)], key=repr)
 
 
+def test_unclosed_and_self_closed_elements_lose_no_text():
+    blocks = lambda page: [b[0] for b in html.leaf_blocks(page, html.Paths())]
+    assert blocks("<html><head><title>t</title><meta charset=x><link href=y><p>One.<p>Two.") == ["One.", "Two."]
+    assert blocks("<head><title>t</title>plain text<div>One.</div>") == ["plain text", "One."]
+    assert blocks("<head><meta a=b>\n</head><body><p>One.") == ["One."]
+    for tag in ("object", "audio", "video"):
+        assert blocks(f"<div><{tag} data=x>no</div><p>One.") == ["One."]
+        assert blocks(f"<div>a <{tag} data=x>no</{tag}> b</div><p>One.") == ["a b", "One."]
+        assert blocks(f"<div>a <{tag} data=x><p>no</p></{tag}> b</div>") == ["a", "b"]
+        assert blocks(f"<div><{tag}><{tag}>no</{tag}>no</{tag}></{tag}>One.</div>") == ["One."]
+    for tag in ("svg", "math"):
+        assert blocks(f"<div><{tag} viewBox='0 > 1' a=b/><p>One.</p><{tag}><path/>no</{tag}><p>Two.") == ["One.", "Two."]
+
+
 # op4
 def plain_counts(text):
     words = [w for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
