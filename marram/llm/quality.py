@@ -29,8 +29,6 @@ DELTA = 0.05
 STATISTICS = ("symbol_share", "dup_line_share", "repeat_share", "upper_share", "mark_share", "short_share")
 #: Cutoffs are multiples of 1/GRID.
 GRID = 50
-#: Strata are the languages; beyond this many, the rest share the stratum "other".
-MAX_STRATA = 64
 
 _SPACE = " \t\n\v\f\r"
 _SYMBOLS = np.zeros(256, bool)
@@ -124,23 +122,33 @@ def base_failed() -> F.Column:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X ~ Binomial(n, p), exactly up to rounding."""
+    """P(X <= k) for X ~ Binomial(n, p), up to rounding: terms from the largest down until they are negligible."""
     if k >= n:
         return 1.0
-    log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(max(0, k - 2000), k + 1)]
-    top = max(log)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in log))
-
-
-def choose_cutoffs(bins: pd.DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> pd.DataFrame:
+    peak = min(k, int((n + 1) * p))
+    top = math.lgamma(n + 1) - math.lgamma(peak + 1) - math.lgamma(n - peak + 1) + peak * math.log(p) + (n - peak) * math.log1p(-p)
+    odds, total = p / (1 - p), 1.0
+    term, i = 1.0, peak
+    while i > 0 and term > 1e-18 * total:
+        term *= i / ((n - i + 1) * odds)
+        total, i = total + term, i - 1
+    term, i = 1.0, peak
+    while i < k and term > 1e-18 * total:
+        term *= (n - i) * odds / (i + 1)
+        total, i = total + term, i + 1
+    return min(1.0, math.exp(top + math.log(total)))
+
+
+def choose_cutoffs(bins: pd.DataFrame, alpha: float = ALPHA, delta: float = DELTA, tests: int | None = None) -> pd.DataFrame:
     """Certified cutoffs from histograms (stratum, statistic, bin, good, bad).
 
     A row (stratum, statistic, cutoff, good_rejected, good, bad_rejected, bad, p_value)
     means: reject where floor(statistic * GRID) >= cutoff.  Rules without a useful
-    certified cutoff have no row.
+    certified cutoff have no row.  ``tests`` counts rules and strata, also those left out of
+    ``bins``; by default, those in it.
     """
     out = []
-    tests = max(1, bins["stratum"].nunique() * len(STATISTICS))
+    tests = tests or max(1, bins["stratum"].nunique() * len(STATISTICS))
     for (stratum, statistic), part in bins.groupby(["stratum", "statistic"], sort=True):
         good, bad = (np.zeros(GRID + 1, np.int64) for _ in range(2))
         np.add.at(good, part["bin"].to_numpy(int), part["good"].to_numpy(int))
@@ -167,8 +175,9 @@ def stratum(lang: str = "lang") -> F.Column:
 def calibrate(stats: DataFrame, labels: DataFrame) -> pd.DataFrame:
     """Histogram the labelled documents in Spark, then choose cutoffs from the histogram.
 
-    What reaches the driver has at most (MAX_STRATA + 1) * len(STATISTICS) * (GRID + 1) rows
-    whatever the number of documents.  Documents that fail the base rules are no part of the
+    Every language is a stratum.  Only strata with enough good documents to certify a cutoff
+    that rejects none of them reach the driver, each as len(STATISTICS) * (GRID + 1) rows at
+    most; all count as tests.  Documents that fail the base rules are no part of the
     holdout: they are rejected already.  A document with several labels counts once, as bad
     if any label says so.
     """
@@ -180,7 +189,11 @@ def calibrate(stats: DataFrame, labels: DataFrame) -> pd.DataFrame:
         .groupBy("stratum", "p.statistic", "p.bin")
         .agg(F.count_if("ok").alias("good"), F.count_if(~F.col("ok")).alias("bad"))
     )
-    return choose_cutoffs(hist.toPandas())
+    hist = materialise(hist, "quality-bins")
+    strata = hist.filter(F.col("statistic") == STATISTICS[0]).groupBy("stratum").agg(F.sum("good").alias("n"))
+    tests = max(1, strata.count() * len(STATISTICS))
+    able = strata.filter(F.col("n") >= math.floor(math.log(DELTA / tests) / math.log1p(-ALPHA))).select("stratum")
+    return choose_cutoffs(hist.join(able, "stratum", "left_semi").toPandas(), tests=tests)
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -194,12 +207,11 @@ def verdicts(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_i
     wanted = tuple(dict.fromkeys((*keep, "doc_id")))
     counts = document_counts(langs.withColumn("_stratum", stratum()), keep=(*wanted, "_stratum"))
     stats = with_statistics(materialise(counts, "quality-counts").withColumnRenamed("_stratum", "stratum"))
-    known = [r[0] for r in stats.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(MAX_STRATA).collect()]
-    stats = stats.withColumn("stratum", F.when(F.col("stratum").isin(known), F.col("stratum")).otherwise("other"))
     rules = calibrate(stats, labels)
     rejected = F.lit(False)
-    for r in rules.itertuples():
-        rejected = rejected | ((F.col("stratum") == r.stratum) & (F.floor(F.col(r.statistic) * GRID) >= int(r.cutoff)))
+    for statistic, part in rules.groupby("statistic"):
+        cutoffs = F.create_map(*[F.lit(x) for r in part.itertuples() for x in (r.stratum, int(r.cutoff))])
+        rejected = rejected | F.coalesce(F.floor(F.col(statistic) * GRID) >= F.try_element_at(cutoffs, F.col("stratum")), F.lit(False))
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected)
 
 

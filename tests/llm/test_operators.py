@@ -142,6 +142,18 @@ def test_binomial_tail_is_exact():
         assert quality.binomial_tail(k, n, 0.01) == pytest.approx(exact, rel=1e-9)
 
 
+def test_every_language_is_a_stratum(spark):
+    rows = [(i, "a", f"l{i % 70}", "s", 1) for i in range(139)]
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality.verdicts(spark.createDataFrame(rows, SCHEMA), labels).select("stratum").distinct().collect()
+    assert {r["stratum"] for r in got} == {f"l{k}" for k in range(70)}
+
+
+def test_binomial_tail_of_large_strata():
+    assert quality.binomial_tail(10**7, 10**9, 0.01) == pytest.approx(0.5, abs=1e-3)
+    assert quality.binomial_tail(10**7 + 3 * 3146, 10**9, 0.01) == pytest.approx(0.99865, abs=1e-4)
+
+
 # op5
 def test_url_rules(spark):
     rows = [(1, "https://A.Example.NET/en/x?q"), (2, "http://x.net"), (3, "http://x.net/y"), (4, None), (5, "no"), (6, "ftp://example.com/de/"), (7, "http://notexample.com/de/"), (8, "http://a.org/fr/z#x"), (8, "http://a.org/fr/z#x")]
