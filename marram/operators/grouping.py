@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +16,8 @@ from .reports import blank
 
 #: Largest mean distance of artist and album at which a track joins a cluster.
 NEAR = 0.25
-#: Distinct (artist, album) keys that one fold of :func:`tag_clusters` takes.
-FOLD_KEYS = 20_000
+#: Distinct (artist, album) keys in one part of a comparison of :func:`tag_clusters`.
+PAIR_KEYS = 2_000
 
 
 def group_key(basis: Column, value: Column) -> Column:
@@ -50,7 +53,7 @@ def vote_counts(votes: DataFrame) -> DataFrame:
     return votes.groupBy("release_id").agg(F.count("*").alias("votes"))
 
 
-def fingerprint_groups(votes: DataFrame, least: int = 3, share: float = 0.5, rounds: int = 50) -> DataFrame:
+def fingerprint_groups(votes: DataFrame, least: int = 3, share: float = 0.5) -> DataFrame:
     """(release_id, track_id): releases claim their voters, the most voted first (ties by id).
 
     A release passes unless it has fewer than two free voters, or both fewer than the global
@@ -63,7 +66,7 @@ def fingerprint_groups(votes: DataFrame, least: int = 3, share: float = 0.5, rou
     ranked = written(votes.join(vote_counts(votes), "release_id").withColumn("rank", F.struct(-F.col("votes"), "release_id")), "votes")
     claims = None
     open_ = ranked
-    for _ in range(rounds):
+    while True:
         first = open_.groupBy("track_id").agg(F.min("rank").alias("top"))
         seen = open_.join(first, "track_id").groupBy("release_id", "rank", "votes").agg(F.count("*").alias("free"), F.bool_and(F.col("rank") == F.col("top")).alias("ready"))
         state = written(seen, "vote-round")
@@ -74,46 +77,77 @@ def fingerprint_groups(votes: DataFrame, least: int = 3, share: float = 0.5, rou
         open_ = written(open_.join(settled.select("release_id"), "release_id", "left_anti").join(won.select("track_id"), "track_id", "left_anti"), "vote-open")
         if open_.isEmpty():
             return claims
-    raise RuntimeError("fingerprint groups did not settle")
 
 
 def tag_clusters(tracks: DataFrame, order: str, block: Column | None = None) -> DataFrame:
     """(id, leader_id, distance): each track joins the first cluster whose leader is near, else leads one.
 
-    Tracks of equal match keys always share a cluster, so the fold runs over distinct key
-    pairs, in the order of their first tracks.  Clusters depend on that order and two near
-    names may share no word, so the fold is one task a ``block``; without a block (no
-    restriction) the number of distinct pairs must not pass FOLD_KEYS.
+    Tracks of equal match keys always share a cluster, so distinct key pairs are compared, in
+    the order of their first tracks, and only within a ``block`` if there is one.  Near pairs
+    are found between parts of about PAIR_KEYS keys, a pair of parts a task; a key joins if an
+    earlier leader is near it, which is settled in rounds of joins until none is open.
     """
     artist, album = F.coalesce("album_artist", "artist"), F.col("album")
     names = tracks.select("id", F.col(order).alias("at"), artist.alias("artist"), album.alias("album"), (block if block is not None else F.lit(0)).alias("block"))
     pairs = names.groupBy("block", "artist", "album").agg(F.min(F.struct("at", "id")).alias("first"))
     keyed = written(pairs.select("block", "artist", "album", match_key_column("artist").alias("artist_key"), match_key_column("album").alias("album_key"), "first.at", "first.id"), "tag-names")
     distinct = keyed.groupBy("block", "artist_key", "album_key").agg(F.min(F.struct("at", "id")).alias("first")).select("block", "artist_key", "album_key", "first.at", "first.id")
-    if block is None and distinct.count() > FOLD_KEYS:
-        raise ValueError(f"more than {FOLD_KEYS} distinct names: give a block")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "id"], kind="stable")
-        leaders: list[tuple[str, str, int]] = []
-        out = []
-        for a, b, own in zip(pdf["artist_key"], pdf["album_key"], pdf["id"], strict=True):
-            for la, lb, lead in leaders:
-                d = (key_distance(a, la) + key_distance(b, lb)) / 2
-                if d <= NEAR:
-                    out.append((a, b, lead, d))
-                    break
-            else:
-                leaders.append((a, b, own))
-                out.append((a, b, own, 0.0))
-        return pd.DataFrame(out, columns=["artist_key", "album_key", "leader_id", "distance"]).assign(block=pdf["block"].iloc[0])
-
-    found = distinct.groupBy("block").applyInPandas(fold, f"artist_key string, album_key string, leader_id long, distance double, block {dict(distinct.dtypes)['block']}")
+    node = ("at", "id", "artist_key", "album_key")
+    distinct = written(distinct, "tag-keys")
+    parts = max(1, math.ceil(distinct.count() / PAIR_KEYS))
+    kinds = dict(distinct.dtypes)
+    dealt = distinct.withColumn("part", F.pmod(F.xxhash64("artist_key", "album_key"), F.lit(parts)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    flat = ", ".join(["block " + kinds["block"], *(f"{side}_{c} {kinds[c]}" for side in ("late", "early") for c in node), "distance double"])
+    near = dealt.groupBy("block", "i", "j").applyInPandas(lambda pdf: _near_keys(pdf, node), flat)
+    pick = lambda side: F.struct(*[F.col(f"{side}_{c}").alias(c) for c in node]).alias(side)
+    near = written(near.select("block", pick("late"), pick("early"), "distance"), "tag-near")
+    joined = None
+    open_ = near.select("block", "late", "early")
+    while not open_.isEmpty():
+        waiting = open_.select("block", F.col("late").alias("early")).distinct()
+        more = written(open_.join(waiting, ["block", "early"], "left_anti").select("block", "late").distinct(), "tag-joined")
+        joined = more if joined is None else joined.unionByName(more)
+        gone = more.withColumnRenamed("late", "early")
+        open_ = written(open_.join(more, ["block", "late"], "left_anti").join(gone, ["block", "early"], "left_anti").select("block", "late", "early"), "tag-open")
+    keys = distinct.select("block", F.struct(*node).alias("late"))
+    if joined is None:
+        joined = keys.limit(0)
+    leads = keys.join(joined, ["block", "late"], "left_anti").select("block", "late", F.struct(F.col("late").alias("early"), F.lit(0.0).alias("distance")).alias("to"))
+    follows = near.join(joined.withColumnRenamed("late", "early"), ["block", "early"], "left_anti").groupBy("block", "late").agg(F.min(F.struct("early", "distance")).alias("to"))
+    found = leads.unionByName(follows).select("block", "late.artist_key", "late.album_key", F.col("to.early.id").alias("leader_id"), F.col("to.distance").alias("distance"))
     spread = keyed.select("block", "artist", "album", "artist_key", "album_key").join(found, ["block", "artist_key", "album_key"]).select("block", "artist", "album", "leader_id", "distance")
     same = (names["block"] == spread["block"]) & names["artist"].eqNullSafe(spread["artist"]) & names["album"].eqNullSafe(spread["album"])
     return names.join(spread, same).select(names["id"], "leader_id", "distance")
 
 
+def _near_keys(pdf: pd.DataFrame, node: tuple[str, ...]) -> pd.DataFrame:
+    """Near keys of two parts, the later one first; letters in common bound a distance from below."""
+    pdf = pdf.sort_values(list(node), kind="stable").reset_index(drop=True)
+    size, bags = {}, {}
+    for c in ("artist_key", "album_key"):
+        size[c] = pdf[c].str.len().to_numpy(np.int64)
+        bags[c] = np.zeros((len(pdf), 64), np.int16)
+        for i, t in enumerate(pdf[c]):
+            for ch in t:
+                bags[c][i, ord(ch) % 64] += 1
+    part, across = pdf["part"].to_numpy(), pdf["i"].iloc[0] != pdf["j"].iloc[0]
+    artists, albums, late, early, found = list(pdf["artist_key"]), list(pdf["album_key"]), [], [], []
+    for k in range(1, len(pdf)):
+        least = np.zeros(k)
+        for c in size:
+            both = np.maximum(size[c][:k] + size[c][k], 1)
+            least += np.where(size[c][:k] + size[c][k] > 0, 1 - 2 * np.minimum(bags[c][:k], bags[c][k]).sum(1) / both, 0)
+        for e in np.flatnonzero((least / 2 <= NEAR + 1e-9) & ((part[:k] != part[k]) | (not across))):
+            d = (key_distance(artists[k], artists[e]) + key_distance(albums[k], albums[e])) / 2
+            if d <= NEAR:
+                late.append(k)
+                early.append(e)
+                found.append(d)
+    sides = [pdf[list(node)].iloc[at].reset_index(drop=True).add_prefix(name) for name, at in (("late_", late), ("early_", early))]
+    return pd.concat([pd.Series([pdf["block"].iloc[0]] * len(late), name="block", dtype=pdf["block"].dtype), *sides, pd.Series(found, name="distance", dtype=float)], axis=1)
+
+
 def cluster_confidence(clusters: DataFrame) -> DataFrame:
     """(leader_id, members, confidence) of clusters of two or more: the tighter, the surer."""
     mean = F.avg(F.when(F.col("id") != F.col("leader_id"), F.col("distance")))

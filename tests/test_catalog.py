@@ -165,3 +165,20 @@ def test_matching_takes_every_order(spark, tmp_path):
     for name in ("e10_alignment_cost", "e11_album_scores", "e14_e16_rank", "e15_decisions", "e9_e12_single_scores"):
         got = Q.Q.queries[name](spark, str(tmp_path))
         assert {r["case_id"] for r in got.collect()} == set(range(1, 8)), name
+
+
+def test_tag_clusters_equal_the_fold(spark, monkeypatch):
+    from marram.functions.text import key_distance
+
+    r = np.random.default_rng(7)
+    rows = [(i, None, "".join(r.choice(list("ab c"), 6)) or None, "".join(r.choice(list("xyz "), 5))) for i in range(60)]
+    leaders, expected = [], {}
+    for i, _, a, b in rows:
+        a, b = match_key(a), match_key(b)
+        near = ((lead, (key_distance(a, la) + key_distance(b, lb)) / 2) for la, lb, lead in leaders)
+        expected[i] = next((x for x in near if x[1] <= G.NEAR), None) or (i, 0.0)
+        if expected[i][0] == i:
+            leaders.append((a, b, i))
+    monkeypatch.setattr(G, "PAIR_KEYS", 20)
+    got = G.tag_clusters(spark.createDataFrame(rows, "id long, album_artist string, artist string, album string"), "id").collect()
+    assert {x["id"]: (x["leader_id"], x["distance"]) for x in got} == expected and len(leaders) > 5
