@@ -182,3 +182,9 @@ def test_tag_clusters_equal_the_fold(spark, monkeypatch):
     monkeypatch.setattr(G, "PAIR_KEYS", 20)
     got = G.tag_clusters(spark.createDataFrame(rows, "id long, album_artist string, artist string, album string"), "id").collect()
     assert {x["id"]: (x["leader_id"], x["distance"]) for x in got} == expected and len(leaders) > 5
+
+
+def test_long_chains_of_fingerprint_claims_settle(spark):
+    votes = [(4 * k + i, f"r{k:03d}") for k in range(52) for i in range(5)]
+    got = G.fingerprint_groups(spark.createDataFrame(votes, "track_id long, release_id string"))
+    assert got.count() == 5 + 51 * 4
