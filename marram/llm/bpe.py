@@ -17,14 +17,19 @@ import hashlib
 import re
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 #: Pieces and neighbour pairs remembered in a worker; a full table is emptied.
 MEMO = 500_000
 
+#: Fixed value: the pattern that _FAST stands for on characters below U+0250.
+_FAST_OF = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Characters below U+0250 by class, where every Unicode version agrees.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\\t\\n\\v\\f\\r \\x85\\xa0"
 _FAST = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
@@ -52,12 +57,13 @@ class Encoder:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.pattern = regex.compile(pattern)
+        self.quick = _FAST if pattern == _FAST_OF else self.pattern
         self.whole = {b.decode("latin-1"): i for b, i in ranks.items()}
         self.text_of = {i: t for t, i in self.whole.items()}
         self.size_of = {i: len(b) for b, i in ranks.items()}
         self.widest = max(map(len, ranks))
         self.fits: dict[int, bool] = {}
-        self.pieces: dict[str, tuple[str, int, bytes]] = {}
+        self.pieces: dict[str, tuple[str, bytes, list[int]]] = {}
         self.shorter: dict[int, int] = {}
         self.spines: dict[int, tuple[list, list] | None] = {}
         self.automaton = ahocorasick.Automaton()
@@ -198,33 +204,33 @@ class Encoder:
         return out
 
     def split(self, text: str) -> list[str]:
-        return (self.pattern if _BEYOND.search(text) else _FAST).findall(text)
+        return (self.pattern if _BEYOND.search(text) else self.quick).findall(text)
 
-    def _piece(self, piece: str) -> tuple[str, int, bytes]:
-        """Ids of a piece as text, their number, the bytes that they decode to."""
+    def _piece(self, piece: str) -> tuple[str, bytes, list[int]]:
+        """Ids of a piece as text, the bytes that they decode to, the ids."""
         ids = self.encode_bytes(piece.encode("utf-8", "replace"))
         if len(self.pieces) >= MEMO:
             self.pieces.clear()
-        found = (",".join(map(str, ids)), len(ids), self.decode(ids))
+        found = (",".join(map(str, ids)), self.decode(ids), ids)
         if len(piece) <= 64:
             self.pieces[piece] = found
         return found
 
     def encode(self, text: str) -> list[int]:
         get = self.pieces.get
-        return [int(i) for p in self.split(text) for i in (get(p) or self._piece(p))[0].split(",")]
+        return [i for p in self.split(text) for i in (get(p) or self._piece(p))[2]]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids' decimal form, SHA-256 of the decoded bytes."""
+    def digest(self, text: str) -> tuple[list[int], str, str]:
+        """The ids, SHA-256 of the ids' decimal form, SHA-256 of the decoded bytes."""
         get, make = self.pieces.get, self._piece
         found = [get(p) or make(p) for p in self.split(text)]
         ids, decoded = hashlib.sha256(), hashlib.sha256()
         ids.update(",".join([f[0] for f in found]).encode())
-        decoded.update(b"".join([f[2] for f in found]))
-        return sum([f[1] for f in found]), ids.hexdigest(), decoded.hexdigest()
+        decoded.update(b"".join([f[1] for f in found]))
+        return [i for f in found for i in f[2]], ids.hexdigest(), decoded.hexdigest()
 
 
 _loaded: dict[tuple[str, str], Encoder] = {}
@@ -268,21 +274,32 @@ def decode_documents(docs: DataFrame, vocabulary: str, pattern: str, ids: str =
     return docs.withColumn(column, run(ids))
 
 
-def digest_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 for every row.
+def digest_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """``keep`` columns, n_tokens, ids_sha256 and decoded_sha256 for every row; ``ids`` too if asked for.
 
-    Encodes and decodes each whole text in the task that reads it; null and empty texts have
-    no ids, repeated rows are encoded each.
+    Encodes and decodes each whole text in the task that reads it, one text at a time; null
+    and empty texts have no ids, repeated rows are encoded each, an empty table gives none.
     """
     data = _tables(docs.sparkSession, vocabulary)
+    fields = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if with_ids else {})
 
-    def run(frames):
+    def make():
         e = encoder(vocabulary, pattern, data.value)
-        for pdf in frames:
-            got = [e.digest(t if isinstance(t, str) else "") for t in pdf["_text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [g[0] for g in got], "ids_sha256": [g[1] for g in got], "decoded_sha256": [g[2] for g in got]})
 
-    return docs.select("doc_id", F.col(text).cast("string").alias("_text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        def run(texts: list[str]) -> dict:
+            out: dict = {name: [] for name in fields}
+            for t in texts:
+                ids, own, decoded = e.digest(t)
+                out["n_tokens"].append(len(ids))
+                out["ids_sha256"].append(own)
+                out["decoded_sha256"].append(decoded)
+                if with_ids:
+                    out["ids"].append(np.array(ids, np.int32))
+            return out
+
+        return run
+
+    return map_texts(docs.select(*keep, F.col(text).cast("string").alias("_text")), make, fields)
 
 
 def _defaults() -> tuple[str, str]:
@@ -296,5 +313,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage of the pipeline: the ids of every document, with the digests."""
-    return digest_documents(docs, *_defaults())
+    """Last stage of the pipeline: doc_id, source and lang (where ``docs`` has them), the ids, their number and the digests of every document."""
+    keep = tuple(c for c in ("doc_id", "source", "lang") if c in docs.columns)
+    return digest_documents(docs, *_defaults(), keep=keep, with_ids=True)

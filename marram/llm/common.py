@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Texts are handled in chunks of about this many characters inside a task.
 CHUNK_CHARS = 250_000
@@ -16,10 +19,13 @@ CHUNK_CHARS = 250_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees (``spark.checkpoint.dir``).
 
-    Where the session names none (a test on one machine), a fresh local folder is set.
+    Where a session on one machine names none (a test), a fresh local folder is set; a
+    cluster must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="marram-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,10 +46,10 @@ def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by :func:`materialise` that nothing reads any more."""
-    path = getattr(df, "_marram_path", None)
-    if path:
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`materialise` that nothing reads any more."""
+    for df in tables:
+        path = df._marram_path
         spark = df.sparkSession
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
@@ -54,6 +60,38 @@ def text_tag(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
+_ARROW = {
+    "long": pa.int64(),
+    "int": pa.int32(),
+    "double": pa.float64(),
+    "string": pa.string(),
+    "array<long>": pa.list_(pa.int64()),
+    "array<int>": pa.list_(pa.int32()),
+    "array<double>": pa.list_(pa.float64()),
+    "array<string>": pa.list_(pa.string()),
+}
+
+
+def map_texts(rows: DataFrame, make: Callable[[], Callable[[list[str]], dict]], fields: dict[str, str], text: str = "_text") -> DataFrame:
+    """``rows`` without ``text``, and ``fields`` as a function of the texts gives them.
+
+    ``make`` is called once a task for that function, which takes the texts of a batch (null
+    as empty) and gives a list or array a field.  All other columns pass by as Arrow, so
+    they may have any type and a long beside a null keeps its value.
+    """
+    schema = StructType([f for f in rows.schema.fields if f.name != text] + [StructType.fromDDL(f"{n} {kind}").fields[0] for n, kind in fields.items()])
+
+    def run(batches):
+        own = make()
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            got = own([t or "" for t in batch.column(at).to_pylist()])
+            made = [pa.array(got[n], _ARROW[kind]) for n, kind in fields.items()]
+            yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at] + made, schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def chunks(texts: list[str], limit: int = CHUNK_CHARS):
     """Yield (first, last) ranges of ``texts`` of about ``limit`` characters each."""
     first = size = 0

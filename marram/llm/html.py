@@ -14,10 +14,10 @@ import html as entities
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import map_texts
 from .labelled import MAIN, labelled_pages
 
 #: Labelled pages that the model is fitted on, and gradient steps.
@@ -312,15 +312,16 @@ def extract(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page
     # Names and weights of a few hundred features: bounded by the labelled pages.
     sent = pages.sparkSession.sparkContext.broadcast(field or train())
 
-    def run(frames):
+    def make():
         model, paths, held = sent.value, Paths(), {}
-        for pdf in frames:
-            texts = [main_text(p, model, paths, held) if isinstance(p, str) and p else "" for p in pdf["_page"]]
-            yield pdf.drop(columns="_page").assign(text=texts, n_chars=[len(t) for t in texts])
 
-    source = pages.select(*keep, F.col(page).cast("string").alias("_page"))
-    kinds = dict(source.dtypes)
-    return source.mapInPandas(run, ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["text string", "n_chars long"]))
+        def run(texts: list[str]) -> dict:
+            found = [main_text(p, model, paths, held) if p else "" for p in texts]
+            return {"text": found, "n_chars": [len(t) for t in found]}
+
+        return run
+
+    return map_texts(pages.select(*keep, F.col(page).cast("string").alias("_text")), make, {"text": "string", "n_chars": "long"})
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

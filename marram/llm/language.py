@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, map_texts
 
 #: Trigrams are hashed into this many classes.
 BUCKETS = 8192
@@ -23,6 +23,8 @@ PRIOR = 0.5
 ROUNDS = 12
 #: A further language must raise the log-likelihood by this many times log(trigrams).
 PENALTY = 2.0
+#: Languages that a model may have (32 KB each); more are an error, none is dropped.
+MOST = 1000
 #: A batch holds this many documents at most, so that counts per batch stay under 10 MB.
 BATCH = 128
 
@@ -64,8 +66,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
     """Languages and log-probabilities (languages x BUCKETS) from all of ``docs``.
 
     Tasks add up their documents and pass on one count a language and trigram class; the
-    sums that reach the driver have BUCKETS rows a language.  Rows with a null text or
-    language teach nothing.
+    sums that reach the driver have BUCKETS rows a language, and more than MOST languages are
+    an error.  Rows with a null text or language teach nothing; without rows there are no
+    languages.
     """
 
     def run(frames):
@@ -82,6 +85,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
             yield pd.DataFrame({"lang": name, "bucket": at, "n": counts[at]})
 
     rows = docs.select(F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("_lang")).filter("_text is not null and _lang is not null")
+    found = rows.select("_lang").distinct().limit(MOST + 1).count()
+    if found > MOST:
+        raise ValueError(f"more than {MOST} languages: the model would outgrow a broadcast")
     sums = rows.mapInPandas(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(sums["lang"].unique())
     counts = np.zeros((len(langs), BUCKETS))
@@ -140,15 +146,18 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     """``keep`` columns, lang_pred, score, langs (the chosen set) and shares for every row.
 
     A null text, a text without letters, or a model without languages gives ``und`` with
-    score 0.  The model has BUCKETS numbers a language, so its broadcast is bounded.
+    score 0.  Of languages with equal shares the first by name is predicted.  Rows are
+    independent: repeated ones and null doc_ids are answered alike, a text of any length is
+    counted whole.  The model has BUCKETS numbers a language and MOST languages, so its
+    broadcast is bounded.
     """
     langs, logp = model
     sent = docs.sparkSession.sparkContext.broadcast(logp.astype(np.float32))
 
-    def run(frames):
+    def make():
         table = sent.value.astype(float)
-        for pdf in frames:
-            texts = [t if isinstance(t, str) else "" for t in pdf["_text"]]
+
+        def run(texts: list[str]) -> dict:
             pred, score, names, shares = [], [], [], []
             for first, last in _batches(texts):
                 share, _ = mixture(trigram_counts(texts[first:last]), table)
@@ -159,12 +168,12 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
                     score.append(min(1.0, float(row[own[0]])) if len(own) else 0.0)
                     names.append([langs[i] for i in own])
                     shares.append([float(row[i]) for i in own])
-            yield pdf.drop(columns="_text").assign(lang_pred=pred, score=score, langs=names, shares=shares)
+            return {"lang_pred": pred, "score": score, "langs": names, "shares": shares}
+
+        return run
 
-    source = docs.select(*keep, F.col(text).cast("string").alias("_text"))
-    kinds = dict(source.dtypes)
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["lang_pred string", "score double", "langs array<string>", "shares array<double>"])
-    return source.mapInPandas(run, schema)
+    fields = {"lang_pred": "string", "score": "double", "langs": "array<string>", "shares": "array<double>"}
+    return map_texts(docs.select(*keep, F.col(text).cast("string").alias("_text")), make, fields)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

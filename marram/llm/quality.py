@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Words, chunks, materialise, mix
+from .common import NOT_SPACE, Words, chunks, map_texts, materialise, mix
 
 #: Largest certified share of good documents that one rule may reject in one stratum.
 ALPHA = 0.01
@@ -91,15 +91,7 @@ def text_counts(texts: list[str]) -> dict[str, np.ndarray]:
 def document_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and COUNTS for every row of ``docs``; a null text counts as empty."""
 
-    def run(frames):
-        for pdf in frames:
-            texts = [t if isinstance(t, str) else "" for t in pdf["_text"]]
-            yield pdf.drop(columns="_text").assign(**text_counts(texts))
-
-    source = docs.select(*keep, F.col(text).cast("string").alias("_text"))
-    kinds = dict(source.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"{c} long" for c in COUNTS])
-    return source.mapInPandas(run, schema)
+    return map_texts(docs.select(*keep, F.col(text).cast("string").alias("_text")), lambda: text_counts, dict.fromkeys(COUNTS, "long"))
 
 
 def with_statistics(counts: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 An archive is a row (archive, content) of a Spark table, so Spark's commit decides which
 attempt of a task counts and any store that Spark writes will do; ``export`` copies them
-to files.  Archives close after ``ARCHIVE_BYTES`` of payload, which bounds a task's memory
-by that and by the longest record.
+to files.  Archives close after ``ARCHIVE_BYTES`` of records, headers included, which bounds
+a task's memory by that and by the longest record.
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 ARCHIVE_BYTES = 8 << 20
 #: Payloads from this size on are stored once; records with equal ones refer to it.
@@ -36,11 +37,11 @@ def _head(pairs: Iterable[tuple[str, object]]) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in pairs) + "\r\n").encode()
 
 
-def response_record(page_id, url: str | None, payload: bytes) -> bytes:
+def response_record(page_id, url: str | None, payload: bytes, digest: str | None = None) -> bytes:
     """A response record; line ends in the URL are written as %0D and %0A."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    digest = hashlib.sha1(payload).hexdigest()
+    digest = digest or hashlib.sha1(payload).hexdigest()
     head = [("WARC-Type", "response"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", target)]
     head += [("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", len(payload)), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(http) + len(payload))]
     return _head(head) + http + payload + b"\r\n\r\n"
@@ -121,24 +122,28 @@ def normalise(source, revisits: dict[int, int], sink) -> list[tuple[int, int, in
     return index
 
 
+_ITEMS = pa.list_(pa.struct([("page_id", pa.int64()), ("bytes", pa.int64()), ("digest", pa.string())]))
+
+
 def write_monolithic(pages: DataFrame) -> DataFrame:
     """One gzip stream an archive; ``items`` lists its records' page, size and digest."""
 
-    def run(frames):
+    def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
         z, out, items, size = zlib.compressobj(LEVEL, zlib.DEFLATED, 31), io.BytesIO(), [], 0
 
         def close():
             out.write(z.flush())
-            return pd.DataFrame({"archive": [f"{part:06d}-{seq:06d}"], "content": [out.getvalue()], "items": [items]})
-
-        for pdf in frames:
-            for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
-                payload = html.encode("utf-8", "replace") if isinstance(html, str) else b""
-                page = None if pd.isna(page_id) else int(page_id)
-                out.write(z.compress(response_record(page, url if isinstance(url, str) else None, payload)))
-                items.append({"page_id": page, "bytes": len(payload), "digest": hashlib.sha1(payload).hexdigest()})
-                size += len(payload)
+            return pa.RecordBatch.from_arrays([pa.array([f"{part:06d}-{seq:06d}"]), pa.array([out.getvalue()], pa.binary()), pa.array([items], _ITEMS)], ["archive", "content", "items"])
+
+        for batch in batches:
+            for page, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                payload = (html or "").encode("utf-8", "replace")
+                digest = hashlib.sha1(payload).hexdigest()
+                record = response_record(page, url, payload, digest)
+                out.write(z.compress(record))
+                items.append({"page_id": page, "bytes": len(payload), "digest": digest})
+                size += len(record)
                 if size >= ARCHIVE_BYTES:
                     yield close()
                     seq += 1
@@ -147,7 +152,7 @@ def write_monolithic(pages: DataFrame) -> DataFrame:
             yield close()
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return rows.mapInPandas(run, "archive string, content binary, items array<struct<page_id:long,bytes:long,digest:string>>")
+    return rows.mapInArrow(run, "archive string, content binary, items array<struct<page_id:long,bytes:long,digest:string>>")
 
 
 def revisits(archives: DataFrame) -> DataFrame:
@@ -177,21 +182,26 @@ def normalise_archives(archives: DataFrame, found: DataFrame) -> DataFrame:
     return archives.select("archive", "content").join(lists, "archive", "left").mapInPandas(run, "archive string, content binary, index array<struct<number:long,offset:long,length:long>>")
 
 
+_READ_AS = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
+
+
 def read_members(archives: DataFrame) -> DataFrame:
     """Every record by its index entry: page, size, digest, type and the page referred to.
 
     The digest of a response is computed from the stored payload and must equal its header.
+    Records are inflated one at a time; a record without a page has a null page_id, and an
+    archive without records gives no rows.
     """
 
     def page_of(text: str | None):
         tail = (text or "").rstrip(">").rpartition(":")[2]
         return int(tail) if tail.lstrip("-").isdigit() else None
 
-    def run(frames):
-        for pdf in frames:
-            for content, index in zip(pdf["content"], pdf["index"], strict=True):
-                out = []
-                for entry in index:
+    def run(batches):
+        for batch in batches:
+            for content, index in zip(batch.column(0), batch.column(1), strict=True):
+                content, out = content.as_py(), []
+                for entry in index.as_py():
                     fields, block = split_record(zlib.decompress(content[entry["offset"] : entry["offset"] + entry["length"]], 31))
                     size, digest = int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].partition(":")[2]
                     if fields["WARC-Type"] == "response":
@@ -199,10 +209,10 @@ def read_members(archives: DataFrame) -> DataFrame:
                         if len(payload) != size or hashlib.sha1(payload).hexdigest() != digest:
                             raise ValueError(f"record {fields['WARC-Record-ID']} is damaged")
                     out.append((page_of(fields["WARC-Record-ID"]), size, digest, fields["WARC-Type"], page_of(fields.get("WARC-Refers-To"))))
-                got = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                yield got.astype({"page_id": "Int64", "refers_to": "Int64"})
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), _READ_AS.values(), strict=True)], list(_READ_AS))
 
-    return archives.mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return archives.select("content", "index").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def export(archives: DataFrame, folder: str) -> DataFrame:
@@ -225,9 +235,18 @@ def export(archives: DataFrame, folder: str) -> DataFrame:
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
-    """Write, find repeated payloads, normalise; returns the normalised archives."""
+    """Write, find repeated payloads, normalise; returns the normalised archives.
+
+    Every row is a record: a null html is an empty payload, a null url an empty target, a null
+    page_id a record without a page, which is always a response.  Rows that repeat a page_id
+    are records each; of equal payloads all rows with the largest page_id are responses.  A
+    page of any length is one record, held whole with its archive in one task.  No pages
+    give no archives; further columns are not read.
+    """
     mono = materialise(write_monolithic(pages), "warc-monolithic", "none")
-    return materialise(normalise_archives(mono, revisits(mono)), "warc-members", "none")
+    out = materialise(normalise_archives(mono, revisits(mono)), "warc-members", "none")
+    discard(mono)
+    return out
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
