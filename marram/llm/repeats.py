@@ -6,7 +6,8 @@ external induced sorting works on hold only what cheaper steps leave open:
 
 1. Each document's windows of 50 bytes fall into runs that share their least anchor hash
    (``anchors``); equal windows have equal anchors.  Tasks send runs, as packed arrays, to
-   the bucket of their anchor.
+   the bucket of their anchor.  Of runs with equal spans that one task holds only the
+   smallest document's goes there; the others are covered and go straight to their homes.
 2. A bucket sorts its runs by anchor, by hash of the run's whole span, and by document.  A
    run whose span stands in a smaller document is covered.  Where an anchor has several
    spans, the first document of each span is asked for the bytes.  Answers go back packed by
@@ -14,12 +15,15 @@ external induced sorting works on hold only what cheaper steps leave open:
 3. The spans asked for are the shards, dealt by anchor.  The suffixes of a shard are sorted
    with their shared prefixes (``induced``); neighbours that share 50 bytes or more are one
    string, which is covered wherever its document is not the smallest.
-4. Each document joins its answers and drops the bytes under covered windows.
-
-A bucket holds the runs of about BUCKET_CHARS characters and a home the documents of about
-HOME_CHARS, so memory is bounded however large the input; an anchor held by a third of all
-documents adds 15 bytes a document to one bucket, and equal spans are resolved there without
-being compared in pairs.
+4. An anchor with over HOT_SPANS open spans (a line that a great many documents hold in
+   different contexts) is no shard: its windows are grouped by their bytes as rows, with
+   partial sums before the shuffle, so no task holds all of them.
+5. Each document joins its answers and drops the bytes under covered windows.
+
+A bucket holds the runs of about BUCKET_CHARS characters, a home the documents of about
+HOME_CHARS, and a shard at most OPEN_SPANS + HOT_SPANS spans, so memory is bounded however
+large the input: a span held by a third of all documents costs its bucket 15 bytes for every
+SEND_CHARS characters of input.
 """
 
 from __future__ import annotations
@@ -43,8 +47,8 @@ BUCKET_CHARS = 12_000_000
 HOME_CHARS = 8_000_000
 #: Characters hashed at once in a task, and those whose runs are held before they are sent.
 PART_CHARS, SEND_CHARS = 1_000_000, 16_000_000
-#: Spans that are opened at once.
-OPEN_SPANS = 10_000
+#: Spans that are opened at once, and spans from which an anchor's windows are grouped as rows.
+OPEN_SPANS, HOT_SPANS = 10_000, 500
 
 _RUNS = "bucket int, owners binary, packed binary"
 
@@ -94,7 +98,7 @@ def _widen(data: np.ndarray, width: int) -> np.ndarray:
 
 
 def send_runs(keyed: DataFrame, buckets: int) -> DataFrame:
-    """Packed runs of every document, by bucket of their anchor.
+    """Packed runs of every document, by bucket of their anchor; answers, by -1 - home.
 
     A row holds the runs of one bucket from about SEND_CHARS characters, and names only the
     documents that they come from, so what is sent grows with the runs and not with the
@@ -104,7 +108,12 @@ def send_runs(keyed: DataFrame, buckets: int) -> DataFrame:
     def rows(held: list) -> pd.DataFrame:
         low, span, owner, number, doc, tag, home = (np.concatenate(x) for x in zip(*held, strict=True))
         bucket = (low % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((doc[owner], span, low))
+        new = np.concatenate(([True], (low[order][1:] != low[order][:-1]) | (span[order][1:] != span[order][:-1])))
+        least = doc[owner[order[np.flatnonzero(new)]]][np.cumsum(new) - 1]
+        known = doc[owner[order]] > least
+        done, order = order[known], np.sort(order[~known])
+        order = order[np.argsort(bucket[order], kind="stable")]
         bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
         full, owners, packed = [], [], []
         for b in np.flatnonzero(np.diff(bounds)).tolist():
@@ -114,6 +123,10 @@ def send_runs(keyed: DataFrame, buckets: int) -> DataFrame:
             full.append(b)
             owners.append(zlib.compress(np.concatenate((doc[own], tag[own], home[own], np.diff(np.append(edge, len(r))))).astype(np.int64).tobytes(), 1))
             packed.append(_narrow(low[r] // np.uint64(buckets), 5) + _narrow(span[r], 6) + _planes(number[r]))
+        for at, data in _by_home(home[owner[done]], doc[owner[done]], tag[owner[done]], number[done], np.ones(len(done), bool)):
+            full.append(-1 - at)
+            owners.append(b"")
+            packed.append(data)
         return pd.DataFrame({"bucket": full, "owners": owners, "packed": packed})
 
     def run(frames):
@@ -136,11 +149,23 @@ def send_runs(keyed: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield rows(held)
 
-    return keyed.filter("doc_id is not null").mapInPandas(run, _RUNS)
+    return keyed.mapInPandas(run, _RUNS)
+
+
+def _by_home(home, doc, tag, number, covered) -> list[tuple[int, bytes]]:
+    """Answers packed by home."""
+    if not len(home):
+        return []
+    order = np.lexsort((number, tag, doc, home))
+    home, doc, tag, number, covered = home[order], doc[order], tag[order], number[order], covered[order]
+    edge = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1]))).tolist()
+    return [(int(home[i]), zlib.compress(doc[i:j].tobytes() + tag[i:j].tobytes() + number[i:j].tobytes() + covered[i:j].tobytes(), 1)) for i, j in zip(edge, [*edge[1:], len(home)], strict=True)]
 
 
 def settle_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     """Covered and open runs of one bucket: a packed row for each home."""
+    if pdf["bucket"].iloc[0] < 0:
+        return pd.DataFrame({"home": -1 - pdf["bucket"], "found": pdf["packed"]})
     low, span, doc, tag, home, number = [], [], [], [], [], []
     for owners, packed in zip(pdf["owners"], pdf["packed"], strict=True):
         table = np.frombuffer(zlib.decompress(owners), np.int64).reshape(4, -1)
@@ -172,11 +197,8 @@ def settle_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     kinds = np.add.reduceat(s.astype(np.int64), np.flatnonzero(a))[np.cumsum(a) - 1]
     covered, asked = doc > first, (doc == first) & (kinds > 1)
     some = np.flatnonzero(covered | asked)
-    some = some[np.lexsort((number[some], tag[some], doc[some], home[some]))]
-    doc, tag, home, number, covered = doc[some], tag[some], home[some], number[some], covered[some]
-    edge = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1]))).tolist() if len(home) else []
-    out = [zlib.compress(doc[i:j].tobytes() + tag[i:j].tobytes() + number[i:j].tobytes() + covered[i:j].tobytes(), 1) for i, j in zip(edge, [*edge[1:], len(home)], strict=True)]
-    return pd.DataFrame({"home": home[edge], "found": out})
+    out = _by_home(home[some], doc[some], tag[some], number[some], covered[some])
+    return pd.DataFrame({"home": [h for h, _ in out], "found": [x for _, x in out]})
 
 
 def _answers(found) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
@@ -227,7 +249,7 @@ def answer(texts: pd.DataFrame, found: pd.DataFrame, with_bytes: bool) -> pd.Dat
     known, out, none = _answers(found["found"]), [], np.zeros(0, np.int64)
     for doc_id, tag, body in zip(texts["doc_id"], texts["tag"], texts["body"], strict=True):
         raw = np.frombuffer(_unpack(body), np.uint8)
-        own = None if pd.isna(doc_id) else int(doc_id)
+        own = int(doc_id)
         done, still = known.get((own, int(tag)), (none, none))
         if not len(done) and not len(still):
             out.append((*_final(own, tag, raw, [], [], with_bytes), None, None, None))
@@ -239,7 +261,7 @@ def answer(texts: pd.DataFrame, found: pd.DataFrame, with_bytes: bool) -> pd.Dat
         ranges = np.stack((start[done], start[done] + n[done])).astype("<i8").tobytes()
         spans = [{"anchor": int(low[k].view(np.int64)), "start": int(start[k]), "span": raw[start[k] : start[k] + n[k] + anchors.WIDTH - 1].tobytes()} for k in still]
         out.append((own, tag, len(raw), 0, 0, None, None, body, ranges, spans))
-    return pd.DataFrame(out, columns=[*COLUMNS, "body", "ranges", "spans"]).astype({"doc_id": "Int64"})
+    return pd.DataFrame(out, columns=[*COLUMNS, "body", "ranges", "spans"])
 
 
 _STATE = _FINAL + ", body binary, ranges binary, spans array<struct<anchor:long,start:long,span:binary>>"
@@ -299,17 +321,32 @@ def open_spans(frames):
         count += len(pdf)
         if count >= OPEN_SPANS:
             g = pd.concat(held, ignore_index=True)
-            last = g["anchor"].iloc[-1]
-            cut = int((g["anchor"].to_numpy() != last).sum())
+            cut = int((g["anchor"].to_numpy() != g["anchor"].iloc[-1]).sum())
             if cut:
                 if (out := settle(g.iloc[:cut].reset_index(drop=True))) is not None:
                     yield out
-                g = g.iloc[cut:].reset_index(drop=True)
-            held, count = [g], len(g)
+            held, count = [g.iloc[cut:].reset_index(drop=True)], len(g) - cut
     if held and (out := settle(pd.concat(held, ignore_index=True))) is not None:
         yield out
 
 
+def hot_windows(spans: DataFrame) -> DataFrame:
+    """Covered windows of spans (doc_id, tag, start, span), found by the bytes of each window.
+
+    Windows whose hash stands in one document only are dropped first; both groupings are
+    combined before the shuffle, and the tables of least documents are written before they
+    are joined, so a window that very many documents hold is split over tasks.
+    """
+    width = anchors.WIDTH
+    at = F.explode(F.sequence(F.lit(0), F.length("span") - width))
+    opened = spans.withColumn("at", at).select("doc_id", "tag", (F.col("start") + F.col("at")).alias("start"), F.expr(f"substring(span, at + 1, {width})").alias("window"))
+    marked = opened.withColumn("mark", F.xxhash64("window"))
+    several = marked.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("mark")
+    again = marked.join(materialise(several, "repeats-marks").hint("merge"), "mark").drop("mark")
+    least = materialise(again.groupBy("window").agg(F.min("doc_id").alias("least")), "repeats-windows")
+    return again.join(least.hint("merge"), "window").filter("doc_id > least").select("doc_id", "tag", "start", (F.col("start") + 1).alias("stop"))
+
+
 def finish(pending: DataFrame, with_bytes: bool) -> DataFrame:
     def run(frames):
         for pdf in frames:
@@ -338,15 +375,21 @@ def remove_repeats(docs: DataFrame, text: str = "text", with_bytes: bool = False
     """
     total = int(docs.agg(F.sum(F.length(F.col(text).cast("string")))).first()[0] or 0)
     buckets, homes = max(4, -(-total // BUCKET_CHARS)), max(16, -(-total // HOME_CHARS))
-    keyed = _keyed(docs, text, homes)
+    every = _keyed(docs, text, homes)
+    keyed = every.filter("doc_id is not null")
     settled = send_runs(keyed, buckets).groupBy("bucket").applyInPandas(settle_bucket, "home int, found binary")
     finished = _packed(keyed).groupBy("home").cogroup(settled.groupBy("home")).applyInPandas(lambda texts, found: answer(texts, found, with_bytes), _STATE)
     state = materialise(finished, "repeats-state")
     spans = state.filter("spans is not null").select("doc_id", "tag", F.explode("spans").alias("s")).select("doc_id", "tag", "s.*")
-    found = spans.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(open_spans, "doc_id long, tag long, start long, stop long")
+    hot = materialise(spans.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_SPANS).select("anchor"), "repeats-hot")
+    cold = spans.join(hot.hint("merge"), "anchor", "left_anti").select("doc_id", "tag", "anchor", "start", "span")
+    found = cold.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(open_spans, "doc_id long, tag long, start long, stop long")
+    if not hot.isEmpty():
+        found = found.unionByName(hot_windows(spans.join(hot.hint("merge"), "anchor")))
     more = found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("more"))
     pending = state.filter("spans is not null").select("doc_id", "tag", "body", "ranges").join(more, ["doc_id", "tag"], "left")
-    out = state.filter("spans is null").select(COLUMNS).unionByName(finish(pending.select("doc_id", "tag", "body", "ranges", "more"), with_bytes))
+    bare = every.filter("doc_id is null").select("doc_id", "tag", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"))
+    out = state.filter("spans is null").select(COLUMNS).unionByName(finish(pending.select("doc_id", "tag", "body", "ranges", "more"), with_bytes)).unionByName(bare)
     return out if with_bytes else out.drop("tag", "kept")
 
 
