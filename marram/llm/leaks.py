@@ -20,9 +20,10 @@ the executors is bounded however large the benchmark.
 from __future__ import annotations
 
 import itertools
+import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,10 +32,13 @@ from .common import ALNUM, Words, chunks, mix, text_tag
 WORDS = 5
 #: The threshold as a fraction: 4/5.
 PART, WHOLE = 4, 5
-BLOCKS, BLOCK_BITS = 4, 16
+BLOCKS, BLOCK_BITS = 8, 8
 RADIUS = 23
-#: Items in a block (a few MB of shingles and fingerprints).
-ITEM_BLOCK = 5_000
+#: Items in a block: at 60 words an item, 10 MB of shingles and 25 MB of index.
+ITEM_BLOCK = 20_000
+
+#: Windows that are looked up at once.
+QUERIES = 256
 
 _BITS = np.arange(64, dtype=np.uint64)
 _POPCOUNT = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
@@ -62,7 +66,7 @@ def simhash(grams: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 def _flips() -> np.ndarray:
     """All BLOCK_BITS-bit masks of at most RADIUS // BLOCKS bits."""
     most = RADIUS // BLOCKS
-    return np.array([sum(1 << b for b in c) for k in range(most + 1) for c in itertools.combinations(range(BLOCK_BITS), k)], np.int64)
+    return np.array([sum(1 << b for b in c) for k in range(most + 1) for c in itertools.combinations(range(BLOCK_BITS), k)], np.int16)
 
 
 class HammingIndex:
@@ -70,19 +74,22 @@ class HammingIndex:
 
     def __init__(self, prints: np.ndarray):
         self.prints, self.tables = prints, []
-        flips = _flips()
+        flips, size = _flips(), 1 << BLOCK_BITS
         for k in range(BLOCKS):
-            own = ((prints >> np.uint64(BLOCK_BITS * k)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
+            own = ((prints >> np.uint64(BLOCK_BITS * k)) & np.uint64(size - 1)).astype(np.int16)
             near = (own[:, None] ^ flips).ravel()
             order = np.argsort(near, kind="stable")
-            self.tables.append((np.searchsorted(near[order], np.arange((1 << BLOCK_BITS) + 1)), np.repeat(np.arange(len(prints)), len(flips))[order]))
+            self.tables.append((np.concatenate(([0], np.cumsum(np.bincount(near, minlength=size)))).astype(np.int32), (order // len(flips)).astype(np.int32)))
 
     def near(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, fingerprint) numbers of all pairs within RADIUS bits, each once."""
+        if len(queries) > QUERIES:
+            parts = [self.near(queries[i : i + QUERIES]) for i in range(0, len(queries), QUERIES)]
+            return np.concatenate([q + i * QUERIES for i, (q, _) in enumerate(parts)]), np.concatenate([p for _, p in parts])
         found = []
         for k, (bounds, items) in enumerate(self.tables):
             own = ((queries >> np.uint64(BLOCK_BITS * k)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
-            size = bounds[own + 1] - bounds[own]
+            size = (bounds[own + 1] - bounds[own]).astype(np.int64)
             q = np.repeat(np.arange(len(queries)), size)
             at = np.arange(len(q)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(bounds[own], size)
             p = items[at]
@@ -115,6 +122,14 @@ class Items:
             elif n:
                 short = _short(w.hash[begin[i] : begin[i + 1]], n)
                 self.bags.setdefault(n, []).append((item, short))
+        # Items under WORDS words: distinct hashes in order, and the items of each.
+        self.short = {}
+        for n, x in self.bags.items():
+            if n < WORDS:
+                own, numbers = np.array([b[0] for _, b in x]), np.array([item for item, _ in x], np.int64)
+                order = np.argsort(own, kind="stable")
+                known, first_of = np.unique(own[order], return_index=True)
+                self.short[n] = (known, numbers[order], np.append(first_of, len(own)))
         # Distinct (shingle, item size) pairs, in order of the shingle.
         sizes = {n: np.unique(np.concatenate([b for _, b in x])) for n, x in self.bags.items() if n >= WORDS}
         shingle = np.concatenate(list(sizes.values()) or [np.zeros(0, np.uint64)])
@@ -127,6 +142,17 @@ class Items:
         self.index = {n: HammingIndex(np.concatenate([simhash(b, np.zeros(1, np.int64), len(b)) for _, b in x])) for n, x in self.bags.items() if n >= WORDS}
 
 
+_built: dict[str, Items] = {}
+
+
+def _worker_items(name: str, ids: list[int], texts: list[str]) -> Items:
+    """The worker's block of items: built once a Python process, one block at a time."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Items(ids, texts)
+    return _built[name]
+
+
 def _short(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of ``n`` < WORDS words."""
     m = len(hashes) - n + 1
@@ -196,10 +222,14 @@ def find(texts: list[str], items: Items) -> list[tuple[int, int, int, int, float
                 out += [(d, item, start, t + WORDS - 1, score) for item, (score, start) in best.items()]
     for n in short:
         runs = _short(w.hash, n)
-        inside = np.flatnonzero(w.doc[: len(runs)] == w.doc[n - 1 : n - 1 + len(runs)]) if len(runs) else np.zeros(0, np.int64)
-        for item, bag in items.bags[n]:
-            for k in inside[runs[inside] == bag[0]][::-1]:
-                out.append((int(w.doc[k]), item, int(k - begin[w.doc[k]]), n, 1.0))
+        known, numbers, bounds = items.short[n]
+        at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
+        hit = np.flatnonzero((known[at] == runs) & (w.doc[: len(runs)] == w.doc[n - 1 :]))
+        # The first place of each document and text of an item.
+        _, place = np.unique(w.doc[hit] * len(known) + at[hit], return_index=True)
+        for k, a in zip(hit[place].tolist(), at[hit[place]].tolist(), strict=True):
+            d = int(w.doc[k])
+            out += [(d, int(item), int(k - begin[d]), n, 1.0) for item in numbers[bounds[a] : bounds[a + 1]]]
     return out
 
 
@@ -223,22 +253,25 @@ def _windows(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataF
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     blocks = -(-items.count() // ITEM_BLOCK) or 1
     schema = "doc_id long, tag long, item_id long, first_word long, n_words long, similarity double"
+    names = [c.split()[0] for c in schema.split(", ")]
     found = []
     for k in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
-        sent = spark.sparkContext.broadcast(([r["item_id"] for r in block], [r["text"] for r in block]))
+        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, [r["item_id"] for r in block], [r["text"] for r in block]))
 
-        def run(frames, sent=sent):
-            own = Items(*sent.value)
-            for pdf in frames:
-                texts = [t if isinstance(t, str) else "" for t in pdf["_text"]]
+        def run(batches, sent=sent):
+            own = _worker_items(*sent.value)
+            for batch in batches:
+                doc_id, tag, texts = batch.columns
+                texts = [t or "" for t in texts.to_pylist()]
                 for lo, hi in chunks(texts):
                     got = find(texts[lo:hi], own)
                     if got:
-                        t, item, start, n, score = zip(*got, strict=True)
-                        yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[lo:hi].iloc[list(t)].astype("Int64").to_numpy(), "tag": pdf["tag"].iloc[lo:hi].iloc[list(t)].to_numpy(), "item_id": item, "first_word": start, "n_words": n, "similarity": score})
+                        t, *rest = zip(*got, strict=True)
+                        rows = pa.array([lo + i for i in t])
+                        yield pa.RecordBatch.from_arrays([doc_id.take(rows), tag.take(rows), *(pa.array(x, pa.float64() if i == 3 else pa.int64()) for i, x in enumerate(rest))], names)
 
-        found.append(rows.mapInPandas(run, schema))
+        found.append(rows.mapInArrow(run, schema))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
