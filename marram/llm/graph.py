@@ -32,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has an edge in ``edges`` (a, b: long).
 
     ``root`` is the component's smallest node.  Rounds grow with the logarithm of the longest
-    path; each writes its edges to the shared folder.
+    path; each writes its edges to the shared folder.  The answer is a written table.
     """
     now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "graph-edges")
     state = None
@@ -47,4 +47,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = new
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    done = materialise(out, "graph-roots")
+    discard(now)
+    return done
