@@ -16,8 +16,8 @@ external induced sorting works on hold only what cheaper steps leave open:
    with their shared prefixes (``induced``); neighbours that share 50 bytes or more are one
    string, which is covered wherever its document is not the smallest.
 4. An anchor with over HOT_SPANS open spans (a line that a great many documents hold in
-   different contexts) is no shard: its windows are grouped by their bytes as rows, with
-   partial sums before the shuffle, so no task holds all of them.
+   different contexts) is no shard: its windows are grouped by 128-bit hashes as rows, with
+   partial minima before the shuffle, so no task holds all of them.
 5. Each document joins its answers and drops the bytes under covered windows.
 
 A bucket holds the runs of about BUCKET_CHARS characters, a home the documents of about
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from . import anchors, induced
-from .common import chunks, materialise
+from .common import chunks, materialise, mix
 
 #: Characters of text whose runs make a bucket.
 BUCKET_CHARS = 12_000_000
@@ -48,7 +48,7 @@ HOME_CHARS = 8_000_000
 #: Characters hashed at once in a task, and those whose runs are held before they are sent.
 PART_CHARS, SEND_CHARS = 1_000_000, 16_000_000
 #: Spans that are opened at once, and spans from which an anchor's windows are grouped as rows.
-OPEN_SPANS, HOT_SPANS = 10_000, 500
+OPEN_SPANS, HOT_SPANS = 10_000, 20_000
 
 _RUNS = "bucket int, owners binary, packed binary"
 
@@ -98,22 +98,19 @@ def _widen(data: np.ndarray, width: int) -> np.ndarray:
 
 
 def send_runs(keyed: DataFrame, buckets: int) -> DataFrame:
-    """Packed runs of every document, by bucket of their anchor; answers, by -1 - home.
+    """Packed runs of every document, by bucket of their anchor, and the answers known already.
 
     A row holds the runs of one bucket from about SEND_CHARS characters, and names only the
     documents that they come from, so what is sent grows with the runs and not with the
-    number of buckets.
+    number of buckets.  An answer has no owners and begins with its home.
     """
 
     def rows(held: list) -> pd.DataFrame:
         low, span, owner, number, doc, tag, home = (np.concatenate(x) for x in zip(*held, strict=True))
         bucket = (low % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((doc[owner], span, low))
-        new = np.concatenate(([True], (low[order][1:] != low[order][:-1]) | (span[order][1:] != span[order][:-1])))
-        least = doc[owner[order[np.flatnonzero(new)]]][np.cumsum(new) - 1]
-        known = doc[owner[order]] > least
-        done, order = order[known], np.sort(order[~known])
-        order = order[np.argsort(bucket[order], kind="stable")]
+        known = _known_before(low, span, doc[owner])
+        order, done = np.flatnonzero(~known), np.flatnonzero(known)
+        order = order[np.argsort(bucket[order].astype(np.int16 if buckets < 1 << 15 else np.int64), kind="stable")]
         bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
         full, owners, packed = [], [], []
         for b in np.flatnonzero(np.diff(bounds)).tolist():
@@ -124,9 +121,9 @@ def send_runs(keyed: DataFrame, buckets: int) -> DataFrame:
             owners.append(zlib.compress(np.concatenate((doc[own], tag[own], home[own], np.diff(np.append(edge, len(r))))).astype(np.int64).tobytes(), 1))
             packed.append(_narrow(low[r] // np.uint64(buckets), 5) + _narrow(span[r], 6) + _planes(number[r]))
         for at, data in _by_home(home[owner[done]], doc[owner[done]], tag[owner[done]], number[done], np.ones(len(done), bool)):
-            full.append(-1 - at)
+            full.append(at % buckets)
             owners.append(b"")
-            packed.append(data)
+            packed.append(at.to_bytes(4, "little") + data)
         return pd.DataFrame({"bucket": full, "owners": owners, "packed": packed})
 
     def run(frames):
@@ -152,6 +149,23 @@ def send_runs(keyed: DataFrame, buckets: int) -> DataFrame:
     return keyed.mapInPandas(run, _RUNS)
 
 
+def _known_before(low: np.ndarray, span: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Runs whose anchor and span a smaller document of the same task has."""
+    out = np.zeros(len(low), bool)
+    key = mix(low) + span
+    order = np.argsort(key)
+    new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+    begin = np.flatnonzero(new)
+    many = np.repeat(np.diff(np.append(begin, len(order))) > 1, np.diff(np.append(begin, len(order))))
+    order = order[many]
+    if len(order):
+        order = order[np.lexsort((doc[order], span[order], low[order]))]
+        a, b = low[order], span[order]
+        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        out[order] = doc[order] > doc[order[np.flatnonzero(new)]][np.cumsum(new) - 1]
+    return out
+
+
 def _by_home(home, doc, tag, number, covered) -> list[tuple[int, bytes]]:
     """Answers packed by home."""
     if not len(home):
@@ -164,10 +178,11 @@ def _by_home(home, doc, tag, number, covered) -> list[tuple[int, bytes]]:
 
 def settle_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     """Covered and open runs of one bucket: a packed row for each home."""
-    if pdf["bucket"].iloc[0] < 0:
-        return pd.DataFrame({"home": -1 - pdf["bucket"], "found": pdf["packed"]})
-    low, span, doc, tag, home, number = [], [], [], [], [], []
+    low, span, doc, tag, home, number, known = [], [], [], [], [], [], []
     for owners, packed in zip(pdf["owners"], pdf["packed"], strict=True):
+        if not owners:
+            known.append((int.from_bytes(packed[:4], "little"), packed[4:]))
+            continue
         table = np.frombuffer(zlib.decompress(owners), np.int64).reshape(4, -1)
         data = np.frombuffer(packed, np.uint8)
         m = len(data) // 15
@@ -178,6 +193,9 @@ def settle_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
         tag.append(table[1][own])
         home.append(table[2][own].astype(np.int32))
         number.append(np.ascontiguousarray(data[11 * m :].reshape(4, m).T).view("<u4").ravel())
+    answers = lambda own: pd.DataFrame({"home": [h for h, _ in own], "found": [x for _, x in own]})
+    if not low:
+        return answers(known)
     low, span, doc, tag, home, number = map(np.concatenate, (low, span, doc, tag, home, number))
     order = np.argsort(low, kind="stable")
     new = np.concatenate(([True], low[order][1:] != low[order][:-1]))
@@ -188,7 +206,7 @@ def settle_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     order = order[keep]
     low, span, doc, tag, home, number = low[order], span[order], doc[order], tag[order], home[order], number[order]
     if not len(low):
-        return pd.DataFrame({"home": [], "found": []})
+        return answers(known)
     order = np.lexsort((doc, span, low))
     low, span, doc, tag, home, number = low[order], span[order], doc[order], tag[order], home[order], number[order]
     a = np.concatenate(([True], low[1:] != low[:-1]))
@@ -197,8 +215,7 @@ def settle_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     kinds = np.add.reduceat(s.astype(np.int64), np.flatnonzero(a))[np.cumsum(a) - 1]
     covered, asked = doc > first, (doc == first) & (kinds > 1)
     some = np.flatnonzero(covered | asked)
-    out = _by_home(home[some], doc[some], tag[some], number[some], covered[some])
-    return pd.DataFrame({"home": [h for h, _ in out], "found": [x for _, x in out]})
+    return answers(known + _by_home(home[some], doc[some], tag[some], number[some], covered[some]))
 
 
 def _answers(found) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
@@ -331,20 +348,18 @@ def open_spans(frames):
 
 
 def hot_windows(spans: DataFrame) -> DataFrame:
-    """Covered windows of spans (doc_id, tag, start, span), found by the bytes of each window.
+    """Covered windows of spans (doc_id, tag, start, span), found by two 64-bit hashes of each window.
 
-    Windows whose hash stands in one document only are dropped first; both groupings are
-    combined before the shuffle, and the tables of least documents are written before they
-    are joined, so a window that very many documents hold is split over tasks.
+    The grouping is combined before the shuffle, and the table of least documents is written
+    before it is joined, so a window that very many documents hold is split over tasks.
     """
     width = anchors.WIDTH
-    at = F.explode(F.sequence(F.lit(0), F.length("span") - width))
-    opened = spans.withColumn("at", at).select("doc_id", "tag", (F.col("start") + F.col("at")).alias("start"), F.expr(f"substring(span, at + 1, {width})").alias("window"))
-    marked = opened.withColumn("mark", F.xxhash64("window"))
-    several = marked.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("mark")
-    again = marked.join(materialise(several, "repeats-marks").hint("merge"), "mark").drop("mark")
-    least = materialise(again.groupBy("window").agg(F.min("doc_id").alias("least")), "repeats-windows")
-    return again.join(least.hint("merge"), "window").filter("doc_id > least").select("doc_id", "tag", "start", (F.col("start") + 1).alias("stop"))
+    opened = spans.withColumn("at", F.explode(F.sequence(F.lit(0), F.length("span") - width)))
+    window = F.expr(f"substring(span, at + 1, {width})")
+    marked = opened.select("doc_id", "tag", (F.col("start") + F.col("at")).alias("start"), F.xxhash64(window).alias("m1"), F.xxhash64(window, F.lit(1)).alias("m2"))
+    least = marked.groupBy("m1", "m2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
+    found = marked.join(materialise(least, "repeats-windows").hint("merge"), ["m1", "m2"]).filter("doc_id > least")
+    return found.select("doc_id", "tag", "start", (F.col("start") + 1).alias("stop"))
 
 
 def finish(pending: DataFrame, with_bytes: bool) -> DataFrame:
@@ -382,9 +397,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", with_bytes: bool = False
     state = materialise(finished, "repeats-state")
     spans = state.filter("spans is not null").select("doc_id", "tag", F.explode("spans").alias("s")).select("doc_id", "tag", "s.*")
     hot = materialise(spans.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_SPANS).select("anchor"), "repeats-hot")
-    cold = spans.join(hot.hint("merge"), "anchor", "left_anti").select("doc_id", "tag", "anchor", "start", "span")
+    some = not hot.isEmpty()
+    cold = spans.join(hot.hint("merge"), "anchor", "left_anti").select(*spans.columns) if some else spans
     found = cold.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(open_spans, "doc_id long, tag long, start long, stop long")
-    if not hot.isEmpty():
+    if some:
         found = found.unionByName(hot_windows(spans.join(hot.hint("merge"), "anchor")))
     more = found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("more"))
     pending = state.filter("spans is not null").select("doc_id", "tag", "body", "ranges").join(more, ["doc_id", "tag"], "left")
