@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +25,10 @@ from .labelled import MAIN, labelled_pages
 TRAIN_PAGES, STEPS = 500, 120
 RATE, DECAY = 0.15, 1e-4
 
-#: Elements whose text is no text of the page.
-HIDDEN = frozenset("script style noscript template title head svg math textarea select option object iframe canvas audio video".split())
+#: Elements that are passed over with all they hold.
+RAW = ("script", "style", "noscript", "template", "title", "textarea", "svg", "math", "select", "iframe", "canvas")
+#: Those that take the rest of a page if they do not end, and that a slash does not close.
+CODE = ("script", "style")
 #: Elements that stay inside a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label input button".split()) - {"label", "button"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,40 +41,144 @@ SECTIONS = frozenset("nav header footer aside article main section form figure b
 HEADED = frozenset("base basefont bgsound html link meta noframes".split())
 #: No start tag ends an element that is open outside these.
 BARRED = SCOPE | {"object"}
-#: Elements whose own content is not read.
+#: Elements whose own content is not read, and start tags that end them.
 UNREAD = ("object", "audio", "video")
+OUTER = frozenset("body article main section nav header footer aside h1 h2 h3 h4 h5 h6".split())
 #: Elements that end an open paragraph.
 _NOT_INLINE_P = INLINE | {"label", "button"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(script|style|noscript|template|title|textarea|svg|math|select|iframe|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
+#: Elements below this depth are taken as parts of the one at it.
+MAX_DEPTH = 512
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_MARK = re.compile(r">|=\s*([\"'])")
+_OPENS = {t: re.compile(rf"<{t}(?=[\s/>])", re.I) for t in RAW}
+_CLOSES = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in (*RAW, *UNREAD)}
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
+class Tokens:
+    """Texts and tags of a page, each read once from front to end.
+
+    What a search does not find from one place on it does not find later either, so it is not
+    looked for again: time grows with the length of the page, however broken.  A quote opens
+    a value only behind ``=`` and only if it ends; a tag that does not end before the page
+    does ends at the next ``>``.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.loose, self.unclosed = page, False, False
+        self.lost: set[str] = set()
+        self.next_end: dict[str, int] = {}
+
+    def _tag_end(self, at: int) -> int:
+        """The place behind the tag whose name ends at ``at``; 0 if no tag ends any more."""
+        place = at
+        while not self.loose and (m := _MARK.search(self.page, place)):
+            if m[1] is None:
+                return m.end()
+            place = m.end()
+            close = -1 if m[1] in self.lost else self.page.find(m[1], place)
+            if close < 0:
+                self.lost.add(m[1])
+            else:
+                place = close + 1
+        self.loose = True
+        return self.page.find(">", at) + 1
+
+    def _behind(self, tag: str, at: int, closed: bool) -> int:
+        """The place behind a raw element whose start tag ends at ``at``."""
+        page, end = self.page, len(self.page)
+        if closed and tag not in CODE:
+            return at
+        if tag in self.lost:
+            return end if tag in CODE else at
+        until = _OPENS[tag].search(page, at) if closed else None
+        m = _CLOSES[tag].search(page, at, until.start() if until else end)
+        if m is None:
+            if until is None:
+                self.lost.add(tag)
+            return end if tag in CODE and not closed else at
+        return page.find(">", m.end()) + 1 or end
+
+    def _ends(self, tag: str, at: int) -> bool:
+        """Is there an end tag of an unread element behind ``at``?"""
+        if self.next_end.get(tag, -1) < at and tag not in self.lost:
+            m = _CLOSES[tag].search(self.page, at)
+            if m is None:
+                self.lost.add(tag)
+            else:
+                self.next_end[tag] = m.start()
+        return tag not in self.lost
+
+    def __iter__(self):
+        """(text, "", "") or (None, tag, attributes); the tag of an end tag begins with a slash."""
+        page, at, end = self.page, 0, len(self.page)
+        while at < end:
+            here = page.find("<", at)
+            if here < 0:
+                yield page[at:], "", ""
+                return
+            if here > at:
+                yield page[at:here], "", ""
+            ahead = page[here + 1 : here + 2]
+            if page.startswith("<!--", here):
+                at = page.find("-->", here + 2) + 3
+                at = at if at > 2 else end
+                continue
+            m = _NAME.match(page, here + 1 + (ahead == "/"))
+            if m is None:
+                if ahead and ahead in "!?/":
+                    at = page.find(">", here) + 1 or end
+                else:
+                    yield "<", "", ""
+                    at = here + 1
+                continue
+            at = self._tag_end(m.end())
+            if not at:
+                yield page[here:], "", ""
+                return
+            tag, attributes = m[0].lower(), page[m.end() : at - 1]
+            if ahead == "/":
+                yield None, "/" + tag, ""
+            elif tag in _OPENS:
+                at = self._behind(tag, at, attributes.endswith("/"))
+            else:
+                self.unclosed = tag in UNREAD and not self._ends(tag, at)
+                yield None, tag, attributes
+
+
 class Paths:
-    """Interned paths of open elements: number of a path -> (tag, parent's number, its features)."""
+    """Interned paths of open elements: number of a path -> (tag, parent's number, its features).
+
+    Of the features only those in ``known`` are kept, if it is given.
+    """
 
     LIMIT = 200_000
 
-    def __init__(self):
+    def __init__(self, known: frozenset | None = None):
+        self.known = known
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[tuple, int] = {}
+        self.numbers: dict[tuple, int] = {}
         self.rows: list[tuple[str, int, frozenset, tuple[str, ...]]] = [("", -1, frozenset(), ())]
 
     def child(self, parent: int, tag: str, attributes: str) -> int:
-        key = (parent, tag, attributes)
-        found = self.known.get(key)
+        key = (parent, tag, attributes if len(attributes) < 200 else hash(attributes))
+        found = self.numbers.get(key)
         if found is None:
             above = self.rows[parent]
             words = {w for m in _NAMED.finditer(attributes) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()) if w}
             own = {f"word {w}" for w in words}
             if tag not in ("div", "span", "html", "body") and tag not in INLINE:
                 own.add(f"tag {tag}")
+            if self.known is not None:
+                own &= self.known
             sections = (*above[3], tag)[-2:] if tag in SECTIONS else above[3]
-            found = self.known[key] = len(self.rows)
-            self.rows.append((tag, parent, above[2] | own, sections))
+            found = self.numbers[key] = len(self.rows)
+            self.rows.append((tag, parent, above[2] | own if own - above[2] else above[2], sections))
         return found
 
 
@@ -80,13 +187,17 @@ def leaf_blocks(page: str, paths: Paths):
 
     Tags may be unclosed or misplaced: an end tag without an open element is ignored, a
     paragraph ends where another block starts.  A head ends at the first tag that it may not
-    hold or at text; an unread element ends with its own end tag or that of an element around it.
+    hold or at text; an unread element ends with its own end tag, with that of an element around
+    it, or where a section or heading starts; one that has no end tag, where any block starts.
     """
     if len(paths.rows) > Paths.LIMIT:
         paths.clear()
-    rows, at, out, parts = paths.rows, 0, [], []
+    rows, at, depth, out, parts = paths.rows, 0, 0, [], []
     linked = anchors = unread = 0
-    head = False
+    opened: Counter = Counter()
+    deeper: Counter = Counter()
+    head = unclosed = False
+    tokens = Tokens(page)
 
     def settle():
         nonlocal linked
@@ -100,67 +211,80 @@ def leaf_blocks(page: str, paths: Paths):
                 out.append((text, min(linked, len(text)), place))
         linked = 0
 
-    def leave(tags, scope) -> bool:
-        nonlocal at, anchors, unread
+    def enter(tag, attributes) -> bool:
+        nonlocal at, depth
+        if depth == MAX_DEPTH:
+            deeper[tag] += 1
+            return False
+        at, depth = paths.child(at, tag, attributes), depth + 1
+        opened[tag] += 1
+        return True
+
+    def leave(tags, scope):
+        nonlocal at, depth, anchors, unread
+        if not any(opened[t] for t in tags):
+            return
         place = at
         while place > 0 and rows[place][0] not in scope:
             if rows[place][0] in tags:
                 while True:
-                    anchors -= rows[at][0] == "a"
-                    unread -= rows[at][0] in UNREAD
-                    last, at = at, rows[at][1]
+                    own = rows[at][0]
+                    opened[own] -= 1
+                    anchors -= own == "a"
+                    unread -= own in UNREAD
+                    last, at, depth = at, rows[at][1], depth - 1
                     if last == place:
-                        return True
+                        return
             place = rows[place][1]
-        return False
 
-    for m in _TOKEN.finditer(page):
-        whole = m[0]
-        if whole[0] != "<" or whole == "<":
-            head = head and not whole.strip()
+    def close(tag, scope):
+        if deeper[tag]:
+            deeper[tag] -= 1
+        else:
+            leave((tag,), scope)
+
+    for text, tag, attributes in tokens:
+        if text is not None:
+            head = head and not text.strip()
             if not head and not unread:
-                parts.append(whole)
+                parts.append(text)
                 if anchors > 0:
-                    linked += len(whole)
-            continue
-        tag = m[3]
-        if tag is None:
+                    linked += len(text)
             continue
-        tag = tag.lower()
-        if head and (tag in ("head", "body", "html", "br") if m[2] else tag not in HEADED):
+        ends = tag[0] == "/"
+        tag = tag[1:] if ends else tag
+        if head and (tag in ("head", "body", "html", "br") if ends else tag not in HEADED):
             head = False
         if tag in INLINE:
-            if m[2]:
-                if tag == "a":
-                    leave(("a",), SCOPE)
-            elif tag == "br":
+            if tag == "br" and not ends:
                 parts.append(" ")
+            elif tag == "a" and ends:
+                close("a", SCOPE)
             elif tag == "a":
-                at = paths.child(at, "a", "")
-                anchors += 1
+                anchors += enter("a", "")
             continue
         if tag == "head":
-            head = not m[2]
+            head = not ends
             continue
         if tag in UNREAD:
-            if m[2]:
-                leave((tag,), ())
-            elif not m[4].endswith("/"):
-                at = paths.child(at, tag, "")
-                unread += 1
+            if ends:
+                close(tag, ())
+            elif not attributes.endswith("/"):
+                unread += enter(tag, "")
+                unclosed = tokens.unclosed
             continue
-        while tag == "body" and unread:
+        while unread and not ends and (unclosed or tag in OUTER):
             leave(UNREAD, ())
         settle()
-        if m[2]:
-            leave((tag,), ())
+        if ends:
+            close(tag, ())
             continue
         if tag in ENDS:
             leave(ENDS[tag], BARRED)
         if tag not in _NOT_INLINE_P:
             leave(("p",), BARRED)
-        if tag not in VOID and not m[4].endswith("/"):
-            at = paths.child(at, tag, m[4])
+        if tag not in VOID and not attributes.endswith("/"):
+            enter(tag, attributes)
     settle()
     return out
 
@@ -307,13 +431,16 @@ def extract(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page
     """``keep`` columns, ``text`` and ``n_chars`` for every row of ``pages``.
 
     A null or empty page, and one without main blocks, has an empty text.  Repeated rows are
-    extracted alike; a page of any length is read whole, one at a time.
+    extracted alike, an empty table gives no rows, null keys pass by; a page of any length,
+    well formed or not, is read whole, one at a time, in time that grows with its length.  Of
+    equally likely labels a block is no main text.
     """
     # Names and weights of a few hundred features: bounded by the labelled pages.
     sent = pages.sparkSession.sparkContext.broadcast(field or train())
 
     def make():
-        model, paths, held = sent.value, Paths(), {}
+        model = sent.value
+        paths, held = Paths(frozenset(model.names)), {}
 
         def run(texts: list[str]) -> dict:
             found = [main_text(p, model, paths, held) if p else "" for p in texts]
