@@ -134,8 +134,24 @@ def confidence_label(score: Column) -> Column:
     return F.when(score.isNull(), "manual").when(score >= 0.85, "high").when(score >= 0.65, "medium").otherwise("low")
 
 
-def activity_state(c: Column) -> Column:
-    return F.when(c.isin("queued", "pending"), "waiting").when(c.isin("running", "claimed"), "running").when(c.isin("done", "applied", "finished"), "done").when(c.isin("failed", "dead"), "failed").otherwise("other")
+def review_label(has_candidate: Column, score: Column, state: Column) -> Column:
+    """The inbox's label of a review: by its score, else by its candidate, else by its state."""
+    by_score = F.when(score >= 0.85, "High confidence").when(score >= 0.65, "Medium confidence").when(score.isNotNull(), "Low confidence")
+    by_state = F.when(state == "needs_attention", "Needs attention").when(state == "preparing", "Preparing").otherwise("Not scored")
+    return F.coalesce(by_score, F.when(has_candidate, "Manual selection"), by_state)
+
+
+#: Activity states of imports, applies and undos; other states stand for themselves.
+ACTIVITY = {
+    "import": {"scanning": "running", "fingerprinting": "running", "grouping": "running", "matching": "running", "reviewing": "succeeded", "completed": "succeeded"},
+    "apply": {"applying": "running", "applied": "succeeded", "partially_applied": "failed"},
+    "undo": {"undoing": "running", "undone": "succeeded", "partially_undone": "failed"},
+}
+
+
+def activity_state(kind: str, c: Column) -> Column:
+    """What a state of an import, an apply or an undo is in the feed."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in ACTIVITY[kind].items() for x in pair]), c), c)
 
 
 def digest(*columns: str) -> Column:

@@ -23,6 +23,7 @@ JOIN = ", "
 ALIASES = {"albumartist": "album_artist", "track": "track_no", "tracktotal": "track_total", "disc": "disc_no", "disctotal": "disc_total", "albumtype": "compilation", "catalognum": "catalog_number"}
 #: Letters that have no decomposition.
 PLAIN = {"ß": "ss", "æ": "ae", "Æ": "AE", "ø": "o", "Ø": "O", "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th", "ł": "l", "Ł": "L"}
+#: Characters and names that file systems reserve.
 RESERVED = re.compile(r'[<>:"/\\|?*\x00-\x1f]')
 DEVICES = {"CON", "PRN", "AUX", "NUL", *(f"{d}{i}" for d in ("COM", "LPT") for i in range(1, 10))}
 #: Least and most arguments of each function.

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import base64
 import json
+import unicodedata
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Page sizes and facet sizes are held between 1 and this.
@@ -43,17 +44,30 @@ class CatalogQuery:
     limit: int = 100
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Lower-case letters of one mark, and the letters without it."""
+    parts = ((chr(c), unicodedata.normalize("NFD", chr(c))) for c in (*range(0xC0, 0x590), *range(0x1E00, 0x2000)))
+    pairs = [(ch, d[0]) for ch, d in parts if ch == ch.lower() and len(d) == 2 and unicodedata.combining(d[1])]
+    return "".join(ch for ch, _ in pairs), "".join(d for _, d in pairs)
+
+
+MARKED, UNMARKED = _plain_letters()
+
+
 def tokens(c: Column) -> Column:
-    """The lower-cased words of a text, joined by and between single spaces."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    """The lower-cased words of a text without marks, joined by and between single spaces."""
+    plain = F.regexp_replace(F.translate(F.lower(c), MARKED, UNMARKED), r"[\u0300-\u036F]", "")
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
 def phrase(text: str, columns: tuple[str, ...] = SEARCHED) -> Column | None:
     """Do the words of ``text`` stand together in one of the columns?  None for a blank text.
 
-    Every character is literal: quotes, hyphens and operators only part words.
+    Every character is literal: quotes, hyphens and operators only part words.  Neither case
+    nor the mark of a letter counts.
     """
-    wanted = "".join(ch if ch.isalnum() else " " for ch in text.lower()).split()
+    plain = text.lower().translate(str.maketrans(MARKED, UNMARKED))
+    wanted = "".join(ch if ch.isalnum() else " " for ch in plain if not "\u0300" <= ch <= "\u036f").split()
     if not text.strip():
         return None
     if not wanted:
@@ -134,9 +148,71 @@ def facet(tracks: DataFrame, column: str, query: CatalogQuery, needle: str = "",
 
 
 def facets(tracks: DataFrame, query: CatalogQuery, needle: str = "", cursor: str | None = None, limit: int = 100) -> DataFrame:
-    """All four facets, tagged; one cursor value holds for each of them."""
-    parts = [facet(tracks, c, query, needle, cursor, limit).select(F.lit(c).alias("facet"), "value", "n") for c in ("artist", "album", "format", "genre")]
-    return reduce(DataFrame.unionByName, parts)
+    """All four facets, tagged; one cursor value holds for each of them.
+
+    One pass: every row gives its values to the facets whose other filters it passes.
+    """
+    kinds = dict(tracks.dtypes)
+
+    def given(c: str) -> Column:
+        values = F.col(c) if kinds[c].startswith("array") else F.array(F.col(c))
+        tagged = F.transform(values, lambda v: F.struct(F.lit(c).alias("facet"), v.alias("value")))
+        return F.coalesce(F.when(where(replace(query, **{c: ""})), tagged), F.array().cast("array<struct<facet:string,value:string>>"))
+
+    counts = tracks.select(F.explode(F.flatten(F.array(*map(given, ("artist", "album", "format", "genre"))))).alias("f")).select("f.*").filter("value is not null").groupBy("facet", "value").agg(F.count("*").alias("n"))
+    if needle:
+        counts = counts.filter(F.contains(F.lower("value"), F.lit(needle.lower())))
+    if cursor is not None:
+        counts = counts.filter(F.col("value") > cursor)
+    place = F.row_number().over(Window.partitionBy("facet").orderBy("value"))
+    return counts.withColumn("_r", place).filter(F.col("_r") <= max(1, min(limit, MAX_LIMIT))).drop("_r")
+
+
+def encode_facet_cursor(value: str) -> str:
+    return base64.urlsafe_b64encode(json.dumps(value).encode()).decode().rstrip("=")
+
+
+def decode_facet_cursor(text: str | None) -> str | None:
+    """The value behind which a facet goes on; None (the start) for an absent or invalid cursor."""
+    try:
+        return str(json.loads(base64.urlsafe_b64decode(text + "=" * (-len(text) % 4))))
+    except (TypeError, ValueError):
+        return None
+
+
+#: The last page and the largest page of a search by hand.
+LAST_PAGE, MOST_RESULTS = 9, 20
+
+
+@dataclass(frozen=True)
+class ManualSearch:
+    """What a user looks for by hand; :meth:`checked` puts it in order or refuses it."""
+
+    title: str | None = None
+    artist: str | None = None
+    album: str | None = None
+    isrc: str | None = None
+    year: int | None = None
+    duration_ms: int | None = None
+    providers: tuple[str, ...] = ()
+    page: int = 0
+    page_size: int = 10
+
+    def checked(self) -> ManualSearch:
+        """Single spaces, blanks as None, providers in lower case and once each."""
+        texts = {n: " ".join((getattr(self, n) or "").split()) or None for n in ("title", "artist", "album", "isrc")}
+        providers = tuple(dict.fromkeys(p.strip().lower() for p in self.providers if p.strip()))
+        wrong = [
+            ("one of title, artist, album or isrc is needed", not any(texts.values())),
+            ("year must have four digits", self.year is not None and not 1000 <= self.year <= 9999),
+            ("duration_ms must be positive", self.duration_ms is not None and self.duration_ms <= 0),
+            (f"page must be from 0 to {LAST_PAGE}", not 0 <= self.page <= LAST_PAGE),
+            (f"page_size must be from 1 to {MOST_RESULTS}", not 1 <= self.page_size <= MOST_RESULTS),
+        ]
+        for message, is_so in wrong:
+            if is_so:
+                raise ValueError(message)
+        return replace(self, providers=providers, **texts)
 
 
 def parse_query(text: str) -> list[tuple[str, str]]:

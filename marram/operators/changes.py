@@ -2,49 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .catalog import in_scope
 
-#: Extensions that are catalogued, and those of files beside them.
-SUPPORTED = ("mp3", "flac", "m4a", "mp4", "ogg", "opus", "aac", "wav")
-SIDECARS = ("cue", "log", "m3u", "m3u8", "jpg", "jpeg", "png", "txt", "nfo", "lrc")
+#: Extensions that are catalogued, files beside them, folders that are passed over.
+SUPPORTED = ("mp3", "flac", "ogg", "opus", "m4a", "wav", "aiff", "aif")
+SIDECARS = ("cover.jpg", "folder.jpg", "album.jpg", "cover.png", "folder.png", "album.png")
+EXCLUDED = (".git", "@eaDir", "$RECYCLE.BIN", ".Trash-1000")
+
+
+def _name() -> F.Column:
+    return F.regexp_extract("path", r"([^/]*)$", 1)
+
+
+def file_class(root: str = "") -> F.Column:
+    """excluded (below an excluded folder under ``root``), sidecar, supported or unsupported, of ``path``."""
+    below = F.substring(F.col("path"), F.lit(len(root) + 1), F.length("path"))
+    folders = F.slice(F.split(below, "/"), F.lit(1), F.size(F.split(below, "/")) - 1)
+    ext = F.lower(F.regexp_extract(_name(), r"(?<=.)\.([^.]+)$", 1))
+    excluded = F.arrays_overlap(folders, F.array(*map(F.lit, EXCLUDED)))
+    return F.when(excluded, "excluded").when(F.lower(_name()).isin(*SIDECARS), "sidecar").when(ext.isin(*SUPPORTED), "supported").otherwise("unsupported")
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size_bytes, mtime, content) of the files below ``root``; content is read only if it is used."""
+    """(path, size_bytes, mtime, content) of the files below ``root``; content is read only if it is used.  Empty files have no row."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return listing.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"), "content")
 
 
-def audio_only(files: DataFrame) -> DataFrame:
-    return files.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*SUPPORTED) & ~F.col("path").rlike(r"/\._[^/]*$"))
+def audio_only(files: DataFrame, root: str = "") -> DataFrame:
+    """The files that are catalogued: of a known extension, no sidecar, in no excluded folder."""
+    return files.filter(file_class(root) == "supported")
 
 
 def partial_digest(files: DataFrame) -> DataFrame:
-    """``files`` with a digest of the first and the last 64 KiB and the size."""
-    end = F.greatest(F.length("content") - 65536, F.lit(0))
-    text = F.concat(F.substring("content", 1, 65536), F.substring(F.col("content"), end + 1, F.lit(65536)), F.encode(F.col("size_bytes").cast("string"), "UTF-8"))
+    """``files`` with a digest of the first 64 KiB, of up to 64 KiB at the end of a larger file, and of the size."""
+    part = 65536
+    start = F.greatest(F.length("content") - part, F.lit(part))
+    tail = F.when(F.length("content") > part, F.substring(F.col("content"), start + 1, F.lit(part))).otherwise(F.lit(b""))
+    text = F.concat(F.substring("content", 1, part), tail, F.encode(F.col("size_bytes").cast("string"), "UTF-8"))
     return files.withColumn("partial_hash", F.sha2(text, 256)).drop("content")
 
 
 def scan_changes(listing: DataFrame, catalog: DataFrame, root: str) -> DataFrame:
-    """(path, change): added, updated, unchanged, missing (vanished from the scope).
+    """(path, change): added, updated, unchanged, errored, missing (vanished from the scope).
 
     ``catalog`` has path, size_bytes, mtime and missing.  A file is unchanged if size and time
-    are equal and it was not missing.  Catalogue rows out of scope are left alone.
+    are equal and it was not missing; a new or changed one is errored if ``listing`` has an
+    ``error`` for it.  Catalogue rows out of scope are left alone.
     """
-    seen = listing.select("path", F.col("size_bytes").alias("new_size"), F.col("mtime").alias("new_mtime"), F.lit(True).alias("seen"))
+    error = F.col("error") if "error" in listing.columns else F.lit(None).cast("string")
+    seen = listing.select("path", F.col("size_bytes").alias("new_size"), F.col("mtime").alias("new_mtime"), F.lit(True).alias("seen"), error.alias("error"))
     known = catalog.filter(in_scope(F.col("path"), root)).select("path", "size_bytes", "mtime", "missing", F.lit(True).alias("known"))
     same = (F.col("new_size") == F.col("size_bytes")) & (F.col("new_mtime") == F.col("mtime")) & ~F.col("missing")
-    change = F.when(F.col("known").isNull(), "added").when(F.col("seen").isNull(), "missing").when(same, "unchanged").otherwise("updated")
+    change = F.when(F.col("seen").isNull(), "missing").when(F.coalesce(same, F.lit(False)), "unchanged").when(F.col("error").isNotNull(), "errored").when(F.col("known").isNull(), "added").otherwise("updated")
     return seen.join(known, "path", "full_outer").select("path", change.alias("change"), (F.col("seen").isNull() & ~F.coalesce("missing", F.lit(False))).alias("newly_missing"))
 
 
 def scan_stats(changes: DataFrame) -> DataFrame:
     count = lambda c: F.count_if(F.col("change") == c).alias(c)
-    return changes.agg(F.count_if(F.col("change") != "missing").alias("scanned"), count("added"), count("updated"), count("unchanged"), count("missing"))
+    return changes.agg(F.count_if(F.col("change") != "missing").alias("scanned"), count("added"), count("updated"), count("unchanged"), count("errored"), count("missing"))
 
 
 def apply_changes(listing: DataFrame, catalog: DataFrame, root: str, now: int) -> DataFrame:
@@ -63,15 +82,17 @@ def stale_matches(matches: DataFrame, changed: DataFrame) -> DataFrame:
     return matches.join(changed.select("track_id"), "track_id", "left_anti")
 
 
-def preview(paths: DataFrame, examples: int = 5) -> DataFrame:
-    """(class, n, examples): supported, sidecar and other files, with the first paths of each."""
-    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    kind = F.when(ext.isin(*SUPPORTED), "supported").when(ext.isin(*SIDECARS), "sidecar").otherwise("unsupported")
+def preview(paths: DataFrame, examples: int = 5, root: str = "") -> DataFrame:
+    """(class, n, examples) of files by :func:`file_class`, with the first paths of each.
+
+    Where ``paths`` has a flag ``symlink``, links are a class of their own.
+    """
+    kind = file_class(root)
+    if "symlink" in paths.columns:
+        kind = F.when(F.col("symlink"), "symlink").otherwise(kind)
     ranked = paths.select(kind.alias("class"), "path")
     counts = ranked.groupBy("class").agg(F.count("*").alias("n"))
     # Only each class's first paths are gathered: a top-k per class before the shuffle.
-    from .ordered import Window
-
     first = ranked.withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy("path"))).filter(F.col("r") <= examples)
     shown = first.groupBy("class").agg(F.array_join(F.array_sort(F.collect_list("path")), "|").alias("examples"))
     return counts.join(shown, "class")

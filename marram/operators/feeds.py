@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from .catalog import phrase
 from .ordered import beyond_newest, first_per_key
 
-#: Order of inbox states.
-STATE_RANK = {"needs_review": 0, "ready": 1, "applying": 2, "failed": 3, "applied": 4, "discarded": 5}
+#: Order of inbox states, those shown only if asked for, those still open.
+STATE_RANK = {"needs_attention": 0, "failed": 0, "preparing": 1, "ready": 2, "applying": 3, "partially_applied": 4, "applied": 5, "discarded": 6}
 HIDDEN_STATES = ("applied", "discarded")
-#: Days that an answer stays fresh, by operation; then it may serve while stale.
-TTL_DAYS = {"search": 7, "release": 30, "recording": 90, "art": 180}
+ACTIVE_STATES = ("preparing", "ready", "needs_attention", "applying")
+#: Columns that an inbox search looks at.
+INBOX_SEARCHED = ("title", "filename", "path", "candidate_source", "candidate_title", "candidate_artist", "candidate_album", "issue_message")
+#: Days that an answer stays fresh, by operation; then it may serve while stale.
+TTL_DAYS = {"get_release": 30, "search_releases": 7, "get_lyrics": 90, "get_art": 7, "fingerprint_lookup": 180}
 GRACE_DAYS = 30
+#: States in which a job stays.
+TERMINAL_STATES = ("succeeded", "failed", "cancelled")
 
 
 def activity(sources: dict[str, DataFrame], cursor: tuple | None = None, limit: int = 50) -> DataFrame:
@@ -41,20 +46,86 @@ def state_rank(c: Column) -> Column:
     return reduce(lambda acc, kv: acc.when(c == kv[0], kv[1]), STATE_RANK.items(), F.when(F.lit(False), 0)).otherwise(99)
 
 
-def inbox(entries: DataFrame, states: list[str] | None = None, label: str = "", q: str = "", cursor: tuple[int, int, int] | None = None, limit: int = 50) -> DataFrame:
-    """Entries with an issue first, then by state and id; finished states only if asked for."""
+def decode_inbox_cursor(text: str) -> tuple[int, int, int]:
+    """The parts of ``issue_rank:state_rank:id``; anything else is an error."""
+    parts = text.split(":")
+    if len(parts) != 3 or not all(p.strip().lstrip("-").isdigit() for p in parts):
+        raise ValueError(f"not an inbox cursor: {text!r}")
+    return tuple(int(p) for p in parts)
+
+
+def inbox(entries: DataFrame, states: list[str] | None = None, label: str = "", q: str = "", issue: str = "", source: str = "", session: str = "", cursor: tuple[int, int, int] | None = None, limit: int = 50) -> DataFrame:
+    """Entries with an issue first, then by state and id; finished states only if asked for.
+
+    ``session`` is the number of an import session, or ``none`` for entries outside any; any
+    other text is an error.  ``q`` is a phrase in one of INBOX_SEARCHED.
+    """
     rows = entries.filter(F.col("state").isin(states)) if states else entries.filter(~F.col("state").isin(*HIDDEN_STATES))
+    if source:
+        rows = rows.filter(F.col("candidate_source") == source)
+    if issue:
+        rows = rows.filter(F.col("issue_kind") == issue)
     if label:
-        rows = rows.filter(F.replace(F.lower("label"), F.lit("_"), F.lit(" ")) == label.lower().replace("_", " "))
-    if (found := phrase(q, ("title",))) is not None:
+        rows = rows.filter(F.lower("confidence_label") == label.replace("_", " ").strip().lower())
+    if session == "none":
+        rows = rows.filter("import_session_id is null")
+    elif session:
+        if not session.strip().lstrip("-").isdigit():
+            raise ValueError(f"not an import session: {session!r}")
+        rows = rows.filter(F.col("import_session_id") == int(session))
+    if (found := phrase(q, INBOX_SEARCHED)) is not None:
         rows = rows.filter(found)
-    rows = rows.withColumn("issue_rank", F.when(F.col("issue").isNotNull(), 0).otherwise(1)).withColumn("state_rank", state_rank(F.col("state")))
+    rows = rows.withColumn("issue_rank", F.when(F.col("issue_kind").isNotNull(), 0).otherwise(1)).withColumn("state_rank", state_rank(F.col("state")))
     if cursor is not None:
         at = F.struct(*[F.lit(x).cast("bigint" if k == 2 else "int") for k, x in enumerate(cursor)])
         rows = rows.filter(F.struct("issue_rank", "state_rank", "id") > at)
     return rows.orderBy("issue_rank", "state_rank", "id").limit(limit + 1)
 
 
+def active_bundle(bundles: DataFrame, logical_key) -> DataFrame:
+    """The review of a logical key that is still open."""
+    return bundles.filter((F.col("logical_key") == logical_key) & F.col("state").isin(*ACTIVE_STATES))
+
+
+def current_revision(revisions: DataFrame, bundles: DataFrame) -> DataFrame:
+    """The current revision of each of the reviews."""
+    return revisions.filter("is_current").join(bundles.select(F.col("id").alias("bundle_id")), "bundle_id", "left_semi")
+
+
+def first_issue() -> Column:
+    """struct(kind, message) of a review's first issue, or null.
+
+    The review has ``error``, ``attempts`` (array of kind, state, error) and ``operations``
+    (array of collision, collision_path, conflicting, errors).  Its own error comes first,
+    unless a failed attempt has the same message; then failed attempts, then operations.
+    """
+    failed = F.filter("attempts", lambda a: a["state"].isin("transient_failure", "permanent_failure"))
+    tasks = F.transform(failed, lambda a: F.struct(F.lit("task").alias("kind"), F.coalesce(F.nullif(a["error"], F.lit("")), F.concat(a["kind"], F.lit(" could not be completed"))).alias("message")))
+    own = F.when((F.col("error") != "") & ~F.exists(tasks, lambda t: t["message"] == F.col("error")), F.array(F.struct(F.lit("review").alias("kind"), F.col("error").alias("message"))))
+
+    def said(o):
+        where = F.when(o["collision_path"] != "", F.concat(F.lit("Destination collision: '"), o["collision_path"], F.lit("'"))).otherwise("Path collision")
+        ids = F.when(F.size(o["conflicting"]) > 0, F.concat(F.lit("conflicts with track(s) ["), F.array_join(F.array_sort(o["conflicting"]).cast("array<string>"), ", "), F.lit("]")))
+        errors = F.when(F.size(o["errors"]) > 0, F.array_join(o["errors"], "; "))
+        return F.struct(F.when(o["collision"], "collision").otherwise("review").alias("kind"), F.when(o["collision"], F.concat_ws(" \u2014 ", where, ids, errors)).otherwise(errors).alias("message"))
+
+    bad = F.transform(F.filter("operations", lambda o: o["collision"] | (F.size(o["errors"]) > 0)), said)
+    none = F.array().cast("array<struct<kind:string,message:string>>")
+    return F.get(F.concat(F.coalesce(own, none), F.coalesce(tasks, none), F.coalesce(bad, none)), F.lit(0))
+
+
+def job_events(events: DataFrame, jobs: DataFrame, job_id: int, after: int) -> DataFrame:
+    """(seq, kind, payload): a job's events behind a cursor, then its end if it has ended.
+
+    The last row is (null, done, state) once the job is in a terminal state, and
+    (null, error, 'job not found') where there is no such job.
+    """
+    behind = events.filter((F.col("job_id") == job_id) & (F.col("seq") > after)).select(F.col("seq").cast("long").alias("seq"), "kind", "payload")
+    own = jobs.filter(F.col("id") == job_id).agg(F.max("state").alias("state"))
+    end = own.select(F.lit(None).cast("long").alias("seq"), F.when(F.col("state").isNull(), "error").otherwise("done").alias("kind"), F.coalesce("state", F.lit("job not found")).alias("payload"))
+    return behind.unionByName(end.filter((F.col("kind") == "error") | F.col("payload").isin(*TERMINAL_STATES))).orderBy(F.col("seq").asc_nulls_last())
+
+
 def jobs_page(jobs: DataFrame, state: str = "", before: int | None = None, limit: int = 50) -> DataFrame:
     rows = jobs.filter("type <> 'retention_sweep'")
     if state:

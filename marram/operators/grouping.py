@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from marram.functions.text import key_distance, match_key_column
 from marram.sources.shared import written
 
+from .catalog import in_scope
+from .feeds import mixed_groups
 from .reports import blank
 
 #: Largest mean distance of artist and album at which a track joins a cluster.
@@ -29,7 +31,7 @@ def release_key() -> Column:
     """struct(basis, value) of the first id that a track has: release, barcode, catalogue number with label."""
     has = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
     pair = lambda basis, value: F.struct(F.lit(basis).alias("basis"), value.alias("value"))
-    return F.when(has("mb_release_id"), pair("release_id", F.col("mb_release_id"))).when(has("barcode"), pair("barcode", F.col("barcode"))).when(has("catalog_number") & has("label"), pair("catalog", F.concat_ws("|", "catalog_number", "label")))
+    return F.when(has("mb_release_id"), pair("release_id", F.col("mb_release_id"))).when(has("barcode"), pair("barcode", F.col("barcode"))).when(has("catalog_number") & has("label"), pair("catalog_label", F.concat_ws("|", "catalog_number", "label")))
 
 
 def by_ids(tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -87,7 +89,7 @@ def tag_clusters(tracks: DataFrame, order: str, block: Column | None = None) ->
     are found between parts of about PAIR_KEYS keys, a pair of parts a task; a key joins if an
     earlier leader is near it, which is settled in rounds of joins until none is open.
     """
-    artist, album = F.coalesce("album_artist", "artist"), F.col("album")
+    artist, album = F.coalesce(F.nullif("album_artist", F.lit("")), "artist"), F.col("album")
     names = tracks.select("id", F.col(order).alias("at"), artist.alias("artist"), album.alias("album"), (block if block is not None else F.lit(0)).alias("block"))
     pairs = names.groupBy("block", "artist", "album").agg(F.min(F.struct("at", "id")).alias("first"))
     keyed = written(pairs.select("block", "artist", "album", match_key_column("artist").alias("artist_key"), match_key_column("album").alias("album_key"), "first.at", "first.id"), "tag-names")
@@ -166,13 +168,18 @@ def partial_albums(groups: DataFrame, key: str = "key") -> DataFrame:
     return out.withColumn("kind", F.when(F.col("agreed") > F.col("members"), "partial_album").otherwise("album"))
 
 
-def cascade(tracks: DataFrame, matches: DataFrame, pinned: DataFrame, block: Column | None = None) -> DataFrame:
-    """(id, key, basis): every track that is not in a pinned group, by the first stage that takes it.
+def cascade(tracks: DataFrame, matches: DataFrame, pinned: DataFrame, block: Column | None = None, root: str | None = None) -> DataFrame:
+    """(id, key, basis): every live track that is not in a pinned group, by the first stage that takes it.
 
-    Tags are clustered in the order of ids (under 2**60), tracks that had an id of a release
-    to themselves coming last.
+    With ``root`` only tracks in its scope count, and none of a group that also has tracks
+    outside.  Tags are clustered in the order of ids (under 2**60), tracks that had an id of a
+    release to themselves coming last.  A cluster's key is made of its leader's match keys, so
+    it stays the same from run to run; clusters whose leaders have equal keys are one group.
     """
-    free = written(tracks.join(pinned, "group_id", "left_anti"), "grouping-free")
+    live = tracks.filter("not is_missing")
+    if root is not None:
+        live = live.join(mixed_groups(live.filter("group_id is not null"), "group_id", in_scope(F.col("path"), root)), "group_id", "left_anti").filter(in_scope(F.col("path"), root))
+    free = written(live.join(pinned, "group_id", "left_anti"), "grouping-free")
     inside, rest = by_ids(free)
     rest = written(rest, "grouping-rest")
     votes = release_votes(matches.join(rest.select(F.col("id").alias("track_id")), "track_id", "left_semi"))
@@ -180,7 +187,9 @@ def cascade(tracks: DataFrame, matches: DataFrame, pinned: DataFrame, block: Col
     left = written(rest.join(voted.select("id"), "id", "left_anti").withColumn("_single", is_singleton()).withColumn("_at", F.col("id") + F.when(F.col("had_key"), F.lit(1 << 60)).otherwise(0)), "grouping-left")
     clusters = written(tag_clusters(left.filter("not _single"), "_at", block), "grouping-clusters")
     large = clusters.groupBy("leader_id").agg(F.count("*").alias("n")).filter("n > 1").select("leader_id")
-    tagged = clusters.join(large, "leader_id", "left_semi").select(group_key(F.lit("tags"), F.col("leader_id").cast("string")).alias("key"), F.lit("tags").alias("basis"), "id")
+    artist = F.coalesce(F.nullif("album_artist", F.lit("")), "artist")
+    names = left.join(large, left["id"] == large["leader_id"], "left_semi").select(F.col("id").alias("leader_id"), group_key(F.lit("tags"), F.concat_ws("|", match_key_column(artist), match_key_column("album"))).alias("key"))
+    tagged = clusters.join(names, "leader_id").select("key", F.lit("tags").alias("basis"), "id")
     alone = left.join(tagged.select("id"), "id", "left_anti").select(group_key(F.lit("singleton"), F.col("id").cast("string")).alias("key"), F.lit("singleton").alias("basis"), "id")
     return inside.unionByName(voted).unionByName(tagged).unionByName(alone).select("id", "key", "basis")
 

@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marram.functions.scalars import exact_distance, numeric_distance, signals, weighted_distance
+from marram.functions.scalars import exact_distance, file_name_parts, numeric_distance, signals, weighted_distance
 from marram.functions.text import name_distance, name_distance_column
+from marram.sources.shared import written
 
 #: Weights of the signals.
 ALBUM_WEIGHTS = {"album": 3.0, "album_artist": 3.0, "tracks": 2.0, "missing_tracks": 0.9, "unmatched_tracks": 0.6, "year": 0.5, "media": 0.5, "country": 0.5, "label": 0.5, "catalog_number": 0.5, "barcode": 2.0}
@@ -172,8 +173,10 @@ def rank(scored: DataFrame, case: str, priority: tuple[str, ...] = ("musicbrainz
     """``scored`` with adjusted distance, rejection and rank in its case.
 
     Corroboration lowers the distance; the order of sources counts only among candidates
-    within ``min_gap`` of the best, which come first.
+    within ``min_gap`` of the best, which come first.  ``scored`` is written once: the
+    alignment in it is costly, and both sides of the corroboration read it again.
     """
+    scored = written(scored, "scored")
     rows = scored.join(corroborators(scored, case, id_), [case, id_], "left").withColumn("corroborated_by", F.coalesce("corroborated_by", F.array().cast("array<string>")))
     rows = rows.withColumn("adjusted", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("distance") - BONUS * F.size("corroborated_by"))))
     best = F.min("adjusted").over(Window.partitionBy(case))
@@ -196,3 +199,17 @@ def decide(ranked: DataFrame, case: str, strong: float = STRONG, min_gap: float
     close = F.col("next_rank").isNotNull() & F.col("next_rejection").isNull() & (F.abs(F.col("next") - F.col("adjusted")) <= min_gap + EPSILON)
     band = F.when(F.col("rejection").isNotNull() | (F.col("adjusted") >= REJECT), "reject").when((F.col("adjusted") < strong) & ~F.coalesce(close, F.lit(False)), "strong").otherwise("ambiguous")
     return rows.filter("r = 1").select(case, F.concat_ws(":", "source", "ref_id").alias("winner"), "adjusted", band.alias("band"))
+
+
+def top_candidates(ranked: DataFrame, case: str, most: int = 5) -> DataFrame:
+    """(case, candidates): the first ``most`` of each case in order, for its explanation."""
+    cells = [c for c in ("source", "ref_id", "album", "album_artist", "year", "distance", "adjusted", "rejection") if c in ranked.columns]
+    first = ranked.filter(F.col("rank") <= most).groupBy(case).agg(F.array_sort(F.collect_list(F.struct("rank", *cells))).alias("candidates"))
+    return first.select(case, F.transform("candidates", lambda x: x.dropFields("rank")).alias("candidates"))
+
+
+def local_names(tracks: DataFrame, name: str) -> DataFrame:
+    """``tracks`` whose title, and surely read artist, are filled from the file name where they lack them."""
+    read = file_name_parts(F.col(name))
+    sure = F.when(read["confidence"] >= 0.9, read["artist"])
+    return tracks.withColumns({"title": F.coalesce("title", read["title"]), "artist": F.coalesce("artist", sure)})

@@ -101,7 +101,16 @@ def edits(best: DataFrame, fields: list[str], id_: str) -> DataFrame:
 
 
 #: Where each review state may go.
-TRANSITIONS = {"needs_review": ("ready", "discarded"), "ready": ("applying", "needs_review", "discarded"), "applying": ("applied", "failed"), "failed": ("ready", "discarded"), "applied": (), "discarded": ()}
+TRANSITIONS = {
+    "preparing": ("ready", "needs_attention", "failed", "discarded"),
+    "ready": ("needs_attention", "applying", "discarded"),
+    "needs_attention": ("ready", "applying", "discarded"),
+    "applying": ("applied", "partially_applied", "failed"),
+    "applied": (),
+    "partially_applied": ("applying", "failed"),
+    "failed": ("applying",),
+    "discarded": ("ready", "needs_attention"),
+}
 
 
 def invalid_transitions(log: DataFrame, key: str, order: str) -> DataFrame:

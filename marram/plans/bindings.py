@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marram.sources.tables import GROUPS, TRACKS, groups, table, tracks
 
-__all__ = ["GROUPS", "JOBS", "MATCHES", "TRACKS", "attempts", "groups", "jobs", "matches", "table", "tracks", "turns"]
+__all__ = ["GROUPS", "JOBS", "MATCHES", "TRACKS", "attempts", "groups", "jobs", "matches", "split_list", "table", "tracks", "turns"]
 
 MATCHES = "matches AS (SELECT event_id AS id, user_id AS track_id, concat(event_type, '-', CAST(user_id % 40 AS VARCHAR)) AS mb_recording_id, [concat('rel-', CAST(user_id % 9 AS VARCHAR)), concat('rel-', CAST(event_id % 23 AS VARCHAR))] AS mb_release_ids, value / 500 AS score FROM events)"
 
@@ -24,10 +24,10 @@ JOBS = "jobs AS (SELECT " + _JOB.replace("STRING", "VARCHAR") + " FROM orders)"
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr(*_split(_JOB))
+    return table(spark, sf_dir, "orders").selectExpr(*split_list(_JOB))
 
 
-def _split(text: str) -> list[str]:
+def split_list(text: str) -> list[str]:
     """The expressions of a select list whose own commas stand in parentheses."""
     out, depth, start = [], 0, 0
     for i, ch in enumerate(text):

@@ -49,6 +49,8 @@ def _phrase(words: str) -> str:
 
 Q.add("f9_phrase", _t(lambda t: _short(t.filter(C.where(CatalogQuery(q='"Blue-Gear"'))))), T + f"SELECT {_SHORT} FROM tracks WHERE NOT is_missing AND coalesce({_phrase('blue gear')}, false)")
 Q.add("f9_phrase_across_columns", _t(lambda t: _short(t.filter(C.where(CatalogQuery(q="gear brand"))))), T + f"SELECT {_SHORT} FROM tracks WHERE NOT is_missing AND coalesce({_phrase('gear brand')}, false)")
+_MARKED = "concat('Björk Ńandú ', coalesce(title, 'x'))"
+Q.add("f9_phrase_without_marks", _t(lambda t: _short(t.selectExpr(*[c for c in t.columns if c != "title"], _MARKED + " AS title").filter(C.where(CatalogQuery(q="BJORK nandu"))))), T + f", m AS (SELECT * REPLACE ({_MARKED} AS title) FROM tracks) SELECT {_SHORT} FROM m WHERE NOT is_missing AND contains(strip_accents(lower(title)), 'bjork nandu')")
 Q.add("f9_prose", lambda s, d: table(s, d, "documents").filter(C.phrase("that the", ("text",))).select("doc_id", "lang"), f"SELECT doc_id, lang FROM documents WHERE contains({_tok('text')}, ' that the ')")
 Q.add("f11_facet_needle", _t(lambda t: C.facet(t, "artist", CatalogQuery(), needle="AND#1")), T + "SELECT artist AS value, count(*) AS n FROM tracks WHERE NOT is_missing AND artist IS NOT NULL AND contains(lower(artist), 'and#1') GROUP BY 1 ORDER BY 1 LIMIT 100")
 Q.add("f13_mini_query", _t(lambda t: _short(t.filter(C.matches("artist:BRAND#2,title:g,album:", t.columns)))), T + f"SELECT {_SHORT} FROM tracks WHERE contains(lower(coalesce(artist, '')), 'brand#2') AND contains(lower(coalesce(title, '')), 'g')")
@@ -99,7 +101,7 @@ Q.add("a17_latest", lambda s, d: O.latest(turns(s, d), ["conv_id", "role"], "tur
 Q.add("w3_neighbours", lambda s, d: O.neighbours(turns(s, d).withColumn("id", F.col("conv_id") * 1000 + F.col("turn")), "conv_id", [F.asc("turn")], "id", F.col("role") != "user"), "WITH c AS (SELECT conv_id, conv_id * 1000 + turn AS id, turn, role FROM conversations) SELECT conv_id, id, lag(id) OVER w AS previous_id, lead(id) OVER w AS next_id, min(CASE WHEN role = 'user' THEN id END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_open_id FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 Q.add("w4_sequence", lambda s, d: O.numbered(table(s, d, "events"), "user_id", [F.asc("ts"), F.asc("event_id")]).select("event_id", "user_id", F.col("seq").cast("long").alias("seq")), "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")
 Q.add("w5_rank_gap", lambda s, d: O.rank_gap(table(s, d, "events"), "user_id", "value", "event_id").withColumn("gap", F.round("gap", 6)), "SELECT user_id, value AS best, lead(value) OVER w AS second, round(lead(value) OVER w - value, 6) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY value, event_id) QUALIFY row_number() OVER w = 1")
-Q.add("w6_interleave", lambda s, d: O.interleave(table(s, d, "events").withColumn("item", F.col("event_id") % 500), "event_type", "event_id", {"click": 0, "view": 1, "purchase": 2, "error": 3}, ["event_type", "item"], 40).select("event_type", "item"), None)
+Q.add("w6_interleave", lambda s, d: O.interleave(table(s, d, "events").withColumn("item", F.col("event_id") % 500), "event_type", "event_id", {"click": 0, "view": 1, "purchase": 2, "error": 3}, ["event_type", "item"], 40).select("event_type", "item"), "WITH r AS (SELECT event_type, event_id % 500 AS item, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS turn, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 WHEN 'error' THEN 3 END AS place FROM events), f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY event_type, item ORDER BY turn, place) = 1) SELECT event_type, item FROM f ORDER BY turn, place NULLS FIRST LIMIT 40")
 Q.add("w7_keep_first", lambda s, d: O.keep_first(table(s, d, "events"), ["user_id", "event_type"], "event_id").select("event_id", "user_id", "event_type"), "SELECT min(event_id) AS event_id, user_id, event_type FROM events GROUP BY 2, 3")
 Q.add("w8_remap", lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("a")).select("o_custkey", F.array_join(F.transform(F.filter("a", lambda x: x % 3 != 0), lambda x: x % 100), ",").alias("remapped")), "SELECT o_custkey, coalesce(string_agg(CAST(o_orderkey % 100 AS VARCHAR), ',' ORDER BY o_orderkey) FILTER (o_orderkey % 3 <> 0), '') AS remapped FROM orders GROUP BY 1")
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from marram.functions.scalars import file_name_parts
-from marram.functions.text import match_key_column, name_distance_column, path_key_column
+from marram.functions.text import match_key_column, name_distance_column, path_key_column, text_diff_column
 from marram.operators import duplicates as D
 from marram.operators import grouping as G
 from marram.operators import matching as M
@@ -47,7 +47,7 @@ Q.add("b3_name_distance", lambda s, d: tracks(s, d).select("title", "album").dis
 Q.add("s7_path_key", lambda s, d: tracks(s, d).select("id", path_key_column(F.concat("path", F.lit("é"))).alias("key")), f"WITH {TRACKS} SELECT id, path || 'é' AS key FROM tracks")
 
 # Grouping
-_KEY = ", k AS (SELECT *, CASE WHEN mb_release_id <> '' THEN 'release_id:' || mb_release_id WHEN barcode <> '' THEN 'barcode:' || barcode WHEN catalog_number <> '' AND label <> '' THEN 'catalog:' || catalog_number || '|' || label END AS gk FROM tracks), n AS (SELECT * FROM k WHERE gk IS NOT NULL QUALIFY count(*) OVER (PARTITION BY gk) > 1)"
+_KEY = ", k AS (SELECT *, CASE WHEN mb_release_id <> '' THEN 'release_id:' || mb_release_id WHEN barcode <> '' THEN 'barcode:' || barcode WHEN catalog_number <> '' AND label <> '' THEN 'catalog_label:' || catalog_number || '|' || label END AS gk FROM tracks), n AS (SELECT * FROM k WHERE gk IS NOT NULL QUALIFY count(*) OVER (PARTITION BY gk) > 1)"
 Q.add("e1_e8_by_ids", lambda s, d: G.by_ids(tracks(s, d))[0], f"WITH {TRACKS}{_KEY} SELECT substr(sha256(gk), 1, 32) AS key, split_part(gk, ':', 1) AS basis, id FROM n")
 Q.add("e2_fingerprint_groups", lambda s, d: G.fingerprint_groups(G.release_votes(matches(s, d))))
 Q.add("e3_tag_clusters", lambda s, d: G.tag_clusters(tracks(s, d).filter("album is not null"), "id").withColumn("distance", F.round("distance", 6)))
@@ -96,7 +96,18 @@ def _singles(s, d):
 
 
 Q.add("e9_e12_single_scores", lambda s, d: M.score_singles(_singles(s, d), ["case_id", "ref_id"]).select("case_id", "ref_id", F.round("distance", 6).alias("distance"), "related"))
-Q.add("e18_local_evidence", lambda s, d: tracks(s, d).select("id", "title", F.concat(F.lit("01 Artist - "), F.col("id").cast("string"), F.lit(".mp3")).alias("name")).withColumn("p", file_name_parts(F.col("name"))).select("id", F.coalesce("title", "p.title").alias("title"), F.when(F.col("p.confidence") >= 0.9, F.col("p.artist")).alias("artist")), f"WITH {TRACKS} SELECT id, coalesce(title, CAST(id AS VARCHAR)) AS title, 'Artist' AS artist FROM tracks")
+Q.add("e18_local_evidence", lambda s, d: M.local_names(tracks(s, d).select("id", "title", F.lit(None).cast("string").alias("artist"), F.concat(F.lit("01 Artist - "), F.col("id").cast("string"), F.lit(".mp3")).alias("name")), "name").select("id", "title", "artist"), f"WITH {TRACKS} SELECT id, coalesce(title, CAST(id AS VARCHAR)) AS title, 'Artist' AS artist FROM tracks")
+
+
+def _ranked_events(s, d):
+    w = Window.partitionBy("user_id").orderBy("value", "event_id")
+    return table(s, d, "events").select(F.col("user_id").alias("case_id"), F.col("event_type").alias("source"), F.col("event_id").cast("string").alias("ref_id"), F.row_number().over(w).alias("rank"))
+
+
+Q.add("l11_top_candidates", lambda s, d: M.top_candidates(_ranked_events(s, d), "case_id").select("case_id", F.array_join(F.transform("candidates", lambda x: F.concat_ws(":", x["source"], x["ref_id"])), ",").alias("candidates")), "WITH r AS (SELECT user_id AS case_id, event_type || ':' || event_id AS c, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS r FROM events) SELECT case_id, string_agg(c, ',' ORDER BY r) AS candidates FROM r WHERE r <= 5 GROUP BY 1")
+Q.add("e7_scoped_cascade", lambda s, d: G.cascade(tracks(s, d).withColumn("group_id", F.when(F.col("id") % 3 == 0, F.col("group_id"))), matches(s, d), tracks(s, d).filter("group_id % 4 = 0").select("group_id").distinct(), root="lib/Brand#1"))
+_OWN = "CASE id % 3 WHEN 0 THEN concat('Live ', coalesce(title, 'x')) WHEN 1 THEN concat(coalesce(title, 'x'), ' now') ELSE coalesce(title, 'x') END"
+Q.add("r15_text_diff", lambda s, d: tracks(s, d).selectExpr("id", "coalesce(title, 'x') AS a", _OWN + " AS b").select("id", F.array_join(F.transform(text_diff_column("a", "b"), lambda x: F.concat_ws("=", x["op"], x["text"])), "|").alias("diff")), f"WITH {TRACKS} SELECT id, CASE WHEN id % 3 = 0 THEN 'insert=Live |' ELSE '' END || 'equal=' || coalesce(title, 'x') || CASE WHEN id % 3 = 1 THEN '|insert= now' ELSE '' END AS diff FROM tracks")
 
 
 # Stateful folds

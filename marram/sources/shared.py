@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the folder that spark.checkpoint.dir names, so a lost executor costs nothing.
 
-    Where the session names none (a test on one machine), a fresh local folder is set.
+    Where a session on one machine names none (a test), a fresh local folder is set; a cluster
+    must name one.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="marram-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
