@@ -7,9 +7,7 @@ votes are candidates.  A candidate counts if the template's key phrase stands wo
 where the alignment puts it and at least ``COVER`` of the template's words are in place.
 Every key phrase has AGREE indexed words, so no alignment that counts is passed over.
 
-All of it is local to a row: nothing is shuffled or collected.  The SQL twin looks up only
-the ``LOOKUPS`` words of a file that the fewest files hold, so it can miss labels that the
-scan finds.
+All of it is local to a row: nothing is shuffled or collected.
 """
 
 from __future__ import annotations
@@ -43,7 +41,7 @@ PHRASES = [(("mit", "license"), "mit"), (("apache", "license"), "apache"), (("ge
 RARE_LETTERS = 3
 #: Words of some length that are no sign of a licence.
 COMMON = ("the", "and", "any", "are", "can", "for", "not", "you", "use", "this", "that", "with", "will", "under", "into")
-LOOKUPS, AGREE, COVER = 8, 2, 0.75
+AGREE, COVER = 2, 0.75
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,21 +70,22 @@ def _low(c: F.Column) -> F.Column:
 
 
 def word_hits(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """The words of each text and ``hits``: (i, w) of those that base phrases or templates hold."""
+    """The ``_keep`` columns and words of each text, and ``_hits``: (i, w) of those that base phrases or templates hold."""
     vocabulary = sorted({*POSTINGS, *(w for words, _ in PHRASES for w in words)})
-    words = docs.select(*keep, F.regexp_extract_all(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD), F.lit(0)).alias("_words"))
+    words = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_keep"), F.regexp_extract_all(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD), F.lit(0)).alias("_words"))
     at = F.array_compact(F.transform("_words", lambda w, i: F.when(F.lower(w).isin(vocabulary), i)))
     spots = words.withColumn("_at", at)
     # lower() also maps some letters beyond A-Z; only A-Z may count.
     pairs = F.transform("_at", lambda i: F.struct(i.alias("i"), _low(F.get("_words", i)).alias("w")))
-    return spots.select(*keep, "_words", F.filter(pairs, lambda h: h["w"].isin(vocabulary)).alias("_hits"))
+    return spots.select("_keep", "_words", F.filter(pairs, lambda h: h["w"].isin(vocabulary)).alias("_hits"))
 
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and the scan's result for every row of ``docs``.
 
-    A null or empty text has no words and no labels, and score 0.  Repeated rows count as
-    files each and are judged alike.
+    A null or empty text has no words and no labels, and score 0; an empty table gives no
+    rows.  Rows are independent, so repeated ones are judged alike and no other row counts;
+    a text of any length is read whole.  ``keep`` columns may have any names.
     """
     hits = word_hits(docs, text, keep)
     at = lambda i: _low(F.get("_words", i))
@@ -126,7 +125,7 @@ def _result(found: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     starts = F.transform("_base", lambda b: b["start"].cast("long"))
     own, more = F.transform("_base", lambda b: b["label"]), F.transform("_good", lambda g: g["label"])
     return found.select(
-        *keep,
+        *[F.col("_keep")[c].alias(c) for c in keep],
         F.size("_words").cast("long").alias("n_words"),
         F.size("_base").cast("long").alias("n_base"),
         F.array_min(starts).alias("first_word"),
@@ -154,9 +153,7 @@ v AS (SELECT * FROM a WHERE w IN (SELECT w FROM tw) OR w IN ({", ".join(repr(w)
 b AS (SELECT c.doc_id, c.i - 1 AS start, x.w AS label FROM v c JOIN v x ON x.doc_id = c.doc_id AND x.i = c.i - 1 WHERE c.w = 'license' AND x.w IN ('mit', 'apache')
       UNION ALL SELECT c.doc_id, c.i - 2, 'gpl' FROM v c JOIN v x ON x.doc_id = c.doc_id AND x.i = c.i - 1 AND x.w = 'public'
         JOIN v y ON y.doc_id = c.doc_id AND y.i = c.i - 2 AND y.w = 'general' WHERE c.w = 'license'),
-f AS (SELECT w, count(DISTINCT doc_id) AS n FROM v WHERE w IN (SELECT w FROM post) GROUP BY w),
-k AS (SELECT doc_id, w FROM (SELECT DISTINCT v.doc_id, v.w, f.n FROM v JOIN f USING (w)) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n, w) <= {LOOKUPS}),
-c AS (SELECT v.doc_id, post.t, v.i - post.p AS off FROM k JOIN v USING (doc_id, w) JOIN post USING (w) GROUP BY ALL HAVING count(*) >= {AGREE}),
+c AS (SELECT v.doc_id, post.t, v.i - post.p AS off FROM v JOIN post USING (w) GROUP BY ALL HAVING count(*) >= {AGREE}),
 g AS (SELECT c.doc_id, any_value(tw.label) AS label, count(v.w) / any_value(tw.n)::DOUBLE AS score
       FROM c JOIN tw USING (t) LEFT JOIN v ON v.doc_id = c.doc_id AND v.i = c.off + tw.p AND v.w = tw.w
       GROUP BY c.doc_id, c.t, c.off HAVING bool_and(NOT tw.iskey OR v.w IS NOT NULL) AND count(v.w) / any_value(tw.n)::DOUBLE >= {COVER}),
