@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marram.llm import bpe, leaks, quality, repeats, similar
-from marram.llm.common import materialise
+from marram.llm.common import discard, materialise
 
 STAGES = [
     ("quality_rules", quality.filter_stage),
@@ -24,7 +24,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The ids of every document that the stages keep.
+
+    A stage's table is deleted once the next one is written; a document goes by doc_id and
+    text, so ids may be null or repeated, and empty tables give no rows.
+    """
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if written is not None:
+            discard(written)
+        written = docs
     return docs

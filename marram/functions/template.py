@@ -272,10 +272,16 @@ def render(df: DataFrame, source: str, directories: bool = True) -> DataFrame:
     return raw.withColumn("problem", problem).withColumn("rendered", F.when(F.col("_problem").isNotNull(), "").when(F.col("problem").isNull(), safe("_raw")).otherwise(F.col("_raw"))).drop("_raw", "_problem")
 
 
+def colliding(rendered: DataFrame, id_: str = "id", path: str = "rendered", batch: str = "in_batch") -> DataFrame:
+    """(path_key, id) of the rows whose path another row claims too, one of the batch at least."""
+    keyed = rendered.filter(F.col(path).isNotNull()).select(id_, batch, folded_path_column(F.col(path)).alias("path_key"))
+    many = keyed.groupBy("path_key").agg(F.min(id_).alias("_low"), F.max(id_).alias("_high"), F.bool_or(batch).alias("_any")).filter("_any and _low < _high")
+    return keyed.join(many.select("path_key"), "path_key", "left_semi").select("path_key", id_).distinct()
+
+
 def collisions(rendered: DataFrame, id_: str = "id", path: str = "rendered", batch: str = "in_batch") -> DataFrame:
     """(path_key, ids): paths that several rows claim, one of the batch at least."""
-    keyed = rendered.filter(F.col(path).isNotNull()).select(id_, batch, folded_path_column(F.col(path)).alias("path_key"))
-    return keyed.groupBy("path_key").agg(F.array_sort(F.collect_set(id_)).alias("ids"), F.bool_or(batch).alias("any_batch")).filter("any_batch and size(ids) > 1").drop("any_batch")
+    return colliding(rendered, id_, path, batch).groupBy("path_key").agg(F.array_sort(F.collect_list(id_)).alias("ids"))
 
 
 def choose_template(overrides: list[tuple[Column, str]], singleton: Column, singleton_name: str, album_name: str, forced: str | None = None) -> Column:
@@ -306,6 +312,6 @@ def rename_preview(tracks: DataFrame, library: DataFrame, source: str, root: str
 
     new = shown.withColumn("rendered", F.when(F.col("problem").isNull(), fit("rendered", ext)))
     rest = library.join(tracks.select("id"), "id", "left_anti").select("id", relative.alias("rendered"), F.lit(False).alias("in_batch"))
-    clash = collisions(new.filter("problem is null").select("id", "rendered", F.lit(True).alias("in_batch")).unionByName(rest))
-    hit = clash.select(F.explode("ids").alias("id")).distinct().withColumn("collides", F.lit(True))
+    clash = colliding(new.filter("problem is null").select("id", "rendered", F.lit(True).alias("in_batch")).unionByName(rest))
+    hit = clash.select("id").distinct().withColumn("collides", F.lit(True))
     return new.select("id", "current", "rendered", "problem").join(hit, "id", "left").withColumn("collides", F.coalesce("collides", F.lit(False)))

@@ -205,7 +205,7 @@ Q.add("r4_carry_decisions", lambda s, d: V.carry_decisions(table(s, d, "events")
 Q.add("r5_undo_expired", lambda s, d: V.undo_expired(table(s, d, "orders").selectExpr("o_orderkey AS run_id", "CASE o_orderstatus WHEN 'F' THEN 'applied' ELSE 'open' END AS state"), table(s, d, "lineitem").selectExpr("l_orderkey AS run_id", "l_partkey AS track_id", "CASE WHEN l_returnflag = 'A' THEN 'applied' ELSE 'failed' END AS state"), table(s, d, "lineitem").filter("l_quantity > 10").selectExpr("l_orderkey AS run_id", "l_partkey AS track_id")), "SELECT o_orderkey AS run_id FROM orders o WHERE o_orderstatus = 'F' AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_returnflag = 'A' AND NOT EXISTS (SELECT 1 FROM lineitem j WHERE j.l_orderkey = l.l_orderkey AND j.l_partkey = l.l_partkey AND j.l_quantity > 10))")
 Q.add("r6_retryable", lambda s, d: V.retryable(_distinct_attempts(s, d), "item_key"), "WITH a AS (SELECT l_orderkey, l_linenumber, max(CASE l_returnflag WHEN 'R' THEN 'transient_failure' WHEN 'A' THEN 'failed' ELSE 'applied' END) AS outcome FROM lineitem GROUP BY 1, 2) SELECT l_orderkey AS item_key FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) = 1) WHERE outcome = 'transient_failure'")
 Q.add("r7_newest_active", lambda s, d: V.newest_active(table(s, d, "customer").selectExpr("c_custkey AS review_id", "c_custkey % 2 = 0 AS applied", "array(c_custkey, c_custkey * 3, c_custkey * 7 + 100000) AS job_ids"), jobs(s, d)), f"WITH {JOBS}, l AS (SELECT c_custkey AS review_id, c_custkey % 2 = 0 AS applied, unnest([c_custkey, c_custkey * 3, c_custkey * 7 + 100000]) AS job_id, generate_subscripts([1, 2, 3], 1) AS pos FROM customer) SELECT review_id, arg_max(l.job_id, pos) AS job_id FROM l JOIN jobs ON jobs.id = l.job_id WHERE applied OR state IN ('queued', 'running') GROUP BY 1")
-Q.add("r8_overlapping", lambda s, d: V.overlapping(table(s, d, "lineitem").filter("l_quantity > 45").groupBy(F.col("l_orderkey").alias("review_id")).agg(F.collect_list("l_partkey").alias("track_ids"), F.lit(True).alias("open"))), "WITH t AS (SELECT DISTINCT l_orderkey AS review_id, l_partkey AS track_id FROM lineitem WHERE l_quantity > 45) SELECT track_id, count(*) AS reviews, min(review_id) AS first_review, max(review_id) AS last_review FROM t GROUP BY 1 HAVING count(*) > 1")
+Q.add("r8_overlapping", lambda s, d: V.overlapping(table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("review_id")).agg(F.collect_list("l_partkey").alias("track_ids"), F.lit(True).alias("open"))), "WITH t AS (SELECT DISTINCT l_orderkey AS review_id, l_partkey AS track_id FROM lineitem) SELECT track_id, count(*) AS reviews, min(review_id) AS first_review, max(review_id) AS last_review FROM t GROUP BY 1 HAVING count(*) > 1")
 Q.add("r10_provider_status", lambda s, d: V.provider_status(_requests(s, d), "host"), "WITH e AS (SELECT event_type AS host, event_id AS id, ts AS moment, CASE event_id % 5 WHEN 0 THEN 429 WHEN 1 THEN 401 WHEN 2 THEN 500 WHEN 3 THEN 404 ELSE 200 END AS status, CAST(event_id // 3000 AS BIGINT) AS generation FROM events), s AS (SELECT *, CASE WHEN status = 429 THEN 'rate_limited' WHEN status < 400 OR status = 404 THEN 'operational' WHEN status = 401 THEN 'invalid_credentials' ELSE 'unavailable' END AS state FROM e QUALIFY generation = max(generation) OVER (PARTITION BY host)) SELECT host, arg_max(state, epoch_us(moment) * 1000000::HUGEINT + id) AS state, max(moment) FILTER (state = 'operational') AS last_success, max(moment) FILTER (state <> 'operational') AS last_error FROM s GROUP BY 1")
 Q.add("r11_request_counts", lambda s, d: V.request_counts(_requests(s, d), "host"), "SELECT event_type AS host, CASE WHEN event_id % 5 = 4 THEN 'success' ELSE 'failure' END AS outcome, count(*) AS n FROM events GROUP BY 1, 2")
 Q.add("r9_cover_candidates", lambda s, d: _covers(s, d), f"WITH {TRACKS}, {GROUPS} SELECT id FROM groups g WHERE (mb_release_id IS NOT NULL AND EXISTS (SELECT 1 FROM tracks t WHERE t.group_id = g.id AND NOT is_missing AND NOT has_art)) OR EXISTS (SELECT 1 FROM tracks t WHERE t.group_id = g.id AND NOT is_missing AND t.mb_release_id IS NOT NULL)")

@@ -46,4 +46,4 @@ _RENDERED = "CASE WHEN album_artist = ' ' THEN ' /' ELSE coalesce(replace(album_
 Q.add("p19_render", lambda s, d: P.render(tracks(s, d), _PATH).select("id", "rendered", "problem"), T + f"SELECT id, CASE WHEN album_artist = ' ' THEN {_RENDERED} ELSE rtrim({_RENDERED}, '. ') END AS rendered, CASE WHEN album_artist = ' ' THEN 'an empty component' END AS problem FROM tracks")
 Q.add("p20_collisions", lambda s, d: P.collisions(tracks(s, d).select("id", F.lower("title").alias("rendered"), (F.col("id") % 10 == 0).alias("in_batch"))).select("path_key", F.array_join("ids", ",").alias("ids")), T + "SELECT lower(title) AS path_key, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM tracks WHERE title IS NOT NULL GROUP BY 1 HAVING count(*) > 1 AND bool_or(id % 10 = 0)")
 Q.add("p21_template_choice", lambda s, d: tracks(s, d).select("id", P.choose_template([(F.col("format") == "FLAC", "lossless"), (F.col("year") < 1990, "old")], F.col("album").isNull(), "singleton", "album").alias("template")), T + "SELECT id, CASE WHEN format = 'FLAC' THEN 'lossless' WHEN year < 1990 THEN 'old' WHEN album IS NULL THEN 'singleton' ELSE 'album' END AS template FROM tracks")
-Q.add("p22_rename_preview", lambda s, d: P.rename_preview(tracks(s, d).filter("id % 5 = 0 and title is not null"), tracks(s, d), "$title", "lib").select("id", "current", "rendered", "collides"), T + ", b AS (SELECT id, substr(path, 5) AS current, title || CASE WHEN id % 2 = 0 THEN '.mp3' ELSE '.flac' END AS rendered FROM tracks WHERE id % 5 = 0 AND title IS NOT NULL) SELECT *, count(*) OVER (PARTITION BY rendered) > 1 AS collides FROM b")
+Q.add("p22_rename_preview", lambda s, d: P.rename_preview(tracks(s, d).filter("title is not null"), tracks(s, d), "$title", "lib").select("id", "current", "rendered", "collides"), T + ", b AS (SELECT id, substr(path, 5) AS current, title || CASE WHEN id % 2 = 0 THEN '.mp3' ELSE '.flac' END AS rendered FROM tracks WHERE title IS NOT NULL) SELECT *, count(*) OVER (PARTITION BY rendered) > 1 AS collides FROM b")
