@@ -165,14 +165,16 @@ def has_synced_lines(lyrics: Column) -> Column:
     return (F.size(lines) > 0) & F.forall(lines, lambda x: x.rlike(r"^\s*\[[0-9]+:[0-9]{2}(\.[0-9]{1,3})?\]"))
 
 
-def valid_value(kind: Column, value: Column) -> Column:
-    """Does a text hold a value of the field's type?"""
-    return (
+def valid_value(kind: Column, value: Column, editable: Column | None = None) -> Column:
+    """Does a text hold a value of the field's type?  A field that may not be edited takes none."""
+    may = F.lit(True) if editable is None else editable
+    return may & (
         F.when(kind == "int", value.rlike(r"^[+-]?[0-9]+$"))
         .when(kind == "float", value.try_cast("double").isNotNull() & ~F.lower(value).isin("nan", "inf", "-inf", "infinity"))
         .when(kind == "bool", value.isin("true", "false"))
         .when(kind == "date", value.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date(value).isNotNull())
         .when(kind == "text", value.isNotNull())
+        .when(kind == "multi_text", F.coalesce(F.schema_of_variant(F.try_parse_json(value)).isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False)) & ~F.contains(value, F.lit("null")))
         .otherwise(False)
     )
 
@@ -186,3 +188,23 @@ def search_terms(fields: dict[str, str | Column]) -> Column:
     """``name:"value" AND ...`` of the fields that are not blank, quotes and backslashes escaped."""
     part = lambda n, c: F.when(F.trim(c) != "", F.concat(F.lit(n + ':"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"')))
     return F.concat_ws(" AND ", *[part(n, F.col(c) if isinstance(c, str) else c) for n, c in fields.items()])
+
+
+def plain_terms(*choices: tuple[str, ...]) -> Column:
+    """Of each choice of columns the first that is not empty, joined by spaces."""
+    return F.concat_ws(" ", *[F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in choice]) for choice in choices])
+
+
+def tagged_terms(fields: dict[str, tuple[str, ...]]) -> Column:
+    """``name:"value"`` of the first column of each choice that is not empty, joined by spaces; nothing is escaped."""
+    part = lambda n, choice: F.concat(F.lit(n + ':"'), F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in choice]), F.lit('"'))
+    return F.concat_ws(" ", *[part(n, choice) for n, choice in fields.items()])
+
+
+def track_searches(title: str = "title", artist: str = "artist", isrc: str = "isrc") -> Column:
+    """Searches for a single track, each looser than the one before; none without title and code."""
+    strict = tagged_terms({"isrc": (isrc,), "track": (title,), "artist": (artist,)})
+    both = F.when((F.col(title) != "") & (F.col(artist) != ""), tagged_terms({"track": (title,), "artist": (artist,)}))
+    only = F.when(F.col(title) != "", tagged_terms({"track": (title,)}))
+    asked = F.coalesce(F.col(title) != "", F.lit(False)) | F.coalesce(F.col(isrc) != "", F.lit(False))
+    return F.when(asked, F.array_distinct(F.array_compact(F.array(strict, both, only)))).otherwise(F.array().cast("array<string>"))

@@ -43,7 +43,15 @@ def evidence(matches: DataFrame, tracks: DataFrame) -> DataFrame:
     spread = F.col("longest") - F.col("shortest")
     found = groups.filter("members >= 2").withColumn("spread_ms", spread).withColumn("spread_percent", 100 * spread / F.nullif("mean_duration", F.lit(0.0)))
     found = found.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("mean_score") * duration_factor(F.col("spread_percent")))))
-    return found.withColumn("label", confidence_class(F.col("confidence")))
+    wide = lambda share: (F.col("confidence") < 0.5) | F.coalesce(F.col("spread_percent") > share, F.lit(False))
+    return found.withColumns({"label": confidence_class(F.col("confidence")), "is_uncertain": wide(10), "is_false_positive": wide(20)})
+
+
+def quality(matches: DataFrame, tracks: DataFrame) -> DataFrame:
+    """(mb_recording_id, track_id, format, duration_ms, size_bytes): the facts that members of groups are compared by."""
+    own = claimed(matches, tracks)
+    size = own.groupBy("mb_recording_id").agg(F.count("*").alias("n")).filter("n >= 2").select("mb_recording_id")
+    return own.join(size, "mb_recording_id", "left_semi").select("mb_recording_id", "track_id", "format", "duration_ms", "size_bytes")
 
 
 def reconcile(new: DataFrame, known: DataFrame, key: str = "mb_recording_id") -> DataFrame:

@@ -73,6 +73,19 @@ def overlapping(reviews: DataFrame) -> DataFrame:
     return touched.groupBy("track_id").agg(F.count("*").alias("reviews"), F.min("review_id").alias("first_review"), F.max("review_id").alias("last_review")).filter("reviews > 1")
 
 
+def touched(reviews: DataFrame) -> DataFrame:
+    """(review_id, track_id) of open reviews: their scope's tracks, their operations' targets and their snapshots' tracks."""
+    lists = [F.coalesce(F.col(c), F.array().cast("array<bigint>")) for c in ("scope_ids", "target_ids", "snapshot_ids")]
+    return reviews.filter("open").select("review_id", F.explode(F.array_distinct(F.flatten(F.array(*lists)))).alias("track_id")).filter("track_id is not null")
+
+
+def conflicts(reviews: DataFrame, review_id) -> DataFrame:
+    """(track_id, review_id) of a review's tracks that other open reviews touch too."""
+    every = touched(reviews)
+    own = every.filter(F.col("review_id") == review_id).select("track_id")
+    return every.filter(F.col("review_id") != review_id).join(own, "track_id", "left_semi").select("track_id", "review_id")
+
+
 def provider_status(events: DataFrame, key: str) -> DataFrame:
     """State of each provider after its latest event of the newest generation, with its last success and error."""
     code = F.col("status")
@@ -100,6 +113,23 @@ def edits(best: DataFrame, fields: list[str], id_: str) -> DataFrame:
     return best.select(id_, *[F.col(f).cast("string").alias(f) for f in fields]).unpivot(id_, fields, "field", "value").filter("value is not null")
 
 
+#: Fields that a release, and the track of it that a local one is aligned with, give.
+RELEASE_FIELDS = ("album", "album_artist", "year", "original_year", "label", "catalog_number", "barcode", "country", "media", "mb_release_id", "discogs_release_id")
+TRACK_FIELDS = {"title": "title", "disc_no": "disc_number", "track_no": "position", "isrc": "isrc", "mb_track_id": "mb_track_id", "mb_recording_id": "mb_recording_id"}
+
+
+def candidate_edits(chosen: DataFrame, id_: str = "id", track: str = "aligned") -> DataFrame:
+    """(id, field, value) of what a chosen candidate says of a track.
+
+    ``chosen`` has some of RELEASE_FIELDS and a struct of the aligned track, null where the
+    local track has no partner; what is null gives no edit.
+    """
+    inside = chosen.schema[track].dataType.names
+    cells = {f: F.col(f) for f in RELEASE_FIELDS if f in chosen.columns} | {f: F.col(track)[c] for f, c in TRACK_FIELDS.items() if c in inside}
+    given = F.array(*[F.struct(F.lit(f).alias("field"), c.cast("string").alias("value")) for f, c in cells.items()])
+    return chosen.select(id_, F.explode(given).alias("e")).select(id_, "e.*").filter("value is not null")
+
+
 #: Where each review state may go.
 TRANSITIONS = {
     "preparing": ("ready", "needs_attention", "failed", "discarded"),

@@ -151,6 +151,12 @@ Q.add("b10_b11_parsing", _t(lambda t: t.select("id", S.of_total(F.concat(F.col("
 Q.add("b12_candidate_url", lambda s, d: table(s, d, "pages").select("page_id", S.candidate_url(F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("https://www.discogs.com/release/"), (F.col("page_id") + 1).cast("string"), F.lit("-x"))).when(F.col("page_id") % 4 == 1, F.concat(F.lit("https://www.deezer.com/en/album/"), F.col("page_id").cast("string"))).otherwise(F.col("url"))).alias("u")).select("page_id", "u.provider", "u.type", "u.id"), "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'discogs' WHEN 1 THEN 'deezer' END AS provider, CASE page_id % 4 WHEN 0 THEN 'release' WHEN 1 THEN 'album' END AS type, CASE page_id % 4 WHEN 0 THEN CAST(page_id + 1 AS VARCHAR) WHEN 1 THEN CAST(page_id AS VARCHAR) END AS id FROM pages")
 Q.add("b19_digest", lambda s, d: table(s, d, "region").select("r_regionkey", S.digest("r_regionkey", "r_name").alias("digest")), "SELECT r_regionkey, sha256('{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}') AS digest FROM region")
 Q.add("b21_search_terms", _t(lambda t: t.select("id", S.search_terms({"artist": "artist", "release": "album"}).alias("terms"))), T + "SELECT id, concat_ws(' AND ', CASE WHEN trim(artist) <> '' THEN 'artist:\"' || artist || '\"' END, CASE WHEN trim(album) <> '' THEN 'release:\"' || album || '\"' END) AS terms FROM tracks")
+_VALUE = "CASE c_custkey % 6 WHEN 0 THEN '[\"a\",\"b\"]' WHEN 1 THEN '[]' WHEN 2 THEN '[1]' WHEN 3 THEN 'a' WHEN 4 THEN '{}' END"
+Q.add("r12_lists", lambda s, d: table(s, d, "customer").select("c_custkey", S.valid_value(F.lit("multi_text"), F.expr(_VALUE), F.col("c_custkey") % 7 > 0).alias("is_list")), "SELECT c_custkey, c_custkey % 6 < 2 AND c_custkey % 7 > 0 AS is_list FROM customer")
+_QUOTED = "CASE WHEN {c} <> '' THEN '{n}:\"' || {c} || '\"' END"
+_OWN = "coalesce(nullif(artist, ''), nullif(album_artist, ''))"
+Q.add("b21_plain_terms", _t(lambda t: t.select("id", S.plain_terms(("title", "album"), ("artist", "album_artist")).alias("plain"), S.tagged_terms({"album": ("album",), "artist": ("artist", "album_artist")}).alias("tagged"))), T + f"SELECT id, concat_ws(' ', coalesce(nullif(title, ''), nullif(album, '')), {_OWN}) AS plain, concat_ws(' ', {_QUOTED.format(c='album', n='album')}, 'artist:\"' || {_OWN} || '\"') AS tagged FROM tracks")
+Q.add("b21_track_searches", _t(lambda t: t.withColumn("isrc", F.when(F.col("id") % 2 == 0, F.lit("X1"))).select("id", F.array_join(S.track_searches(), " / ").alias("searches"))), T + f"SELECT id, CASE WHEN title IS NULL AND id % 2 = 1 THEN '' ELSE concat_ws(' / ', CASE WHEN id % 2 = 0 OR title IS NULL THEN concat_ws(' ', CASE WHEN id % 2 = 0 THEN 'isrc:\"X1\"' END, {_QUOTED.format(c='title', n='track')}, {_QUOTED.format(c='artist', n='artist')}) END, CASE WHEN title <> '' AND artist <> '' THEN 'track:\"' || title || '\" artist:\"' || artist || '\"' END, {_QUOTED.format(c='title', n='track')}) END AS searches FROM tracks")
 Q.add("r12_valid_values", lambda s, d: table(s, d, "customer").select("c_custkey", S.valid_value(F.lit("float"), F.col("c_acctbal").cast("string")).alias("is_float"), S.valid_value(F.lit("int"), F.col("c_name")).alias("name_is_int"), S.valid_value(F.lit("date"), F.when(F.col("c_custkey") % 2 == 0, "2024-02-30").otherwise("2024-02-29")).alias("is_date")), "SELECT c_custkey, true AS is_float, false AS name_is_int, c_custkey % 2 = 1 AS is_date FROM customer")
 Q.add("r13_synced_lyrics", lambda s, d: table(s, d, "conversations").select("conv_id", "turn", S.has_synced_lines(F.when(F.col("turn") == 0, F.regexp_replace("text", "(?m)^", "[0:01.5] ")).otherwise(F.col("text"))).alias("synced")), "SELECT conv_id, turn, turn = 0 AS synced FROM conversations")
 Q.add("st10_retry_delay", _t(lambda t: t.select("id", F.round(S.retry_delay(F.col("track_no"), F.lit(0.5), F.when(F.col("id") % 5 == 0, F.lit(40.0))), 6).alias("delay"))), T + "SELECT id, round(greatest(least(pow(2.0, track_no), 60.0) * 0.5, CASE WHEN id % 5 = 0 THEN 40.0 ELSE 0.0 END), 6)::DOUBLE AS delay FROM tracks")

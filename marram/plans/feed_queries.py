@@ -80,6 +80,8 @@ _FP = "concat('{\"status\":\"ok\",\"results\":[{\"score\":0.5,\"recordings\":[{\
 Q.add("s16_fingerprints", lambda s, d: P.fingerprint_matches(tracks(s, d).selectExpr("id AS track_id", _FP.replace("{s}", "STRING") + " AS payload")).select("track_id", "mb_recording_id", F.array_join("mb_release_ids", ",").alias("releases"), "score"), f"WITH {TRACKS} SELECT id AS track_id, 'a' || (id % 10) AS mb_recording_id, 'x' AS releases, 0.5::DOUBLE AS score FROM tracks UNION ALL SELECT id, 'b', '', 0.25 FROM tracks")
 Q.add("b18_loudness", lambda s, d: P.loudness(table(s, d, "nation").select(F.col("n_name").alias("Filename"), F.concat(F.lit("-"), F.col("n_nationkey").cast("string"), F.lit(".5 dB")).alias("Gain (dB)"), F.lit("0.9").alias("Peak")).unionByName(s.createDataFrame([("Album", "-7.25 dB", "1.0")], "Filename string, `Gain (dB)` string, Peak string"))), "SELECT n_name AS path, -(n_nationkey + 0.5)::DOUBLE AS gain, 0.9::DOUBLE AS peak, -7.25::DOUBLE AS album_gain, 1.0::DOUBLE AS album_peak FROM nation")
 Q.add("e20_outcomes", lambda s, d: table(s, d, "nation").select("n_nationkey", P.outcome(F.col("n_regionkey") > 0, F.col("n_nationkey") % 5 == 0, F.col("n_nationkey") % 3).alias("outcome")), "SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN 'not_configured' WHEN n_nationkey % 5 = 0 THEN 'failed' WHEN n_nationkey % 3 = 0 THEN 'zero_results' ELSE 'results' END AS outcome FROM nation")
+_ASKED = {"offline": "event_id % 11 = 0", "refresh": "event_id % 5 = 0", "fresh": "CASE WHEN event_id % 4 = 0 THEN event_id % 3 END", "stale": "CASE WHEN event_id % 2 = 0 THEN event_id % 3 END", "failed": "event_id % 7 < 3", "hits": "event_id % 6"}
+Q.add("e20_cached_outcomes", lambda s, d: table(s, d, "events").select("event_id", P.retrieval_outcome(*[F.expr(x) for x in _ASKED.values()]).alias("o")).select("event_id", "o.*"), "WITH a AS (SELECT event_id, " + ", ".join(f"{v} AS {k}" for k, v in _ASKED.items()) + " FROM events), b AS (SELECT event_id, failed, CASE WHEN offline THEN 'offline cache (stale)' WHEN NOT refresh AND fresh IS NOT NULL THEN 'cache' WHEN NOT failed THEN 'live' WHEN coalesce(stale, 0) > 0 THEN 'stale cache' ELSE 'search failed' END AS way, CASE way WHEN 'offline cache (stale)' THEN coalesce(stale, 0) WHEN 'cache' THEN fresh WHEN 'live' THEN hits WHEN 'stale cache' THEN stale ELSE 0 END AS n FROM a) SELECT event_id, CASE WHEN way = 'search failed' THEN 'failed' WHEN n > 0 THEN 'results' ELSE 'zero_results' END AS status, n::BIGINT AS results, CASE WHEN way = 'search failed' OR n > 0 AND way <> 'live' THEN way END AS detail FROM b")
 Q.add("e21_outcomes_in_order", lambda s, d: P.outcomes_in_order(table(s, d, "region").selectExpr("r_regionkey AS position", "r_name AS source"), table(s, d, "nation").join(table(s, d, "region").filter("r_regionkey < 3"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("source")).agg(F.lit("results").alias("outcome"), F.count("*").alias("hits"))), "SELECT r_regionkey AS position, r_name AS source, CASE WHEN r_regionkey < 3 AND n > 0 THEN 'results' ELSE 'not_configured' END AS outcome, CASE WHEN r_regionkey < 3 THEN coalesce(n, 0) ELSE 0 END::BIGINT AS hits FROM region LEFT JOIN (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1) ON n_regionkey = r_regionkey")
 
 # Feeds and queues
@@ -210,6 +212,23 @@ Q.add("r10_provider_status", lambda s, d: V.provider_status(_requests(s, d), "ho
 Q.add("r11_request_counts", lambda s, d: V.request_counts(_requests(s, d), "host"), "SELECT event_type AS host, CASE WHEN event_id % 5 = 4 THEN 'success' ELSE 'failure' END AS outcome, count(*) AS n FROM events GROUP BY 1, 2")
 Q.add("r9_cover_candidates", lambda s, d: _covers(s, d), f"WITH {TRACKS}, {GROUPS} SELECT id FROM groups g WHERE (mb_release_id IS NOT NULL AND EXISTS (SELECT 1 FROM tracks t WHERE t.group_id = g.id AND NOT is_missing AND NOT has_art)) OR EXISTS (SELECT 1 FROM tracks t WHERE t.group_id = g.id AND NOT is_missing AND t.mb_release_id IS NOT NULL)")
 Q.add("c_drift", lambda s, d: tracks(s, d).select("id", V.has_drifted(F.col("barcode"), F.when(F.col("id") % 2 == 0, F.col("barcode")).otherwise("x"), F.col("probe_error").isNull()).alias("drifted")), f"WITH {TRACKS} SELECT id, CASE WHEN probe_error IS NOT NULL THEN true WHEN barcode IS NULL THEN false ELSE id % 2 = 1 END AS drifted FROM tracks")
+_RELEASE = "concat('{\"id\":\"r\",\"title\":\"', coalesce(album, ''), '\",\"date\":\"', coalesce(CAST(year AS STRING), ''), '\",\"artist-credit\":[{\"name\":\"A\"}],\"media\":[{\"tracks\":[{\"title\":\"t1\"},{\"title\":\"t2\"}]}]}')"
+
+
+def _chosen(s, d):
+    made = P.candidates(tracks(s, d).selectExpr("id", "'musicbrainz' AS source", _RELEASE + " AS payload"), keep=("id",))
+    return made.withColumn("aligned", F.when(F.col("id") % 3 > 0, F.get("tracks", (F.col("id") % 3 - 1).cast("int"))))
+
+
+Q.add("e17_candidate_edits", lambda s, d: V.candidate_edits(_chosen(s, d)), f"WITH {TRACKS} SELECT id, 'album' AS field, coalesce(album, '') AS value FROM tracks UNION ALL SELECT id, 'album_artist', 'A' FROM tracks UNION ALL SELECT id, 'year', CAST(year AS VARCHAR) FROM tracks WHERE year IS NOT NULL UNION ALL SELECT id, 'title', 't' || (id % 3) FROM tracks WHERE id % 3 > 0 UNION ALL SELECT id, 'track_no', CAST(id % 3 AS VARCHAR) FROM tracks WHERE id % 3 > 0")
+
+
+def _open_reviews(s, d):
+    lines = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("review_id")).agg(F.collect_set(F.when(F.col("l_linenumber") == 1, F.col("l_partkey"))).alias("scope_ids"), F.collect_set(F.when(F.col("l_linenumber") == 2, F.col("l_partkey"))).alias("target_ids"), F.collect_set(F.when(F.col("l_linenumber") > 2, F.col("l_partkey"))).alias("snapshot_ids"))
+    return lines.withColumn("open", F.col("review_id") % 4 > 0)
+
+
+Q.add("r8_conflicts", lambda s, d: V.conflicts(_open_reviews(s, d), 7), "WITH t AS (SELECT DISTINCT l_orderkey AS review_id, l_partkey AS track_id FROM lineitem WHERE l_orderkey % 4 > 0) SELECT track_id, review_id FROM t WHERE review_id <> 7 AND track_id IN (SELECT track_id FROM t WHERE review_id = 7)")
 Q.add("e17_edits", lambda s, d: V.edits(tracks(s, d), ["title", "album", "year"], "id"), f"WITH {TRACKS} SELECT id, 'title' AS field, title AS value FROM tracks WHERE title IS NOT NULL UNION ALL SELECT id, 'album', album FROM tracks WHERE album IS NOT NULL UNION ALL SELECT id, 'year', CAST(year AS VARCHAR) FROM tracks WHERE year IS NOT NULL")
 _LOGGED = ["preparing", "ready", "needs_attention", "applying", "partially_applied", "failed", "applied", "discarded"]
 _ALLOWED = "('preparing', 'ready'), ('preparing', 'needs_attention'), ('preparing', 'failed'), ('preparing', 'discarded'), ('ready', 'needs_attention'), ('ready', 'applying'), ('ready', 'discarded'), ('needs_attention', 'ready'), ('needs_attention', 'applying'), ('needs_attention', 'discarded'), ('applying', 'applied'), ('applying', 'partially_applied'), ('applying', 'failed'), ('partially_applied', 'applying'), ('partially_applied', 'failed'), ('failed', 'applying'), ('discarded', 'ready'), ('discarded', 'needs_attention')"

@@ -28,7 +28,8 @@ def _evidence(s, d):
     return D.evidence(matches(s, d), tracks(s, d))
 
 
-Q.add("a13_a14_evidence", lambda s, d: _evidence(s, d).selectExpr(*_ECOLS.split(", ")[:2], "round(mean_score, 6) AS mean_score", "spread_ms", "round(spread_percent, 6) AS spread_percent", "formats", "round(confidence, 6) AS confidence", "label"), _EVIDENCE + f" SELECT {_ECOLS}, CASE WHEN confidence >= 0.75 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS label FROM k")
+Q.add("a13_a14_evidence", lambda s, d: _evidence(s, d).selectExpr(*_ECOLS.split(", ")[:2], "round(mean_score, 6) AS mean_score", "spread_ms", "round(spread_percent, 6) AS spread_percent", "formats", "round(confidence, 6) AS confidence", "label", "is_uncertain", "is_false_positive"), _EVIDENCE + f" SELECT {_ECOLS}, CASE WHEN confidence >= 0.75 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS label, confidence < 0.5 OR coalesce(spread_percent > 10, false) AS is_uncertain, confidence < 0.5 OR coalesce(spread_percent > 20, false) AS is_false_positive FROM k")
+Q.add("a13_quality", lambda s, d: D.quality(matches(s, d), tracks(s, d)), _CLAIMED.replace("t.format", "t.format, t.size_bytes") + " SELECT mb_recording_id, track_id, format, duration_ms, size_bytes FROM c QUALIFY count(*) OVER (PARTITION BY mb_recording_id) >= 2")
 Q.add("a12_e19_members", lambda s, d: D.members(matches(s, d), tracks(s, d)), _CLAIMED + " SELECT mb_recording_id, track_id FROM c QUALIFY count(*) OVER (PARTITION BY mb_recording_id) >= 2")
 
 

@@ -21,8 +21,8 @@ def _tracks(items: Column, ms) -> Column:
     return F.coalesce(made, F.array().cast("array<struct<position:int,title:string,duration_ms:bigint>>"))
 
 
-def candidates(answers: DataFrame, payload: str = "payload") -> DataFrame:
-    """(source, ref_id, album, album_artist, year, barcode, country, tracks) of every release answer.
+def candidates(answers: DataFrame, payload: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` columns and (source, ref_id, album, album_artist, year, barcode, country, tracks) of every release answer.
 
     ``answers`` has source (musicbrainz, discogs or deezer) and the JSON text; a text that is
     no such JSON gives a row of nulls.
@@ -42,7 +42,7 @@ def candidates(answers: DataFrame, payload: str = "payload") -> DataFrame:
         for source, cells in rows.items():
             c = c.when(F.col("source") == source, cells[k])
         out.append(c.alias(name))
-    return answers.select("source", *out)
+    return answers.select(*keep, "source", *out)
 
 
 def fingerprint_matches(answers: DataFrame, payload: str = "payload") -> DataFrame:
@@ -78,6 +78,19 @@ def outcome(configured: Column, failed: Column, hits: Column) -> Column:
     return F.when(~configured, "not_configured").when(failed, "failed").when(hits == 0, "zero_results").otherwise("results")
 
 
+def retrieval_outcome(offline: Column, refresh: Column, fresh: Column, stale: Column, failed: Column, hits: Column) -> Column:
+    """struct(status, results, detail) of a search that may be answered from the cache.
+
+    ``fresh`` and ``stale`` are the numbers of results cached within and beyond their time,
+    null where nothing is cached; ``hits`` what the provider answered.  Offline only the cache
+    answers.  A failure falls back on a stale answer with results, never on an empty one.
+    """
+    made = lambda status, n, detail: F.struct(F.lit(status).alias("status"), n.cast("long").alias("results"), F.lit(detail).cast("string").alias("detail"))
+    got = lambda n, detail: F.when(F.coalesce(n, F.lit(0)) > 0, made("results", n, detail)).otherwise(made("zero_results", F.lit(0), None))
+    live = F.when(~failed, got(hits, None)).when(stale > 0, made("results", stale, "stale cache")).otherwise(made("failed", F.lit(0), "search failed"))
+    return F.when(offline, got(stale, "offline cache (stale)")).when(~refresh & fresh.isNotNull(), got(fresh, "cache")).otherwise(live)
+
+
 def outcomes_in_order(requested: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Every requested provider, in order, with its outcome; absent ones are not configured."""
     return requested.join(outcomes, "source", "left").select("position", "source", F.coalesce("outcome", F.lit("not_configured")).alias("outcome"), F.coalesce("hits", F.lit(0).cast("long")).alias("hits")).orderBy("position")
