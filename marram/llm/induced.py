@@ -10,7 +10,8 @@ for deeper orders do not matter here), and move to a temporary file when they ou
 ``memory``; the sweeps read them back a block at a time.
 
 The file lives only as long as the sort and only its own task reads it, so a lost executor
-costs a retry of the task and nothing else.
+costs a retry of the task and nothing else.  What is external is the queues: types, marks,
+names and the text itself stay in memory, about 34 bytes a byte of the shard.
 """
 
 from __future__ import annotations

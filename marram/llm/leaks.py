@@ -239,7 +239,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> D
     Only pairs at the threshold have a row.  Null, empty and wordless texts and items match
     nothing; a null item_id is left out, a null doc_id is answered as such.  Rows that repeat
     a doc_id or an item_id are one document or item: its best window counts (of equal ones,
-    that with the smallest first word).
+    that with the smallest first word).  Long texts are read whole; an empty table of documents
+    or items gives no rows; other columns are not read.
     """
     best = F.max(F.struct("similarity", (-F.col("first_word")).alias("back"), "n_words")).alias("b")
     found = _windows(docs, benchmark, text).groupBy("doc_id", "item_id").agg(best)

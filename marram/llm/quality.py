@@ -193,7 +193,8 @@ def verdicts(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_i
 
     Nulls: a null text counts as empty (and so fails the base rules), a null language is a
     stratum of its own, a null doc_id has no label.  Repeated rows are judged alike.
-    Without labels nothing is certified and only the base rules reject.
+    Without labels nothing is certified and only the base rules reject; no documents give no
+    rows.  A text of any length is counted whole; names of other columns do not matter.
     """
     langs = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
     wanted = tuple(dict.fromkeys((*keep, "doc_id")))

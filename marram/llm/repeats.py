@@ -386,7 +386,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", with_bytes: bool = False
 
     Null and empty texts have no bytes.  A row without a doc_id is neither smaller nor larger
     than another: nothing is removed from it or because of it.  Rows that share a doc_id are
-    one document: none of them is removed on account of another, each is answered.
+    one document: none of them is removed on account of another, each is answered.  A text of
+    any length is cut by its own runs; an empty table gives no rows; other columns of ``docs``
+    are not read.
     """
     total = int(docs.agg(F.sum(F.length(F.col(text).cast("string")))).first()[0] or 0)
     buckets, homes = max(4, -(-total // BUCKET_CHARS)), max(16, -(-total // HOME_CHARS))

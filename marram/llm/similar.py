@@ -312,7 +312,9 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     ``class_id`` is the smallest doc_id of the class; ``n_links`` counts the different sets at
     a similarity of 0.8 or more; ``n_copies`` the rows with the same set.  A text without
     words (null, empty, punctuation) links to nothing and is a copy only of equal texts.
-    Rows with a null doc_id take part; a class of such rows only has a null class_id.
+    Rows with a null doc_id take part; a class of such rows only has a null class_id.  Rows
+    that repeat a doc_id are answered each; a text of any length counts whole; an empty table
+    gives no rows; other columns of ``docs`` are not read.
     """
     return _classes(docs, text)[0].select("doc_id", "class_id", "n_links", "n_copies")
 

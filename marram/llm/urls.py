@@ -51,7 +51,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple[str,
     broadcasts it only if it is under the session's limit, and else shuffles both sides.
     Distinct (host, path) pairs are judged once and joined back, so a URL that holds a third
     of all rows is judged once; null, empty and malformed URLs have no expressions and are
-    allowed.
+    allowed.  Ties between rules: see above; repeated rows are answered each, no pages give no
+    rows, no rules allow every page.  Columns of ``pages`` beside ``keep`` are not read.
     """
     host, path = split_url(F.col(url))
     rows = pages.select(*keep, host.alias("host"), path.alias("path"))
