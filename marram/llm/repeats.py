@@ -42,7 +42,7 @@ from . import anchors, induced
 from .common import chunks, materialise, mix
 
 #: Characters of text whose runs make a bucket.
-BUCKET_CHARS = 12_000_000
+BUCKET_CHARS = 8_000_000
 #: Characters of text of the documents that share a home.
 HOME_CHARS = 8_000_000
 #: Characters hashed at once in a task, and those whose runs are held before they are sent.
@@ -107,6 +107,7 @@ def send_runs(keyed: DataFrame, buckets: int) -> DataFrame:
 
     def rows(held: list) -> pd.DataFrame:
         low, span, owner, number, doc, tag, home = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         bucket = (low % np.uint64(buckets)).astype(np.int64)
         known = _known_before(low, span, doc[owner])
         order, done = np.flatnonzero(~known), np.flatnonzero(known)
@@ -142,7 +143,7 @@ def send_runs(keyed: DataFrame, buckets: int) -> DataFrame:
                     docs, size = docs + last - first, size + len(raw)
                 if size >= SEND_CHARS:
                     yield rows(held)
-                    held, size, docs = [], 0, 0
+                    size = docs = 0
         if held:
             yield rows(held)
 
