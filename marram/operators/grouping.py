@@ -74,9 +74,12 @@ def fingerprint_groups(votes: DataFrame, least: int = 3, share: float = 0.5) ->
         state = written(seen, "vote-round")
         settled = state.filter("ready")
         fails = ((F.col("free") < threshold) & (F.col("free") < F.col("votes") * share)) | (F.col("free") < 2)
-        won = written(open_.join(settled.filter(~fails).select("release_id"), "release_id", "left_semi").select("release_id", "track_id"), "vote-claims")
-        claims = won if claims is None else claims.unionByName(won)
-        open_ = written(open_.join(settled.select("release_id"), "release_id", "left_anti").join(won.select("track_id"), "track_id", "left_anti"), "vote-open")
+        won = open_.join(settled.filter(~fails).select("release_id"), "release_id", "left_semi")
+        rest = open_.join(settled.select("release_id"), "release_id", "left_anti").join(won.select("track_id"), "track_id", "left_anti")
+        both = written(won.withColumn("won", F.lit(True)).unionByName(rest.withColumn("won", F.lit(False))), "vote-claims")
+        own = both.filter("won").select("release_id", "track_id")
+        claims = own if claims is None else claims.unionByName(own)
+        open_ = both.filter("not won").drop("won")
         if open_.isEmpty():
             return claims
 
@@ -104,25 +107,38 @@ def tag_clusters(tracks: DataFrame, order: str, block: Column | None = None) ->
     near = dealt.groupBy("block", "i", "j").applyInPandas(lambda pdf: _near_keys(pdf, node), flat)
     pick = lambda side: F.struct(*[F.col(f"{side}_{c}").alias(c) for c in node]).alias(side)
     near = written(near.select("block", pick("late"), pick("early"), "distance"), "tag-near")
-    joined = None
-    open_ = near.select("block", "late", "early")
-    while not open_.isEmpty():
-        waiting = open_.select("block", F.col("late").alias("early")).distinct()
-        more = written(open_.join(waiting, ["block", "early"], "left_anti").select("block", "late").distinct(), "tag-joined")
-        joined = more if joined is None else joined.unionByName(more)
-        gone = more.withColumnRenamed("late", "early")
-        open_ = written(open_.join(more, ["block", "late"], "left_anti").join(gone, ["block", "early"], "left_anti").select("block", "late", "early"), "tag-open")
-    keys = distinct.select("block", F.struct(*node).alias("late"))
-    if joined is None:
-        joined = keys.limit(0)
-    leads = keys.join(joined, ["block", "late"], "left_anti").select("block", "late", F.struct(F.col("late").alias("early"), F.lit(0.0).alias("distance")).alias("to"))
-    follows = near.join(joined.withColumnRenamed("late", "early"), ["block", "early"], "left_anti").groupBy("block", "late").agg(F.min(F.struct("early", "distance")).alias("to"))
+    joined = _followers(near.select("block", F.col("late.id").alias("late"), F.col("early.id").alias("early")))
+    keys = distinct.select("block", F.struct(*node).alias("late"), F.col("id").alias("late_id"))
+    leads = keys.join(joined, ["block", "late_id"], "left_anti").select("block", "late", F.struct(F.col("late").alias("early"), F.lit(0.0).alias("distance")).alias("to"))
+    free = near.withColumn("late_id", F.col("early.id")).join(joined, ["block", "late_id"], "left_anti")
+    follows = free.groupBy("block", "late").agg(F.min(F.struct("early", "distance")).alias("to"))
     found = leads.unionByName(follows).select("block", "late.artist_key", "late.album_key", F.col("to.early.id").alias("leader_id"), F.col("to.distance").alias("distance"))
     spread = keyed.select("block", "artist", "album", "artist_key", "album_key").join(found, ["block", "artist_key", "album_key"]).select("block", "artist", "album", "leader_id", "distance")
     same = (names["block"] == spread["block"]) & names["artist"].eqNullSafe(spread["artist"]) & names["album"].eqNullSafe(spread["album"])
     return names.join(spread, same).select(names["id"], "leader_id", "distance")
 
 
+def _followers(edges: DataFrame) -> DataFrame:
+    """(block, late_id) of the nodes that do not lead, from edges (block, late, early) of near ones.
+
+    A node whose edges all lead to followers leads; one with an edge to a leader follows.  A
+    round decides all nodes next to a decided leader and writes one table: those that follow,
+    and the edges between nodes that are still open.
+    """
+    open_ = edges
+    followers = None
+    while True:
+        waiting = open_.select("block", F.col("late").alias("early")).distinct()
+        more = open_.join(waiting, ["block", "early"], "left_anti").select("block", "late").distinct()
+        rest = open_.join(more, ["block", "late"], "left_anti").join(more.withColumnRenamed("late", "early"), ["block", "early"], "left_anti")
+        state = written(rest.select("block", "late", "early").unionByName(more.withColumn("early", F.lit(None).cast(dict(edges.dtypes)["early"]))), "tag-round")
+        own = state.filter("early is null").select("block", F.col("late").alias("late_id"))
+        followers = own if followers is None else followers.unionByName(own)
+        open_ = state.filter("early is not null")
+        if open_.isEmpty():
+            return followers
+
+
 def _near_keys(pdf: pd.DataFrame, node: tuple[str, ...]) -> pd.DataFrame:
     """Near keys of two parts, the later one first; letters in common bound a distance from below."""
     pdf = pdf.sort_values(list(node), kind="stable").reset_index(drop=True)
