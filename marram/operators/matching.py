@@ -6,6 +6,8 @@ time; distances, weights, duplicates, ranking and decisions are columns and wind
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -41,32 +43,44 @@ def pair_distance(a: dict, b: dict, weights: dict[str, float] = TRACK_WEIGHTS) -
     return total / weight
 
 
-def assign(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in an assignment of least total cost (square), by shortest augmenting paths."""
-    n = len(cost)
-    row_price, col_price = np.zeros(n), np.zeros(n)
-    owner, column = np.full(n, -1), np.full(n, -1)
+def assign(cost) -> np.ndarray:
+    """Column of each row in an assignment of least total cost (square), by shortest augmenting paths.
+
+    Lists of numbers: most releases have so few tracks that array operations cost more.
+    """
+    rows = [list(map(float, r)) for r in cost]
+    n = len(rows)
+    cheapest = [min(range(n), key=r.__getitem__) for r in rows]
+    if len(set(cheapest)) == n:
+        return np.array(cheapest, int)
+    row_price, col_price = [0.0] * n, [0.0] * n
+    owner, column = [-1] * n, [-1] * n
     for start in range(n):
-        reach, via = np.full(n, np.inf), np.full(n, -1)
-        done = np.zeros(n, bool)
+        reach, via, done, tree = [math.inf] * n, [-1] * n, [False] * n, []
         row, base = start, 0.0
         while True:
-            through = base + cost[row] - row_price[row] - col_price
-            closer = ~done & (through < reach)
-            reach[closer], via[closer] = through[closer], row
-            last = int(np.argmin(np.where(done, np.inf, reach)))
-            base, done[last] = reach[last], True
+            costs, own, best, last = rows[row], row_price[row], math.inf, -1
+            for j in range(n):
+                if not done[j]:
+                    through = base + costs[j] - own - col_price[j]
+                    if through < reach[j]:
+                        reach[j], via[j] = through, row
+                    if reach[j] < best:
+                        best, last = reach[j], j
+            base, done[last] = best, True
+            tree.append(last)
             if owner[last] < 0:
                 break
             row = owner[last]
         row_price[start] += base
-        used = np.flatnonzero(done & (owner >= 0))
-        row_price[owner[used]] += base - reach[used]
-        col_price[done] += reach[done] - base
+        for j in tree:
+            if owner[j] >= 0:
+                row_price[owner[j]] += base - reach[j]
+            col_price[j] += reach[j] - base
         while last >= 0:
             row = via[last]
             owner[last], column[row], last = row, last, column[row]
-    return column
+    return np.array(column, int)
 
 
 def align(local: list[dict], candidate: list[dict], distance=pair_distance) -> list[tuple[int | None, int | None, float]]:
@@ -75,11 +89,11 @@ def align(local: list[dict], candidate: list[dict], distance=pair_distance) -> l
     size = max(n, m)
     if not size:
         return []
-    cost = np.full((size, size), MISSING_COST)
+    cost = [[MISSING_COST] * size for _ in range(size)]
     for i in range(n):
         for j in range(m):
-            cost[i, j] = min(distance(local[i], candidate[j]) + ORDER_WEIGHT * abs(i - j) / size, 1.0)
-    return [(i if i < n else None, int(j) if j < m else None, float(cost[i, j])) for i, j in enumerate(assign(cost))]
+            cost[i][j] = min(distance(local[i], candidate[j]) + ORDER_WEIGHT * abs(i - j) / size, 1.0)
+    return [(i if i < n else None, j if j < m else None, cost[i][j]) for i, j in enumerate(assign(cost).tolist())]
 
 
 def aligned(pairs: DataFrame, local: str = "local_tracks", candidate: str = "tracks") -> DataFrame:
