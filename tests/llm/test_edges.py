@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import time
@@ -297,7 +298,10 @@ def test_mixture_matches_plain_expectation_maximisation():
 
 
 def test_language_of_held_out_documents(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("out", language.held_out())
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no sample table")
+    docs = spark.read.parquet(path).withColumn("out", language.held_out())
     model = language.train(docs.filter("not out"))
     rows = language.identify(docs.filter("out and lang is not null and length(text) > 100"), model, keep=("lang",)).collect()
     assert len(rows) > 100 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.95 * len(rows)
