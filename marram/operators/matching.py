@@ -89,6 +89,8 @@ def align(local: list[dict], candidate: list[dict], distance=pair_distance) -> l
     size = max(n, m)
     if not size:
         return []
+    if distance is pair_distance and local == candidate:
+        return [(i, i, 0.0) for i in range(n)]
     cost = [[MISSING_COST] * size for _ in range(size)]
     for i in range(n):
         for j in range(m):
