@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html, language, leaks, licences, quality, repeats, similar, urls, warc
+from . import bpe, centroids, html, language, leaks, licences, quality, repeats, similar, urls, variants, warc
 
 QUERIES = {
     "op1_license_scans": licences.op1_license_scans,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_language_id": language.op8_language_id,
     "op9_ngram_jaccard": similar.op9_ngram_jaccard,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "op11_centroid_clustering": centroids.op11_centroid_clustering,
+    "op12_spelling_variants": variants.op12_spelling_variants,
 }
 
 #: The method of each operator goes beyond what SQL states, but for those listed here.
-ORACLES: dict[str, str] = {"op1_license_scans": licences.OP1_SQL, "op2_warc": warc.OP2_SQL, "op5_url_filters": urls.OP5_SQL}
+ORACLES: dict[str, str] = {"op1_license_scans": licences.OP1_SQL, "op2_warc": warc.OP2_SQL, "op5_url_filters": urls.OP5_SQL, "op11_centroid_clustering": centroids.OP11_SQL}
