@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, centroids, html, language, leaks, licences, quality, repeats, similar, urls, variants, warc
+from . import bpe, centroids, html, language, leaks, licences, quality, repeats, similar, urls, variants, warc, windows
 
 QUERIES = {
     "op1_license_scans": licences.op1_license_scans,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_byte_bpe": bpe.op10_byte_bpe,
     "op11_centroid_clustering": centroids.op11_centroid_clustering,
     "op12_spelling_variants": variants.op12_spelling_variants,
+    "op13_substring_dedup": windows.op13_substring_dedup,
 }
 
 #: The method of each operator goes beyond what SQL states, but for those listed here.
