@@ -66,8 +66,8 @@ def runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", typo: int
 
 
 def frequent(words: DataFrame, least: int = LEAST) -> DataFrame:
-    """(word, n) of the words with ``least`` occurrences or more."""
-    return words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    """(word, n) of the words of LETTERS letters or more with ``least`` occurrences or more."""
+    return words.filter(F.length("word") >= LETTERS).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
@@ -119,6 +119,7 @@ def roots(found: DataFrame) -> DataFrame:
 def group_variants(words: DataFrame, least: int = LEAST, ratio: int = RATIO) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of every word with ``least`` occurrences in ``words`` (word).
 
+    Null words and those under LETTERS letters are left out.
     Words are compared by code points.  Ties of frequency go to the smaller word in code-point
     order; words without near ones have n_near 0, no form and themselves as root.  An empty
     table gives no rows, and repeated texts count as often as they stand there.
