@@ -5,7 +5,7 @@
 2. A window has as many words as an item; a document that is shorter is one window.  At a
    similarity of 4/5 or more, at least 4/9 of the shingles of item and window together are
    shared, so windows that hold fewer shingles of any item are passed over; that is exact.
-3. Every other window gets a SimHash of its bag.  The fingerprints of the items of that size
+3. Every other window gets a SimHash of its bag, occurrences numbered.  The fingerprints of the items of that size
    are indexed by BLOCKS blocks of BLOCK_BITS bits, each with all values within
    RADIUS // BLOCKS flipped bits, so every item within RADIUS bits of a window agrees in one
    block; the full distance confirms it.
@@ -13,8 +13,8 @@
    largest multiplicities) of at least THRESHOLD.
 
 RADIUS lies over four standard deviations above the distance expected at the threshold.
-Items are taken in blocks of ITEM_BLOCK, each passed over all documents, so what is sent to
-the executors is bounded however large the benchmark.
+Items are taken in blocks of about ITEM_BLOCK items and ITEM_CHARS characters, each passed over
+all documents, so what is sent to the executors is bounded however large the benchmark.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ WORDS = 5
 PART, WHOLE = 4, 5
 BLOCKS, BLOCK_BITS = 8, 8
 RADIUS = 23
-#: Items in a block: at 60 words an item, 10 MB of shingles and 25 MB of index.
-ITEM_BLOCK = 20_000
+#: Items and characters in a block: some 10 MB of shingles and 25 MB of index.
+ITEM_BLOCK, ITEM_CHARS = 20_000, 8_000_000
 
 #: Windows that are looked up at once.
 QUERIES = 256
@@ -56,11 +56,31 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum(_POPCOUNT[((x >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.int64)].astype(np.int64) for k in range(4))
 
 
+def _numbered(grams: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Bits, as +1 and -1, of the k-th occurrences (from 1) of shingles: a bag becomes a set."""
+    h = np.where(k == 1, grams, mix(grams ^ mix(k.astype(np.uint64))))
+    return ((h[:, None] >> _BITS) & np.uint64(1)).astype(np.int32) * 2 - 1
+
+
 def simhash(grams: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """Fingerprints of the runs of ``n`` shingles at ``starts``: the sign of each bit's sum."""
-    bits = ((grams[:, None] >> _BITS) & np.uint64(1)).astype(np.int32) * 2 - 1
-    total = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(bits, 0, dtype=np.int32)))
-    return ((total[starts + n] - total[starts] > 0).astype(np.uint64) << _BITS).sum(1, dtype=np.uint64)
+    """Fingerprints of the windows of ``n`` shingles at ``starts``: the sign of each bit's sum.
+
+    A shingle's k-th occurrence in a window counts as (shingle, k), so two bags are as near as
+    their weighted Jaccard similarity says, however often a shingle repeats.  A window that
+    moves on loses its first shingle's last occurrence and gains one of the shingle after it.
+    """
+    m, at = len(grams), np.arange(len(grams))
+    _, kind = np.unique(grams, return_inverse=True)
+    key = kind.astype(np.int64) * (m + n + 1) + at
+    order = np.sort(key)
+    rank = np.searchsorted(order, key)
+    # Occurrences in the window that begins, and in the window that ends, with each shingle.
+    ahead = np.searchsorted(order, key + n) - rank
+    behind = rank + 1 - np.searchsorted(order, kind.astype(np.int64) * (m + n + 1) + np.maximum(at - n + 1, 0))
+    begin = _numbered(grams[:n], behind[:n]).sum(0, dtype=np.int32)
+    step = _numbered(grams[n:], behind[n:]) - _numbered(grams[: m - n], ahead[: m - n])
+    total = np.concatenate((begin[None], begin + np.cumsum(step, 0, dtype=np.int32)))
+    return ((total[starts] > 0).astype(np.uint64) << _BITS).sum(1, dtype=np.uint64)
 
 
 def _flips() -> np.ndarray:
@@ -252,7 +272,8 @@ def _windows(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataF
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_tag(F.col(text)).alias("tag"), F.col(text).cast("string").alias("_text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
-    blocks = -(-items.count() // ITEM_BLOCK) or 1
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size["n"] // ITEM_BLOCK), -(-size["chars"] // ITEM_CHARS))
     schema = "doc_id long, tag long, item_id long, first_word long, n_words long, similarity double"
     names = [c.split()[0] for c in schema.split(", ")]
     found = []
