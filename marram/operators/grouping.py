@@ -9,17 +9,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marram.functions.text import key_distance, match_key_column
+from marram.functions.text import match_key_column
 from marram.sources.shared import written
 
 from .catalog import in_scope
+from .components import component_of
 from .feeds import mixed_groups
+from .names import near_pairs
 from .reports import blank
 
 #: Largest mean distance of artist and album at which a track joins a cluster.
 NEAR = 0.25
 #: Distinct (artist, album) keys in one part of a comparison of :func:`tag_clusters`.
 PAIR_KEYS = 2_000
+#: Votes of a component that one task settles.
+COMPONENT_VOTES = 1_000_000
 
 
 def group_key(basis: Column, value: Column) -> Column:
@@ -59,22 +63,54 @@ def fingerprint_groups(votes: DataFrame, least: int = 3, share: float = 0.5) ->
     """(release_id, track_id): releases claim their voters, the most voted first (ties by id).
 
     A release passes unless it has fewer than two free voters, or both fewer than the global
-    threshold and fewer than half of its own.  Releases that share no voter with an
-    undecided release of higher rank are settled together in a round, which gives what one
-    after the other would give; a round is two joins and its state is written out.
+    threshold and fewer than half of its own.  Claims meet only within a connected component of
+    releases that share voters, so each component is settled in a task of its own, one release
+    after the other: a chain takes as many rounds as its component takes to find, which is the
+    logarithm of its length.  Components of over COMPONENT_VOTES votes are settled by rounds of
+    joins instead (:func:`_claim_by_rounds`), with the same result.
     """
+    votes = written(votes.select("release_id", "track_id").filter("release_id is not null and track_id is not null").distinct(), "votes")
     n = votes.select("track_id").distinct().count()
     threshold = max(min(max(least, int(n * share)), n) if n else least, least)
-    ranked = written(votes.join(vote_counts(votes), "release_id").withColumn("rank", F.struct(-F.col("votes"), "release_id")), "votes")
-    claims = None
-    open_ = ranked
+    parts = component_of(votes, "release_id", "track_id")
+    labelled = written(votes.join(parts, "release_id"), "vote-parts")
+    large = labelled.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > COMPONENT_VOTES).select("component")
+    kinds = dict(votes.dtypes)
+    small = labelled.join(large, "component", "left_anti").groupBy("component").applyInPandas(lambda pdf: _claim_in_order(pdf, threshold, share), f"release_id {kinds['release_id']}, track_id {kinds['track_id']}")
+    if large.isEmpty():
+        return small
+    return small.unionByName(_claim_by_rounds(labelled.join(large, "component", "left_semi").select("release_id", "track_id"), threshold, share))
+
+
+def _fails(free, votes, threshold: int, share: float):
+    return ((free < threshold) & (free < votes * share)) | (free < 2)
+
+
+def _claim_in_order(pdf: pd.DataFrame, threshold: int, share: float) -> pd.DataFrame:
+    """The claims of one component: its releases in order of votes."""
+    voters = pdf.groupby("release_id")["track_id"].apply(list).to_dict()
+    taken, claims = set(), []
+    for release in sorted(voters, key=lambda r: (-len(voters[r]), r)):
+        free = [t for t in voters[release] if t not in taken]
+        if not _fails(len(free), len(voters[release]), threshold, share):
+            taken.update(free)
+            claims += [(release, t) for t in free]
+    return pd.DataFrame(claims, columns=["release_id", "track_id"])
+
+
+def _claim_by_rounds(votes: DataFrame, threshold: int, share: float) -> DataFrame:
+    """The claims of any component: a release is settled once all with higher rank that share a voter are.
+
+    A round is two joins and its state is written out.
+    """
+    ranked = written(votes.join(vote_counts(votes), "release_id").withColumn("rank", F.struct(-F.col("votes"), "release_id")), "vote-ranks")
+    claims, open_ = None, ranked
     while True:
         first = open_.groupBy("track_id").agg(F.min("rank").alias("top"))
         seen = open_.join(first, "track_id").groupBy("release_id", "rank", "votes").agg(F.count("*").alias("free"), F.bool_and(F.col("rank") == F.col("top")).alias("ready"))
         state = written(seen, "vote-round")
         settled = state.filter("ready")
-        fails = ((F.col("free") < threshold) & (F.col("free") < F.col("votes") * share)) | (F.col("free") < 2)
-        won = open_.join(settled.filter(~fails).select("release_id"), "release_id", "left_semi")
+        won = open_.join(settled.filter(~_fails(F.col("free"), F.col("votes"), threshold, share)).select("release_id"), "release_id", "left_semi")
         rest = open_.join(settled.select("release_id"), "release_id", "left_anti").join(won.select("track_id"), "track_id", "left_anti")
         both = written(won.withColumn("won", F.lit(True)).unionByName(rest.withColumn("won", F.lit(False))), "vote-claims")
         own = both.filter("won").select("release_id", "track_id")
@@ -89,8 +125,9 @@ def tag_clusters(tracks: DataFrame, order: str, block: Column | None = None) ->
 
     Tracks of equal match keys always share a cluster, so distinct key pairs are compared, in
     the order of their first tracks, and only within a ``block`` if there is one.  Near pairs
-    are found between parts of about PAIR_KEYS keys, a pair of parts a task; a key joins if an
-    earlier leader is near it, which is settled in rounds of joins until none is open.
+    are looked up in an index of letter pairs (:mod:`.names`), a pair of parts of about
+    PAIR_KEYS keys a task; a key joins if an earlier leader is near it, which is settled in
+    rounds of joins until none is open.
     """
     artist, album = F.coalesce(F.nullif("album_artist", F.lit("")), "artist"), F.col("album")
     names = tracks.select("id", F.col(order).alias("at"), artist.alias("artist"), album.alias("album"), (block if block is not None else F.lit(0)).alias("block"))
@@ -140,28 +177,14 @@ def _followers(edges: DataFrame) -> DataFrame:
 
 
 def _near_keys(pdf: pd.DataFrame, node: tuple[str, ...]) -> pd.DataFrame:
-    """Near keys of two parts, the later one first; letters in common bound a distance from below."""
+    """Near keys of two parts, the later one first."""
     pdf = pdf.sort_values(list(node), kind="stable").reset_index(drop=True)
-    size, bags = {}, {}
-    for c in ("artist_key", "album_key"):
-        size[c] = pdf[c].str.len().to_numpy(np.int64)
-        bags[c] = np.zeros((len(pdf), 64), np.int16)
-        for i, t in enumerate(pdf[c]):
-            for ch in t:
-                bags[c][i, ord(ch) % 64] += 1
-    part, across = pdf["part"].to_numpy(), pdf["i"].iloc[0] != pdf["j"].iloc[0]
-    artists, albums, late, early, found = list(pdf["artist_key"]), list(pdf["album_key"]), [], [], []
-    for k in range(1, len(pdf)):
-        least = np.zeros(k)
-        for c in size:
-            both = np.maximum(size[c][:k] + size[c][k], 1)
-            least += np.where(size[c][:k] + size[c][k] > 0, 1 - 2 * np.minimum(bags[c][:k], bags[c][k]).sum(1) / both, 0)
-        for e in np.flatnonzero((least / 2 <= NEAR + 1e-9) & ((part[:k] != part[k]) | (not across))):
-            d = (key_distance(artists[k], artists[e]) + key_distance(albums[k], albums[e])) / 2
-            if d <= NEAR:
-                late.append(k)
-                early.append(e)
-                found.append(d)
+    i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+    left, right = (np.flatnonzero(pdf["part"].to_numpy() == p) for p in (i, j))
+    keys = list(zip(pdf["artist_key"], pdf["album_key"], strict=True))
+    x, y, found, _ = near_pairs([keys[k] for k in left], [keys[k] for k in right], NEAR, bool(i == j))
+    x, y = left[x], right[y]
+    late, early = np.maximum(x, y), np.minimum(x, y)
     sides = [pdf[list(node)].iloc[at].reset_index(drop=True).add_prefix(name) for name, at in (("late_", late), ("early_", early))]
     return pd.concat([pd.Series([pdf["block"].iloc[0]] * len(late), name="block", dtype=pdf["block"].dtype), *sides, pd.Series(found, name="distance", dtype=float)], axis=1)
 

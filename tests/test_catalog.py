@@ -188,3 +188,78 @@ def test_long_chains_of_fingerprint_claims_settle(spark):
     votes = [(4 * k + i, f"r{k:03d}") for k in range(52) for i in range(5)]
     got = G.fingerprint_groups(spark.createDataFrame(votes, "track_id long, release_id string"))
     assert got.count() == 5 + 51 * 4
+
+
+def _greedy_claims(votes, least=3, share=0.5):
+    voters = {}
+    for t, r in votes:
+        voters.setdefault(r, set()).add(t)
+    n = len({t for t, _ in votes})
+    threshold = max(min(max(least, int(n * share)), n), least)
+    taken, out = set(), set()
+    for r in sorted(voters, key=lambda r: (-len(voters[r]), r)):
+        free = voters[r] - taken
+        if len(free) >= 2 and not (len(free) < threshold and len(free) < len(voters[r]) * share):
+            taken |= free
+            out |= {(r, t) for t in free}
+    return out
+
+
+@pytest.mark.parametrize("most", [10**6, 8])
+def test_claims_by_component_and_by_rounds_are_greedy(spark, monkeypatch, most):
+    r = np.random.default_rng(5)
+    votes = sorted({(int(r.integers(0, 60)) + 100 * int(c), f"r{c}-{int(r.integers(0, 9))}") for c in range(4) for _ in range(45)})
+    monkeypatch.setattr(G, "COMPONENT_VOTES", most)
+    got = {(x["release_id"], x["track_id"]) for x in G.fingerprint_groups(spark.createDataFrame(votes, "track_id long, release_id string")).collect()}
+    assert got == _greedy_claims(votes) and got
+
+
+def test_a_chain_of_a_thousand_releases_takes_few_rounds(spark, monkeypatch):
+    from marram.operators import components
+
+    rounds = []
+    hang = components._hang
+    monkeypatch.setattr(components, "_hang", lambda edges: rounds.append(1) or hang(edges))
+    votes = [(4 * k + i, f"r{(k * 619) % 1000:04d}") for k in range(1000) for i in range(5)]
+    got = {(x["release_id"], x["track_id"]) for x in G.fingerprint_groups(spark.createDataFrame(votes, "track_id long, release_id string")).collect()}
+    assert got == _greedy_claims(votes) and len(rounds) <= 20
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@pytest.mark.parametrize(("letters", "size"), [("ab c", 8), ("abcdef ", 7), (LETTERS + " ", 14), ("".join(chr(200 + i) for i in range(100)) + " ", 8)])
+def test_near_names_equal_comparing_all(letters, size):
+    import random
+
+    from marram.functions.text import key_distance
+    from marram.operators.names import near_pairs
+
+    r = random.Random(size)
+    name = lambda: " ".join("".join(r.choice(letters) for _ in range(r.randint(0, size))).split())
+    blur = lambda t: " ".join("".join(c if r.random() > 0.12 else r.choice(letters) for c in t).split())
+    turn = lambda t: " ".join(r.sample(t.split(), len(t.split())))
+    keys = [("x" * 80, "y" * 70), ("x" * 79, "y" * 70 + "z"), ("x" * 64, "y"), ("x" * 63, "y"), ("", ""), ("", "abcd"), ("", "bacd")]
+    for _ in range(130):
+        a, b = r.choice(keys)
+        keys.append((r.choice((a, blur(a), turn(a))), r.choice((b, blur(b), turn(b)))) if r.random() < 0.6 else (name(), name()))
+    keys = list(dict.fromkeys(keys))
+    mean = lambda i, j: (key_distance(keys[i][0], keys[j][0]) + key_distance(keys[i][1], keys[j][1])) / 2
+    want = {(i, j): mean(i, j) for i in range(len(keys)) for j in range(i) if mean(i, j) <= G.NEAR}
+    i, j, d, _ = near_pairs(keys, keys, G.NEAR, True)
+    assert dict(zip(zip(i.tolist(), j.tolist(), strict=True), d.tolist(), strict=True)) == want and len(want) > 15
+    half = len(keys) // 2
+    i, j, d, _ = near_pairs(keys[:half], keys[half:], G.NEAR, False)
+    assert {(b + half, a): c for a, b, c in zip(i.tolist(), j.tolist(), d.tolist(), strict=True)} == {k: v for k, v in want.items() if k[0] >= half > k[1]}
+
+
+def test_few_pairs_of_unlike_names_are_measured():
+    import random
+
+    from marram.operators.names import near_pairs
+
+    r = random.Random(1)
+    name = lambda: " ".join("".join(r.choice(LETTERS) for _ in range(r.randint(3, 9))) for _ in range(r.randint(1, 3)))
+    for n in (500, 2000):
+        keys = [(name(), name()) for _ in range(n)]
+        assert near_pairs(keys, keys, G.NEAR, True)[3] < n // 10
