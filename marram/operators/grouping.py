@@ -6,11 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marram.functions.text import match_key_column
 from marram.sources.shared import written
+from marram.sources.versioned import BUCKETS, KeyedTable
 
 from .catalog import in_scope
 from .components import component_of
@@ -192,7 +193,12 @@ def _near_keys(pdf: pd.DataFrame, node: tuple[str, ...]) -> pd.DataFrame:
 def cluster_confidence(clusters: DataFrame) -> DataFrame:
     """(leader_id, members, confidence) of clusters of two or more: the tighter, the surer."""
     mean = F.avg(F.when(F.col("id") != F.col("leader_id"), F.col("distance")))
-    return clusters.groupBy("leader_id").agg(F.count("*").alias("members"), mean.alias("m")).filter("members > 1").select("leader_id", "members", F.least(F.greatest(F.round(0.85 - F.col("m") * 0.35 / NEAR, 3), F.lit(0.5)), F.lit(0.85)).alias("confidence"))
+    return clusters.groupBy("leader_id").agg(F.count("*").alias("members"), mean.alias("m")).filter("members > 1").select("leader_id", "members", tightness(F.col("m")).alias("confidence"))
+
+
+def tightness(mean: Column) -> Column:
+    """Confidence of a cluster with this mean distance to its leader."""
+    return F.least(F.greatest(F.round(0.85 - mean * 0.35 / NEAR, 3), F.lit(0.5)), F.lit(0.85))
 
 
 def is_singleton() -> Column:
@@ -207,30 +213,119 @@ def partial_albums(groups: DataFrame, key: str = "key") -> DataFrame:
     return out.withColumn("kind", F.when(F.col("agreed") > F.col("members"), "partial_album").otherwise("album"))
 
 
-def cascade(tracks: DataFrame, matches: DataFrame, pinned: DataFrame, block: Column | None = None, root: str | None = None) -> DataFrame:
-    """(id, key, basis): every live track that is not in a pinned group, by the first stage that takes it.
-
-    With ``root`` only tracks in its scope count, and none of a group that also has tracks
-    outside.  Tags are clustered in the order of ids (under 2**60), tracks that had an id of a
-    release to themselves coming last.  A cluster's key is made of its leader's match keys, so
-    it stays the same from run to run; clusters whose leaders have equal keys are one group.
-    """
+def _considered(tracks: DataFrame, root: str | None) -> DataFrame:
+    """Live tracks; with ``root`` those in its scope, but for groups that also have tracks outside."""
     live = tracks.filter("not is_missing")
-    if root is not None:
-        live = live.join(mixed_groups(live.filter("group_id is not null"), "group_id", in_scope(F.col("path"), root)), "group_id", "left_anti").filter(in_scope(F.col("path"), root))
-    free = written(live.join(pinned, "group_id", "left_anti"), "grouping-free")
+    if root is None:
+        return live
+    inside = in_scope(F.col("path"), root)
+    return live.join(mixed_groups(live.filter("group_id is not null"), "group_id", inside), "group_id", "left_anti").filter(inside)
+
+
+def _placed(tracks: DataFrame, matches: DataFrame, pinned: DataFrame, block: Column | None = None, root: str | None = None) -> DataFrame:
+    """(id, key, basis, release_id, leader_id, distance): where :func:`cascade` puts each track, and by what."""
+    free = written(_considered(tracks, root).join(pinned, "group_id", "left_anti"), "grouping-free")
+    none = {"release_id": F.lit(None).cast("string"), "leader_id": F.lit(None).cast("long"), "distance": F.lit(None).cast("double")}
+    every = ["id", "key", "basis", *none]
     inside, rest = by_ids(free)
     rest = written(rest, "grouping-rest")
     votes = release_votes(matches.join(rest.select(F.col("id").alias("track_id")), "track_id", "left_semi"))
-    voted = fingerprint_groups(votes).select(group_key(F.lit("fingerprint"), F.col("release_id")).alias("key"), F.lit("fingerprint").alias("basis"), F.col("track_id").alias("id"))
+    voted = written(fingerprint_groups(votes), "grouping-voted").select(group_key(F.lit("fingerprint"), F.col("release_id")).alias("key"), F.lit("fingerprint").alias("basis"), F.col("track_id").alias("id"), F.col("release_id").cast("string").alias("release_id"))
     left = written(rest.join(voted.select("id"), "id", "left_anti").withColumn("_single", is_singleton()).withColumn("_at", F.col("id") + F.when(F.col("had_key"), F.lit(1 << 60)).otherwise(0)), "grouping-left")
     clusters = written(tag_clusters(left.filter("not _single"), "_at", block), "grouping-clusters")
     large = clusters.groupBy("leader_id").agg(F.count("*").alias("n")).filter("n > 1").select("leader_id")
     artist = F.coalesce(F.nullif("album_artist", F.lit("")), "artist")
     names = left.join(large, left["id"] == large["leader_id"], "left_semi").select(F.col("id").alias("leader_id"), group_key(F.lit("tags"), F.concat_ws("|", match_key_column(artist), match_key_column("album"))).alias("key"))
-    tagged = clusters.join(names, "leader_id").select("key", F.lit("tags").alias("basis"), "id")
-    alone = left.join(tagged.select("id"), "id", "left_anti").select(group_key(F.lit("singleton"), F.col("id").cast("string")).alias("key"), F.lit("singleton").alias("basis"), "id")
-    return inside.unionByName(voted).unionByName(tagged).unionByName(alone).select("id", "key", "basis")
+    tagged = clusters.join(names, "leader_id").select("key", F.lit("tags").alias("basis"), "id", "leader_id", "distance")
+    alone = left.join(tagged.select("id"), "id", "left_anti").select(group_key(F.lit("singleton"), F.concat(F.lit("track:"), F.col("id").cast("string"))).alias("key"), F.lit("singleton").alias("basis"), "id")
+    parts = [df.withColumns({n: c for n, c in none.items() if n not in df.columns}).select(*every) for df in (inside, voted, tagged, alone)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def cascade(tracks: DataFrame, matches: DataFrame, pinned: DataFrame, block: Column | None = None, root: str | None = None) -> DataFrame:
+    """(id, key, basis): every live track that is not in a pinned group, by the first stage that takes it.
+
+    With ``root`` only tracks in its scope count, and none of a group that also has tracks
+    outside.  Tags are clustered in the order of ids (under 2**60), tracks that had an id of a
+    release to themselves coming last.  A cluster's key is made of its leader's match keys, so
+    it stays the same from run to run; clusters whose leaders have equal keys are one group.
+    """
+    return _placed(tracks, matches, pinned, block, root).select("id", "key", "basis")
+
+
+#: Columns of a stored group that a proposal fills.
+GROUP = "key string, kind string, basis string, confidence double, track_count long, expected_track_count int, album string, album_artist string, year int, label string, catalog_number string, barcode string, mb_release_id string"
+_COPIED = ("album", "album_artist", "year", "label", "catalog_number", "barcode", "mb_release_id")
+
+
+def proposals(placed: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Groups with the columns GROUP, from the rows of :func:`_placed`.
+
+    Fields are those of the first member (of tags, the leader); a group by fingerprints has the
+    release that its voters name, a singleton has album, album artist (else artist) and year
+    only.  Ids are certain, fingerprints 0.9 and tags the surer, the tighter they are.  Where
+    all members agree on more tracks than there are, the group is a partial album that expects
+    as many.
+    """
+    own = tracks.select("id", "artist", "track_total", *_COPIED)
+    rows = placed.join(own, "id")
+    order = F.when(F.col("id") == F.col("leader_id"), F.lit(-(1 << 62))).otherwise(F.col("id"))
+    total = F.when(F.col("track_total") != 0, F.col("track_total"))
+    mean = F.avg(F.when(F.col("id") != F.col("leader_id"), F.col("distance")))
+    made = rows.groupBy("key", "basis").agg(
+        F.count("*").alias("track_count"),
+        F.when(F.countDistinct(total) == 1, F.max(total)).alias("agreed"),
+        mean.alias("mean"),
+        F.max("release_id").alias("release_id"),
+        F.min_by(F.struct("artist", *_COPIED), order).alias("first"),
+    )
+    single, voted = F.col("basis") == "singleton", F.col("basis") == "fingerprint"
+    partial = ~single & (F.col("track_count") > 1) & F.coalesce(F.col("agreed") > F.col("track_count"), F.lit(False))
+    fields = {c: F.when(~single, F.col(f"first.{c}")) for c in _COPIED}
+    fields |= {"album": F.col("first.album"), "year": F.col("first.year"), "album_artist": F.when(single, F.coalesce(F.nullif(F.col("first.album_artist"), F.lit("")), F.col("first.artist"))).otherwise(F.col("first.album_artist"))}
+    fields["mb_release_id"] = F.when(voted, F.col("release_id")).otherwise(fields["mb_release_id"])
+    return made.select(
+        "key",
+        F.when(single, "singleton").when(partial, "partial_album").otherwise("album").alias("kind"),
+        "basis",
+        F.when(voted, F.lit(0.9)).when(F.col("basis") == "tags", tightness(F.col("mean"))).otherwise(F.lit(1.0)).alias("confidence"),
+        "track_count",
+        F.when(partial, F.col("agreed")).cast("int").alias("expected_track_count"),
+        *[c.alias(n) for n, c in fields.items()],
+    )
+
+
+class GroupStore:
+    """Groups and the group of every track, as two keyed tables under ``root``."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.groups = KeyedTable(spark, f"{root}/groups", GROUP + ", is_pinned boolean", ["key"], buckets)
+        self.members = KeyedTable(spark, f"{root}/members", "id long, key string", ["id"], buckets)
+
+    def pin(self, keys: DataFrame, pinned: bool = True) -> None:
+        """Pin the groups of ``keys`` (key), or free them."""
+        self.groups.merge(self.groups.read().join(keys, "key", "left_semi").withColumn("is_pinned", F.lit(pinned)))
+
+    def run(self, tracks: DataFrame, matches: DataFrame, block: Column | None = None, root: str | None = None) -> dict[str, int]:
+        """Group ``tracks`` anew and store what changes.
+
+        Tracks of pinned groups are left where they are, and so are pinned groups that a
+        proposal would fill.  Gives the groups created and updated (proposed and there before),
+        the tracks that get another group, and the live tracks in scope that were skipped
+        because their group is pinned.  The same tracks again change no stored row.
+        """
+        stored = self.groups.read()
+        known = self.members.read().withColumnRenamed("key", "group_id")
+        own = tracks.drop("group_id").join(known, "id", "left")
+        pinned = stored.filter("is_pinned").select(F.col("key").alias("group_id"))
+        placed = written(_placed(own, matches, pinned, block, root), "grouping-placed")
+        made = written(proposals(placed, own).join(stored.select("key", "is_pinned"), "key", "left"), "grouping-made")
+        open_ = made.filter("is_pinned is null or not is_pinned")
+        counts = made.agg(F.count_if(F.col("is_pinned").isNull()).alias("created"), F.count_if(~F.col("is_pinned")).alias("updated")).first()
+        skipped = _considered(own, root).join(pinned, "group_id", "left_semi").count()
+        self.groups.merge(open_.withColumn("is_pinned", F.lit(False)))
+        moved = self.members.merge(placed.join(open_.select("key"), "key", "left_semi").select("id", "key"))
+        return {"created": counts["created"], "updated": counts["updated"], "tracks_grouped": moved["created"] + moved["updated"], "tracks_skipped_pinned": skipped}
 
 
 def upsert_counts(proposed: DataFrame, stored: DataFrame) -> DataFrame:
