@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 
 def numeric_distance(a: Column, b: Column, scale: float) -> Column:
@@ -37,19 +38,19 @@ def signals(fields: dict[str, Column], weights: dict[str, float]) -> Column:
 def file_name_parts(name: Column) -> Column:
     """struct(artist, title, confidence) read from ``01 - Artist - Title.ext``."""
     base = F.regexp_extract(name, r"([^/]*)$", 1)
-    stem = F.trim(F.regexp_replace(F.regexp_replace(base, r"(?<=.)\.[^.]*$", ""), r"^\s*(?:\d{1,3}[ ._-]+)?", ""))
+    stem = stripped(F.regexp_replace(F.regexp_replace(base, r"(?<=.)\.[^.]*$", ""), r"^\s*(?:\d{1,3}[ ._-]+)?", ""))
     parts = F.split(stem, r"\s+-\s+", 2)
-    two = (F.size(parts) == 2) & (F.trim(parts[0]) != "") & (F.trim(F.get(parts, F.lit(1))) != "")
+    two = (F.size(parts) == 2) & (stripped(parts[0]) != "") & (stripped(F.get(parts, F.lit(1))) != "")
     return F.struct(
-        F.when(two, F.trim(parts[0])).alias("artist"),
-        F.when(two, F.trim(F.get(parts, F.lit(1)))).when(stem != "", stem).alias("title"),
+        F.when(two, stripped(parts[0])).alias("artist"),
+        F.when(two, stripped(F.get(parts, F.lit(1)))).when(stem != "", stem).alias("title"),
         F.when(two, 0.95).when(stem != "", 0.45).otherwise(0.0).alias("confidence"),
     )
 
 
 def release_id(c: Column) -> Column:
     """A lower-case UUID, or null."""
-    v = F.lower(F.trim(c))
+    v = F.lower(stripped(c))
     return F.when(v.rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), v)
 
 
@@ -70,12 +71,12 @@ def of_total(c: Column) -> Column:
 
 
 def lenient_int(c: Column) -> Column:
-    return F.trim(c).try_cast("int")
+    return stripped(c).try_cast("int")
 
 
 def lenient_float(c: Column) -> Column:
     """The number before a unit, as in ``-6.5 dB``."""
-    return F.regexp_extract(F.trim(c), r"^([+-]?[0-9]*\.?[0-9]+)", 1).try_cast("double")
+    return F.regexp_extract(stripped(c), r"^([+-]?[0-9]*\.?[0-9]+)", 1).try_cast("double")
 
 
 def year_of(c: Column) -> Column:
@@ -110,12 +111,21 @@ URL_FORMS = [
 ]
 
 
+#: White space of any script, separators included.
+WHITE = r"[\s\u001c-\u001f\u0085\p{Z}]"
+
+
+def stripped(c: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
+
+
 def identity(c: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    return F.lower(stripped(F.regexp_replace(c, f"{WHITE}+", " ")))
 
 
 #: Labels of audio extensions.
-FORMATS = {"mp3": "MP3", "flac": "FLAC", "m4a": "MP4", "mp4": "MP4", "ogg": "OGG", "opus": "OPUS", "aac": "AAC", "wav": "WAV"}
+FORMATS = {"mp3": "MP3", "flac": "FLAC", "ogg": "OGG", "opus": "Opus", "m4a": "MP4", "wav": "WAV", "aiff": "AIFF", "aif": "AIFF"}
 
 
 def extension(path: Column) -> Column:
@@ -154,14 +164,26 @@ def activity_state(kind: str, c: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in ACTIVITY[kind].items() for x in pair]), c), c)
 
 
-def digest(*columns: str) -> Column:
-    """An opaque key of a row's content; keys of maps are put in order."""
-    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+def _in_order(c: Column, kind: DataType) -> Column:
+    """A value whose maps, at any depth, have their entries in order of their keys."""
+    if isinstance(kind, MapType):
+        return F.map_from_entries(F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("key"), _in_order(e["value"], kind.valueType).alias("value"))), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
+    if isinstance(kind, ArrayType) and "map<" in kind.simpleString():
+        return F.transform(c, lambda x: _in_order(x, kind.elementType))
+    if isinstance(kind, StructType) and "map<" in kind.simpleString():
+        return F.when(c.isNotNull(), F.struct(*[_in_order(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return c
+
+
+def digest(df: DataFrame, *columns: str) -> Column:
+    """An opaque key of a row's content; the entries of maps count in order of their keys, at any depth."""
+    cells = [_in_order(F.col(c), df.schema[c].dataType).alias(c) for c in columns]
+    return F.sha2(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}), 256)
 
 
 def has_synced_lines(lyrics: Column) -> Column:
     """Does every line that is not blank begin with a time stamp, and is there one?"""
-    lines = F.filter(F.split(lyrics, "\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(lyrics, "\n"), lambda x: stripped(x) != "")
     return (F.size(lines) > 0) & F.forall(lines, lambda x: x.rlike(r"^\s*\[[0-9]+:[0-9]{2}(\.[0-9]{1,3})?\]"))
 
 
@@ -186,7 +208,7 @@ def retry_delay(attempt: Column, jitter: Column, retry_after: Column, base: floa
 
 def search_terms(fields: dict[str, str | Column]) -> Column:
     """``name:"value" AND ...`` of the fields that are not blank, quotes and backslashes escaped."""
-    part = lambda n, c: F.when(F.trim(c) != "", F.concat(F.lit(n + ':"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"')))
+    part = lambda n, c: F.when(stripped(c) != "", F.concat(F.lit(n + ':"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"')))
     return F.concat_ws(" AND ", *[part(n, F.col(c) if isinstance(c, str) else c) for n, c in fields.items()])
 
 

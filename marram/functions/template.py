@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .scalars import stripped
 from .text import folded_path_column, without_marks
 
 MAX_DEPTH = 100
@@ -175,7 +176,7 @@ class Template:
             return self._ifdef(args, at)
         if name == "if":
             # Problems inside a branch count only where the branch is taken.
-            cond = F.trim(self._join(args[0])) != ""
+            cond = stripped(self._join(args[0])) != ""
             return self._branch(cond, [args[1], args[2] if len(args) > 2 else []])
         return getattr(self, f"_{name}")(*[self._join(a) for a in args], *([args[1]] if name == "time" else []))
 
@@ -200,7 +201,7 @@ class Template:
         return self._branch(F.col(name).isNotNull(), [args[1], args[2] if len(args) > 2 else []])
 
     def _number(self, n: Column, function: str) -> Column:
-        value = F.when(F.trim(n).rlike(r"^[+-]?[0-9]{1,9}$"), F.trim(n).try_cast("int"))
+        value = F.when(stripped(n).rlike(r"^[+-]?[0-9]{1,9}$"), stripped(n).try_cast("int"))
         self.problems.append(F.when(value.isNull(), F.concat(F.lit(f"%{function}: "), n, F.lit(" is no number"))))
         return value
 
@@ -262,7 +263,7 @@ def render(df: DataFrame, source: str, directories: bool = True) -> DataFrame:
     problem = F.coalesce(
         "_problem",
         F.when(F.lit(not directories) & F.contains(F.col("_raw"), F.lit("/")), "a directory where none is allowed"),
-        F.when(F.exists(parts, lambda x: F.trim(x) == ""), "an empty component"),
+        F.when(F.exists(parts, lambda x: stripped(x) == ""), "an empty component"),
     )
 
     @F.pandas_udf("string")

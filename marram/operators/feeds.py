@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import phrase
-from .ordered import beyond_newest, first_per_key
+from .ordered import beyond_newest, first_per_key, neighbours_in_order
 
 #: Order of inbox states, those shown only if asked for, those still open.
 STATE_RANK = {"needs_attention": 0, "failed": 0, "preparing": 1, "ready": 2, "applying": 3, "partially_applied": 4, "applied": 5, "discarded": 6}
@@ -42,6 +42,11 @@ def activity(sources: dict[str, DataFrame], cursor: tuple | None = None, limit:
     return reduce(DataFrame.unionByName, [part(k, df) for k, df in sources.items()]).orderBy(*order).limit(size)
 
 
+#: The order of the inbox, and the states that still wait for a review.
+INBOX_ORDER = ["issue_rank", "state_rank", "id"]
+UNREVIEWED = ("ready", "needs_attention")
+
+
 def state_rank(c: Column) -> Column:
     return reduce(lambda acc, kv: acc.when(c == kv[0], kv[1]), STATE_RANK.items(), F.when(F.lit(False), 0)).otherwise(99)
 
@@ -54,8 +59,8 @@ def decode_inbox_cursor(text: str) -> tuple[int, int, int]:
     return tuple(int(p) for p in parts)
 
 
-def inbox(entries: DataFrame, states: list[str] | None = None, label: str = "", q: str = "", issue: str = "", source: str = "", session: str = "", cursor: tuple[int, int, int] | None = None, limit: int = 50) -> DataFrame:
-    """Entries with an issue first, then by state and id; finished states only if asked for.
+def selected(entries: DataFrame, states: list[str] | None = None, label: str = "", q: str = "", issue: str = "", source: str = "", session: str = "") -> DataFrame:
+    """The entries of an inbox with issue_rank and state_rank; finished states only if asked for.
 
     ``session`` is the number of an import session, or ``none`` for entries outside any; any
     other text is an error.  ``q`` is a phrase in one of INBOX_SEARCHED.
@@ -75,11 +80,35 @@ def inbox(entries: DataFrame, states: list[str] | None = None, label: str = "",
         rows = rows.filter(F.col("import_session_id") == int(session))
     if (found := phrase(q, INBOX_SEARCHED)) is not None:
         rows = rows.filter(found)
-    rows = rows.withColumn("issue_rank", F.when(F.col("issue_kind").isNotNull(), 0).otherwise(1)).withColumn("state_rank", state_rank(F.col("state")))
+    return rows.withColumn("issue_rank", F.when(F.col("issue_kind").isNotNull(), 0).otherwise(1)).withColumn("state_rank", state_rank(F.col("state")))
+
+
+def inbox(entries: DataFrame, cursor: tuple[int, int, int] | None = None, limit: int = 50, **filters) -> DataFrame:
+    """A page of the inbox of :func:`selected` entries: those with an issue first, then by state and id."""
+    rows = selected(entries, **filters)
     if cursor is not None:
         at = F.struct(*[F.lit(x).cast("bigint" if k == 2 else "int") for k, x in enumerate(cursor)])
         rows = rows.filter(F.struct("issue_rank", "state_rank", "id") > at)
-    return rows.orderBy("issue_rank", "state_rank", "id").limit(limit + 1)
+    return rows.orderBy(*INBOX_ORDER).limit(limit + 1)
+
+
+def inbox_neighbours(entries: DataFrame, **filters) -> DataFrame:
+    """(id, previous_id, next_id, next_open_id) of every entry of an inbox, in its order."""
+    return neighbours_in_order(selected(entries, **filters), INBOX_ORDER, "id", F.col("state").isin(*UNREVIEWED))
+
+
+def neighbours_of(entries: DataFrame, id_: int, **filters) -> tuple[int | None, int | None, int | None]:
+    """(previous, next, next open id) of one entry of an inbox; an id that is not in it is an error."""
+    rows = selected(entries, **filters).select(*INBOX_ORDER, "state")
+    own = rows.filter(F.col("id") == id_).first()
+    if own is None:
+        raise ValueError(f"review {id_} is not in the selected inbox")
+    kinds = dict(rows.dtypes)
+    here = F.struct(*[F.lit(own[c]).cast(kinds[c]).alias(c) for c in INBOX_ORDER])
+    at = F.struct(*INBOX_ORDER)
+    ahead = at > here
+    found = rows.agg(F.max(F.when(at < here, at)).alias("p"), F.min(F.when(ahead, at)).alias("n"), F.min(F.when(ahead & F.col("state").isin(*UNREVIEWED), at)).alias("o")).first()
+    return tuple(x["id"] if x else None for x in found)
 
 
 def active_bundle(bundles: DataFrame, logical_key) -> DataFrame:

@@ -199,7 +199,10 @@ def rank(scored: DataFrame, case: str, priority: tuple[str, ...] = ("musicbrainz
     place = F.array_position(F.array(*map(F.lit, priority)), F.col("source")) - 1
     rows = rows.withColumn("_best", best).withColumn("_in", F.col("adjusted") - F.col("_best") <= min_gap + EPSILON)
     order = F.when(F.col("_in"), F.least(F.lit(1.0), F.col("adjusted") + F.when(place > 0, place * PENALTY).otherwise(0.0))).otherwise(F.col("adjusted"))
-    year = F.when(F.col("adjusted") <= F.col("_best") + YEAR_BAND, F.col("year"))
+    released = F.col("year")
+    if "original_year" in rows.columns:
+        released = F.coalesce(F.nullif(F.col("original_year"), F.lit(0)), released)
+    year = F.when(F.col("adjusted") <= F.col("_best") + YEAR_BAND, released)
     keys = [F.desc("_in"), order.asc()] + ([F.coalesce(year, F.lit(9999)).asc()] if earliest else []) + [F.asc(position)]
     reason = F.when(~F.col("related"), "insufficient identity signals").when(F.col("adjusted") >= REJECT, "candidate is not sufficiently related")
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(case).orderBy(*keys))).withColumn("rejection", reason).drop("_best", "_in")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marram.sources.shared import written
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key; ``order`` must be total.  Spark cuts each task's rows before the shuffle."""
@@ -41,16 +43,37 @@ def numbered(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 
 def neighbours(df: DataFrame, key: str, order: list[Column], id_: str, reviewed: Column) -> DataFrame:
-    """Previous, next and next unreviewed id of every row in its key's order."""
-    w = Window.partitionBy(key).orderBy(*order)
-    ahead = w.rowsBetween(1, Window.unboundedFollowing)
-    return df.select(
-        key,
-        id_,
-        F.lag(id_).over(w).alias("previous_id"),
-        F.lead(id_).over(w).alias("next_id"),
-        F.first(F.when(~reviewed, F.col(id_)), ignorenulls=True).over(ahead).alias("next_open_id"),
-    )
+    """Previous, next and next unreviewed id of every row in its key's order.
+
+    The next open id is the last one seen when the order is run backwards, so a row costs the
+    same however long its key is.
+    """
+    numbered_ = df.withColumn("_open", F.when(~reviewed, F.col(id_))).withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    w = Window.partitionBy(key).orderBy(F.desc("_at"))
+    behind = w.rowsBetween(Window.unboundedPreceding, -1)
+    return numbered_.select(key, id_, F.lead(id_).over(w).alias("previous_id"), F.lag(id_).over(w).alias("next_id"), F.last("_open", ignorenulls=True).over(behind).alias("next_open_id"))
+
+
+def neighbours_in_order(df: DataFrame, order: list[str], id_: str, open_: Column, parts: int | None = None) -> DataFrame:
+    """(id, previous_id, next_id, next_open_id) of every row in one order over the whole table.
+
+    ``order`` must be total.  Rows are dealt to ``parts`` by ranges of the order; neighbours
+    are found inside a range, and what lies across its bounds comes from one row a range: its
+    first, last and first open id.  No range is larger for a frequent value of the order, since
+    the order is total.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select(*order, F.col(id_).alias("_id"), F.when(open_, F.col(id_)).alias("_open")).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    dealt = written(dealt, "neighbour-ranges")
+    w = Window.partitionBy("_part").orderBy(*[F.desc(c) for c in order])
+    inside = dealt.select("_part", "_id", F.lead("_id").over(w).alias("p"), F.lag("_id").over(w).alias("n"), F.last("_open", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("o"))
+    at = F.struct(*order)
+    ends = dealt.groupBy("_part").agg(F.min_by("_id", at).alias("first"), F.max_by("_id", at).alias("last"), F.min_by("_open", F.when(F.col("_open").isNotNull(), at)).alias("open"))
+    # A row a range: as many as partitions.
+    across = Window.orderBy(F.desc("_part"))
+    ends = ends.select("_part", F.lead("last").over(across).alias("before"), F.lag("first").over(across).alias("after"), F.last("open", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("after_open"))
+    joined = inside.join(F.broadcast(ends), "_part")
+    return joined.select(F.col("_id").alias(id_), F.coalesce("p", "before").alias("previous_id"), F.coalesce("n", "after").alias("next_id"), F.coalesce("o", "after_open").alias("next_open_id"))
 
 
 def rank_gap(df: DataFrame, key: str, value: str, id_: str) -> DataFrame:
@@ -63,12 +86,21 @@ def rank_gap(df: DataFrame, key: str, value: str, id_: str) -> DataFrame:
 def interleave(df: DataFrame, source: str, position: str, order: dict[str, int], same: list[str], limit: int) -> DataFrame:
     """Round-robin over sources: first rows of each source, then second ones; repeats dropped.
 
-    Sources follow ``order``; of rows that agree in ``same`` the one that comes first stays.
+    Sources follow ``order`` (others come first); of rows that agree in ``same`` the one that
+    comes first stays.  Only the first rows of each source are read into the merge: as many as
+    ``limit`` at first, and four times as many while repeats leave fewer than ``limit`` rows and
+    a source has more.
     """
     place = F.create_map(*[x for s, k in order.items() for x in (F.lit(s), F.lit(k))])
-    ranked = df.withColumn("turn", F.row_number().over(Window.partitionBy(source).orderBy(position))).withColumn("place", F.element_at(place, F.col(source)))
-    kept = first_per_key(ranked, same, [F.asc("turn"), F.asc("place")])
-    return kept.orderBy("turn", "place").limit(limit)
+    turn = F.row_number().over(Window.partitionBy(source).orderBy(position))
+    deep = limit
+    while True:
+        # A row number under a bound is a top-k of each task before the shuffle.
+        head = written(df.withColumn("turn", turn).filter(F.col("turn") <= deep).withColumn("place", F.element_at(place, F.col(source))), "interleave-heads")
+        kept = first_per_key(head, same, [F.asc("turn"), F.asc("place")])
+        if kept.count() >= limit or head.filter(F.col("turn") == deep).isEmpty():
+            return kept.orderBy("turn", "place").limit(limit)
+        deep *= 4
 
 
 def keep_first(df: DataFrame, keys: list[str], position: str) -> DataFrame:

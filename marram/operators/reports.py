@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marram.functions.scalars import stripped
+from marram.sources.shared import written
+
 
 def blank(c: Column, kind: str = "string") -> Column:
     """Null, a text of white space, an empty list; false and 0 are values."""
     if kind == "string":
-        return c.isNull() | (F.trim(c) == "")
+        return c.isNull() | (stripped(c) == "")
     if kind.startswith("array"):
         return c.isNull() | (F.size(c) == 0)
     return c.isNull()
@@ -58,10 +61,19 @@ def completeness(tracks: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def exact_duplicates(tracks: DataFrame) -> DataFrame:
-    """(artist_key, title_key, ids): rows that share trimmed lower-case artist and title."""
-    key = lambda c: F.lower(F.trim(F.col(c)))
-    full = tracks.filter(~blank(F.col("artist")) & ~blank(F.col("title")))
-    return full.groupBy(key("artist").alias("artist_key"), key("title").alias("title_key")).agg(F.array_sort(F.collect_list("id")).alias("ids")).filter(F.size("ids") > 1)
+    """(artist_key, title_key, ids): rows that share trimmed lower-case artist and title.
+
+    Where very many rows may share a key, take :func:`exact_duplicate_rows`.
+    """
+    return exact_duplicate_rows(tracks).groupBy("artist_key", "title_key").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+
+def exact_duplicate_rows(tracks: DataFrame) -> DataFrame:
+    """(artist_key, title_key, id) of the rows that share both keys with another: no key is gathered."""
+    key = lambda c: F.lower(stripped(F.col(c)))
+    full = tracks.filter(~blank(F.col("artist")) & ~blank(F.col("title"))).select(key("artist").alias("artist_key"), key("title").alias("title_key"), "id")
+    many = full.groupBy("artist_key", "title_key").agg(F.count("*").alias("_n")).filter("_n > 1").select("artist_key", "title_key")
+    return full.join(many, ["artist_key", "title_key"], "left_semi")
 
 
 def breakdown(tracks: DataFrame, column: str = "format") -> DataFrame:
@@ -73,17 +85,53 @@ def mean_of(tracks: DataFrame, column: str) -> DataFrame:
     return tracks.agg(F.round(F.avg(column), 6).alias("mean"))
 
 
+#: Cells into which a key's values are split in a round, and the rows that are ranked as they are.
+CELLS, RANKED = 64, 100_000
+
+
 def nearest_rank(df: DataFrame, key: str, value: str, share: float = 0.95) -> DataFrame:
-    """Per key the value at position min(int(n * share), n - 1) of the sorted values.
+    """(key, p): the value at position min(int(n * share), n - 1) of each key's sorted values; nulls first, NaN last.
 
-    Ranked by a window, so a key's values are sorted on disk if need be.
+    Exact, and no key is sorted in one task: a round splits each key's values at CELLS
+    approximate quantiles, counts the cells exactly and goes on in the one that holds the
+    position, which has about 1 / CELLS of the rows.  A cell of one value is the answer, however
+    many rows have it; one of at most RANKED rows is counted by value and ranked.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key)
-    ranked = df.select(key, value, F.row_number().over(w.orderBy(value)).alias("r"), F.count("*").over(w).alias("n"))
-    at = F.least(F.floor(F.col("n") * F.lit(share)), F.col("n") - 1) + 1
-    return ranked.filter(F.col("r") == at).select(key, F.col(value).alias("p"))
+    rows = df.select(F.col(key).alias("k"), F.col(value).alias("v"))
+    known = F.col("v").isNotNull()
+    size = rows.groupBy("k").agg(F.count("*").alias("n"), F.count_if(~known).alias("nulls"))
+    at = F.least(F.floor(F.col("n") * F.lit(share)), F.col("n") - 1) + 1 - F.col("nulls")
+    state = written(size.select("k", at.cast("long").alias("at"), (F.col("n") - F.col("nulls")).alias("n")), "rank-state")
+    # Positions among the nulls are settled.
+    found = state.filter("at < 1").select("k", F.lit(None).cast(rows.schema["v"].dataType).alias("v"))
+    state, left = state.filter("at >= 1"), rows.filter(known)
+    here = (F.col("upto") >= F.col("at")) & (F.col("upto") - F.col("c") < F.col("at"))
+    while True:
+        ready = state.filter(F.col("n") <= RANKED)
+        few = _beside(left, ready, "left_semi").groupBy("k", "v").agg(F.count("*").alias("c"))
+        few = few.withColumn("upto", F.sum("c").over(Window.partitionBy("k").orderBy("v")))
+        found = found.unionByName(_beside(few, ready).filter(here).select("k", "v"))
+        state = state.filter(F.col("n") > RANKED)
+        if state.isEmpty():
+            return found.select(F.col("k").alias(key), F.col("v").alias("p"))
+        left = _beside(left, state, "left_semi")
+        grid = left.groupBy("k").agg(F.percentile_approx("v", [i / CELLS for i in range(CELLS + 1)], 10 * CELLS).alias("cuts"))
+        celled = _beside(left, grid).select("k", "v", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("cell"))
+        cells = celled.groupBy("k", "cell").agg(F.count("*").alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
+        cells = cells.withColumn("upto", F.sum("c").over(Window.partitionBy("k").orderBy("cell")))
+        hit = _beside(cells, state).filter(here)
+        hit = written(hit.select("k", (F.col("at") - F.col("upto") + F.col("c")).alias("at"), F.col("c").alias("n"), "low", "high"), "rank-state")
+        one = F.col("low").eqNullSafe(F.col("high"))
+        found = found.unionByName(hit.filter(one).select("k", F.col("low").alias("v")))
+        state = hit.filter(~one)
+        left = written(_beside(left, state).filter((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high"))).select("k", "v"), "rank-rows")
+        state = state.select("k", "at", "n")
+
+
+def _beside(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on their k, nulls being equal."""
+    out = left.join(right.withColumnRenamed("k", "_k"), F.col("k").eqNullSafe(F.col("_k")), how)
+    return out.drop("_k")
 
 
 def common_value(df: DataFrame, key: str, column: str) -> DataFrame:

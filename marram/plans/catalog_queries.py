@@ -84,6 +84,7 @@ Q.add("a6_split", _t(R.split_report), T + ", x AS (SELECT *, album IS NULL OR tr
 _FIELDS = ["title", "artist", "album", "album_artist", "genre", "year", "track_total", "barcode", "has_art", "label"]
 Q.add("a7_completeness", _t(lambda t: R.completeness(t, _FIELDS)), T + " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) FILTER (NOT ({f} IS NULL{' OR trim(' + f + chr(41) + ' = ' + chr(39) * 2 if f in ('title', 'artist', 'album', 'album_artist', 'barcode', 'label') else ' OR len(genre) = 0' if f == 'genre' else ''})) AS present, count(*) AS total FROM tracks" for f in _FIELDS))
 Q.add("a8_exact_duplicates", _t(lambda t: R.exact_duplicates(t).select("artist_key", "title_key", F.array_join("ids", ",").alias("ids"))), T + "SELECT lower(trim(artist)) AS artist_key, lower(trim(title)) AS title_key, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM tracks WHERE trim(artist) <> '' AND trim(title) <> '' GROUP BY 1, 2 HAVING count(*) > 1")
+Q.add("a8_duplicate_rows", _t(R.exact_duplicate_rows), T + "SELECT lower(trim(artist)) AS artist_key, lower(trim(title)) AS title_key, id FROM tracks WHERE trim(artist) <> '' AND trim(title) <> '' QUALIFY count(*) OVER (PARTITION BY 1, 2) > 1".replace("PARTITION BY 1, 2", "PARTITION BY lower(trim(artist)), lower(trim(title))"))
 Q.add("a9_breakdown", _t(R.breakdown), T + "SELECT format AS value, count(*) AS n FROM tracks WHERE format IS NOT NULL GROUP BY 1")
 Q.add("a10_mean", _t(lambda t: R.mean_of(t, "duration_ms")), T + "SELECT round(avg(duration_ms), 6) AS mean FROM tracks")
 Q.add("a16_next_attempt", lambda s, d: O.next_attempt(attempts(s, d), ["item_key"], "attempt_no"), "SELECT l_orderkey AS item_key, max(l_linenumber) + 1 AS next_attempt FROM lineitem GROUP BY 1")
@@ -91,6 +92,7 @@ Q.add("a19_release_votes", lambda s, d: _votes(s, d), f"WITH {MATCHES}, v AS (SE
 Q.add("a20_consensus", _t(lambda t: R.consensus(t, "group_id", "track_total")), T + "SELECT group_id, CASE WHEN count(DISTINCT nullif(track_total, 0)) = 1 THEN max(nullif(track_total, 0)) END AS agreed, count(*) AS members FROM tracks GROUP BY 1")
 Q.add("a21_recount", _t(lambda t: t.groupBy("group_id").agg(F.count("*").alias("members"))), T + "SELECT group_id, count(*) AS members FROM tracks GROUP BY 1")
 Q.add("a22_distinct", _t(lambda t: t.select("artist", "format").distinct()), T + "SELECT DISTINCT artist, format FROM tracks")
+Q.add("a24_p95_of_all", lambda s, d: R.nearest_rank(table(s, d, "lineitem").withColumn("every", F.lit(0)), "every", "l_extendedprice"), "SELECT 0 AS every, list_sort(list(l_extendedprice))[CAST(least(floor(count(*) * 0.95), count(*) - 1) AS BIGINT) + 1] AS p FROM lineitem")
 Q.add("a24_p95", lambda s, d: R.nearest_rank(table(s, d, "events"), "event_type", "value"), "SELECT event_type, list_sort(list(value))[CAST(least(floor(count(*) * 0.95), count(*) - 1) AS BIGINT) + 1] AS p FROM events GROUP BY 1")
 Q.add("r16_common_value", _t(lambda t: R.common_value(t, "group_id", "format")), T + "SELECT group_id, CASE WHEN count(DISTINCT coalesce(format, '<null>')) = 1 THEN max(format) END AS value, count(DISTINCT coalesce(format, '<null>')) > 1 AS multiple FROM tracks GROUP BY 1")
 
@@ -149,7 +151,19 @@ _NAME = "concat(CASE WHEN id % 3 = 0 THEN '0' || CAST(id % 90 + 10 AS {s}) || '
 Q.add("b8_filename", _t(lambda t: t.selectExpr("id", _NAME.format(s="STRING") + " AS name").select("id", S.file_name_parts(F.col("name")).alias("p")).select("id", "p.artist", "p.title", "p.confidence")), T + f", n AS (SELECT id, trim(regexp_replace(regexp_replace({_NAME.format(s='VARCHAR')}, '(.)\\.mp3$', '\\1'), '^\\s*(\\d{{1,3}}[ ._-]+)?', '')) AS stem FROM tracks), p AS (SELECT id, stem, regexp_matches(stem, '^.*?\\S\\s+-\\s+\\S') AS two FROM n) SELECT id, CASE WHEN two THEN trim(regexp_extract(stem, '^(.*?)\\s+-\\s+(.*)$', 1)) END AS artist, CASE WHEN two THEN trim(regexp_extract(stem, '^(.*?)\\s+-\\s+(.*)$', 2)) WHEN stem <> '' THEN stem END AS title, CASE WHEN two THEN 0.95 WHEN stem <> '' THEN 0.45 ELSE 0.0 END::DOUBLE AS confidence FROM p")
 Q.add("b10_b11_parsing", _t(lambda t: t.select("id", S.of_total(F.concat(F.col("track_no").cast("string"), F.lit("/"), F.coalesce(F.col("track_total").cast("string"), F.lit("x")))).alias("p"), S.year_of(F.concat(F.col("year").cast("string"), F.lit("-05"))).alias("y"), S.clock_ms(F.concat(F.col("track_no").cast("string"), F.lit(":07"))).alias("ms"), S.lenient_float(F.lit("-6.50 dB")).alias("gain"), S.lenient_int(F.lit(" 12 ")).alias("n")).select("id", "p.number", "p.total", "y", "ms", "gain", "n")), T + "SELECT id, track_no AS number, track_total AS total, year AS y, (track_no * 60 + 7) * 1000::BIGINT AS ms, -6.5::DOUBLE AS gain, 12 AS n FROM tracks")
 Q.add("b12_candidate_url", lambda s, d: table(s, d, "pages").select("page_id", S.candidate_url(F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("https://www.discogs.com/release/"), (F.col("page_id") + 1).cast("string"), F.lit("-x"))).when(F.col("page_id") % 4 == 1, F.concat(F.lit("https://www.deezer.com/en/album/"), F.col("page_id").cast("string"))).otherwise(F.col("url"))).alias("u")).select("page_id", "u.provider", "u.type", "u.id"), "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'discogs' WHEN 1 THEN 'deezer' END AS provider, CASE page_id % 4 WHEN 0 THEN 'release' WHEN 1 THEN 'album' END AS type, CASE page_id % 4 WHEN 0 THEN CAST(page_id + 1 AS VARCHAR) WHEN 1 THEN CAST(page_id AS VARCHAR) END AS id FROM pages")
-Q.add("b19_digest", lambda s, d: table(s, d, "region").select("r_regionkey", S.digest("r_regionkey", "r_name").alias("digest")), "SELECT r_regionkey, sha256('{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}') AS digest FROM region")
+Q.add("b19_digest", lambda s, d: table(s, d, "region").select("r_regionkey", S.digest(table(s, d, "region"), "r_regionkey", "r_name").alias("digest")), "SELECT r_regionkey, sha256('{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}') AS digest FROM region")
+_EXT = [".mp3", ".FLAC", ".ogg", ".opus", ".m4a", ".wav", ".aiff", ".Aif", ".aac", ""]
+Q.add("b14_format_labels", _t(lambda t: t.select("id", S.format_label(F.concat(F.lit("lib/a.b/x"), F.element_at(F.array(*map(F.lit, _EXT)), (F.col("id") % len(_EXT)).cast("int") + 1))).alias("label"))), T + f"SELECT id, CASE lower({_EXT}[id % {len(_EXT)} + 1]) WHEN '.mp3' THEN 'MP3' WHEN '.flac' THEN 'FLAC' WHEN '.ogg' THEN 'OGG' WHEN '.opus' THEN 'Opus' WHEN '.m4a' THEN 'MP4' WHEN '.wav' THEN 'WAV' WHEN '.aiff' THEN 'AIFF' WHEN '.aif' THEN 'AIFF' END AS label FROM tracks")
+
+
+def _map_digests(s, d):
+    pairs = lambda *names: F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.col, names)))
+    t = tracks(s, d).select("id", F.when(F.col("id") % 2 == 0, pairs("title", "artist")).otherwise(pairs("artist", "title")).alias("tags"))
+    return t.select("id", S.digest(t, "tags").alias("digest"))
+
+
+_JSON = "coalesce('\"' || {c} || '\"', 'null')"
+Q.add("b19_map_digest", _map_digests, T + f"SELECT id, sha256('{{\"tags\":{{\"artist\":' || {_JSON.format(c='artist')} || ',\"title\":' || {_JSON.format(c='title')} || '}}}}') AS digest FROM tracks")
 Q.add("b21_search_terms", _t(lambda t: t.select("id", S.search_terms({"artist": "artist", "release": "album"}).alias("terms"))), T + "SELECT id, concat_ws(' AND ', CASE WHEN trim(artist) <> '' THEN 'artist:\"' || artist || '\"' END, CASE WHEN trim(album) <> '' THEN 'release:\"' || album || '\"' END) AS terms FROM tracks")
 _VALUE = "CASE c_custkey % 6 WHEN 0 THEN '[\"a\",\"b\"]' WHEN 1 THEN '[]' WHEN 2 THEN '[1]' WHEN 3 THEN 'a' WHEN 4 THEN '{}' END"
 Q.add("r12_lists", lambda s, d: table(s, d, "customer").select("c_custkey", S.valid_value(F.lit("multi_text"), F.expr(_VALUE), F.col("c_custkey") % 7 > 0).alias("is_list")), "SELECT c_custkey, c_custkey % 6 < 2 AND c_custkey % 7 > 0 AS is_list FROM customer")

@@ -129,6 +129,17 @@ Q.add("f10_inbox_search_columns", lambda s, d: E.inbox(_inbox(s, d), q="MOTÖRHE
 Q.add("f10_inbox_search_issue", lambda s, d: E.inbox(_inbox(s, d), q="path collision"), f"WITH {_INBOX} SELECT * FROM r WHERE {_OPEN} AND issue_message IS NOT NULL {_IN_ORDER} 51")
 
 
+_NEAR = "lag(id) OVER w AS previous_id, lead(id) OVER w AS next_id, min(CASE WHEN state IN ('ready', 'needs_attention') THEN n END) OVER (ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS open_n"
+
+
+def _around(condition: str) -> str:
+    return f"WITH {_INBOX}, o AS (SELECT *, row_number() OVER (ORDER BY issue_rank, state_rank, id) AS n FROM r WHERE {condition}), b AS (SELECT id, {_NEAR} FROM o WINDOW w AS (ORDER BY n)) SELECT b.id, previous_id, next_id, o.id AS next_open_id FROM b LEFT JOIN o ON o.n = open_n"
+
+
+Q.add("w3_inbox_neighbours", lambda s, d: E.inbox_neighbours(_inbox(s, d)), _around(_OPEN))
+Q.add("w3_filtered_neighbours", lambda s, d: E.inbox_neighbours(_inbox(s, d), source="discogs", label="high_confidence", states=["ready", "applied", "failed"]), _around("candidate_source = 'discogs' AND confidence_label = 'High confidence' AND state IN ('ready', 'applied', 'failed')"))
+
+
 def _bundles(s, d):
     return _inbox(s, d).select("id", "state", (F.col("id") % 1000).alias("logical_key"))
 
