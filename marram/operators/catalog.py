@@ -60,15 +60,22 @@ def tokens(c: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
+def wanted_words(text: str) -> list[str] | None:
+    """The words of a search: lower case, without marks, every other character parts them; None for a blank text."""
+    if not text.strip():
+        return None
+    plain = text.lower().translate(str.maketrans(MARKED, UNMARKED))
+    return "".join(ch if ch.isalnum() else " " for ch in plain if not "\u0300" <= ch <= "\u036f").split()
+
+
 def phrase(text: str, columns: tuple[str, ...] = SEARCHED) -> Column | None:
     """Do the words of ``text`` stand together in one of the columns?  None for a blank text.
 
     Every character is literal: quotes, hyphens and operators only part words.  Neither case
     nor the mark of a letter counts.
     """
-    plain = text.lower().translate(str.maketrans(MARKED, UNMARKED))
-    wanted = "".join(ch if ch.isalnum() else " " for ch in plain if not "\u0300" <= ch <= "\u036f").split()
-    if not text.strip():
+    wanted = wanted_words(text)
+    if wanted is None:
         return None
     if not wanted:
         return F.lit(False)

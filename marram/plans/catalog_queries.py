@@ -9,6 +9,8 @@ from marram.operators import catalog as C
 from marram.operators import ordered as O
 from marram.operators import reports as R
 from marram.operators.catalog import CatalogQuery
+from marram.operators.search_index import PhraseIndex
+from marram.sources.shared import shared_path
 
 from .bindings import GROUPS, JOBS, MATCHES, TRACKS, attempts, groups, jobs, matches, table, tracks, turns
 from .book import Book
@@ -52,6 +54,29 @@ Q.add("f9_phrase_across_columns", _t(lambda t: _short(t.filter(C.where(CatalogQu
 _MARKED = "concat('Björk Ńandú ', coalesce(title, 'x'))"
 Q.add("f9_phrase_without_marks", _t(lambda t: _short(t.selectExpr(*[c for c in t.columns if c != "title"], _MARKED + " AS title").filter(C.where(CatalogQuery(q="BJORK nandu"))))), T + f", m AS (SELECT * REPLACE ({_MARKED} AS title) FROM tracks) SELECT {_SHORT} FROM m WHERE NOT is_missing AND contains(strip_accents(lower(title)), 'bjork nandu')")
 Q.add("f9_prose", lambda s, d: table(s, d, "documents").filter(C.phrase("that the", ("text",))).select("doc_id", "lang"), f"SELECT doc_id, lang FROM documents WHERE contains({_tok('text')}, ' that the ')")
+
+
+def _indexed(rows, columns, text, id_="id"):
+    """Rows of a table that a fresh index of it finds."""
+    index = PhraseIndex(rows.sparkSession, shared_path(rows.sparkSession, "phrases"), columns)
+    index.update(rows, id_=id_)
+    return rows.join(index.search(text).withColumnRenamed("id", id_), id_, "left_semi")
+
+
+def _indexed_after_change(s, d):
+    """The index of an older state of the catalogue, brought up to date by what changed since."""
+    now = tracks(s, d)
+    old = now.withColumn("title", F.when(F.col("id") % 3 == 0, F.concat(F.lit("blue gear "), "title")).otherwise(F.col("title"))).filter("id % 5 <> 1")
+    index = PhraseIndex(s, shared_path(s, "phrases"), C.SEARCHED)
+    index.update(old.unionByName(now.filter("id < 50").withColumn("id", -F.col("id") - 1)))
+    index.update(now.filter("id % 3 = 0 or id % 5 = 1"), removed=now.filter("id < 50").select((-F.col("id") - 1).alias("id")))
+    return index.search("Blue Gear")
+
+
+Q.add("f9_indexed_phrase", _t(lambda t: _short(_indexed(t, C.SEARCHED, '"Blue-Gear"').filter("not is_missing"))), Q.oracles["f9_phrase"])
+Q.add("f9_indexed_word", _t(lambda t: _short(_indexed(t, C.SEARCHED, "brand"))), T + f"SELECT {_SHORT} FROM tracks WHERE coalesce({_phrase('brand')}, false)")
+Q.add("f9_indexed_after_change", _indexed_after_change, T + f"SELECT id FROM tracks WHERE coalesce({_phrase('blue gear')}, false)")
+Q.add("f9_indexed_prose", lambda s, d: _indexed(table(s, d, "documents").select("doc_id", "lang", "text"), ("text",), "that the", "doc_id").select("doc_id", "lang"), Q.oracles["f9_prose"])
 Q.add("f11_facet_needle", _t(lambda t: C.facet(t, "artist", CatalogQuery(), needle="AND#1")), T + "SELECT artist AS value, count(*) AS n FROM tracks WHERE NOT is_missing AND artist IS NOT NULL AND contains(lower(artist), 'and#1') GROUP BY 1 ORDER BY 1 LIMIT 100")
 Q.add("f13_mini_query", _t(lambda t: _short(t.filter(C.matches("artist:BRAND#2,title:g,album:", t.columns)))), T + f"SELECT {_SHORT} FROM tracks WHERE contains(lower(coalesce(artist, '')), 'brand#2') AND contains(lower(coalesce(title, '')), 'g')")
 Q.add("f15_needing_gain", _t(C.needing_gain), T + "SELECT DISTINCT group_id FROM tracks WHERE NOT is_missing AND rg_track_gain IS NULL")

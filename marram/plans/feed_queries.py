@@ -9,7 +9,9 @@ from marram.operators import changes as X
 from marram.operators import feeds as E
 from marram.operators import ordered as O
 from marram.operators import revisions as V
+from marram.operators.search_index import PhraseIndex
 from marram.sources import providers as P
+from marram.sources.shared import shared_path
 
 from .bindings import GROUPS, JOBS, MATCHES, TRACKS, attempts, jobs, matches, split_list, table, tracks
 from .book import Book
@@ -129,6 +131,13 @@ Q.add("f10_inbox_search_columns", lambda s, d: E.inbox(_inbox(s, d), q="MOTÖRHE
 Q.add("f10_inbox_search_issue", lambda s, d: E.inbox(_inbox(s, d), q="path collision"), f"WITH {_INBOX} SELECT * FROM r WHERE {_OPEN} AND issue_message IS NOT NULL {_IN_ORDER} 51")
 
 
+def _inbox_by_index(s, d, q):
+    index = PhraseIndex(s, shared_path(s, "phrases"), E.INBOX_SEARCHED)
+    index.update(_inbox(s, d))
+    return E.inbox(_inbox(s, d).join(index.search(q), "id", "left_semi"), limit=500)
+
+
+Q.add("f10_indexed_inbox", lambda s, d: _inbox_by_index(s, d, "MOTÖRHEAD live"), Q.oracles["f10_inbox_search_columns"])
 _NEAR = "lag(id) OVER w AS previous_id, lead(id) OVER w AS next_id, min(CASE WHEN state IN ('ready', 'needs_attention') THEN n END) OVER (ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS open_n"
 
 
