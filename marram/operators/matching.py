@@ -1,114 +1,34 @@
 """Matching of local releases and single tracks with candidates of several sources.
 
-Rows are (case, candidate) pairs: only the alignment of two track lists is Python, a row at a
-time; distances, weights, duplicates, ranking and decisions are columns and windows.
+Rows are (case, candidate) pairs: only the alignment of track lists is Python, a batch at a
+time (:mod:`.alignment`); distances, weights, duplicates, ranking and decisions are columns and
+windows.
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marram.functions.scalars import exact_distance, file_name_parts, numeric_distance, signals, weighted_distance
-from marram.functions.text import name_distance, name_distance_column
+from marram.functions.text import name_distance_column
 from marram.sources.shared import written
 
+from .alignment import LENGTH_SCALE, TRACK_WEIGHTS, aligned, assign
+
+__all__ = ["aligned", "assign", "corroborators", "decide", "duplicates", "local_names", "page_of", "rank", "score_albums", "score_singles", "top_candidates", "track_distance_columns"]
+
 #: Weights of the signals.
 ALBUM_WEIGHTS = {"album": 3.0, "album_artist": 3.0, "tracks": 2.0, "missing_tracks": 0.9, "unmatched_tracks": 0.6, "year": 0.5, "media": 0.5, "country": 0.5, "label": 0.5, "catalog_number": 0.5, "barcode": 2.0}
-TRACK_WEIGHTS = {"title": 3.0, "artist": 2.0, "length": 2.0, "index": 1.0, "track_id": 5.0, "isrc": 4.0}
 SINGLE_WEIGHTS = {"title": 3.0, "artist": 3.0, "length": 2.5, "isrc": 4.0, "acoustid": 5.0}
 #: Bands, gaps and costs.
 STRONG, SINGLE_STRONG, REJECT, RELATED = 0.10, 0.06, 0.45, 0.45
 MIN_GAP, YEAR_BAND, BONUS, PENALTY, EPSILON = 0.03, 0.02, 0.05, 0.02, 1e-9
-MISSING_COST, ORDER_WEIGHT, LENGTH_SCALE, YEAR_SCALE = 0.85, 0.15, 10_000.0, 5.0
+YEAR_SCALE = 5.0
 
 TRACK = "struct<title:string,artist:string,duration_ms:bigint,isrc:string,track_id:string>"
 
 
-def pair_distance(a: dict, b: dict, weights: dict[str, float] = TRACK_WEIGHTS) -> float:
-    """Distance of two tracks over what both know; the position always counts as right."""
-    total, weight = 0.0, weights["index"]
-    for name, x, y in (("title", a.get("title"), b.get("title")), ("artist", a.get("artist"), b.get("artist"))):
-        if x and y:
-            total, weight = total + weights[name] * name_distance(x, y), weight + weights[name]
-    if a.get("duration_ms") is not None and b.get("duration_ms") is not None:
-        total, weight = total + weights["length"] * min(abs(a["duration_ms"] - b["duration_ms"]) / LENGTH_SCALE, 1.0), weight + weights["length"]
-    for name in ("track_id", "isrc"):
-        if a.get(name) and b.get(name):
-            total, weight = total + weights[name] * (a[name] != b[name]), weight + weights[name]
-    return total / weight
-
-
-def assign(cost) -> np.ndarray:
-    """Column of each row in an assignment of least total cost (square), by shortest augmenting paths.
-
-    Lists of numbers: most releases have so few tracks that array operations cost more.
-    """
-    rows = [list(map(float, r)) for r in cost]
-    n = len(rows)
-    cheapest = [min(range(n), key=r.__getitem__) for r in rows]
-    if len(set(cheapest)) == n:
-        return np.array(cheapest, int)
-    row_price, col_price = [0.0] * n, [0.0] * n
-    owner, column = [-1] * n, [-1] * n
-    for start in range(n):
-        reach, via, done, tree = [math.inf] * n, [-1] * n, [False] * n, []
-        row, base = start, 0.0
-        while True:
-            costs, own, best, last = rows[row], row_price[row], math.inf, -1
-            for j in range(n):
-                if not done[j]:
-                    through = base + costs[j] - own - col_price[j]
-                    if through < reach[j]:
-                        reach[j], via[j] = through, row
-                    if reach[j] < best:
-                        best, last = reach[j], j
-            base, done[last] = best, True
-            tree.append(last)
-            if owner[last] < 0:
-                break
-            row = owner[last]
-        row_price[start] += base
-        for j in tree:
-            if owner[j] >= 0:
-                row_price[owner[j]] += base - reach[j]
-            col_price[j] += reach[j] - base
-        while last >= 0:
-            row = via[last]
-            owner[last], column[row], last = row, last, column[row]
-    return np.array(column, int)
-
-
-def align(local: list[dict], candidate: list[dict], distance=pair_distance) -> list[tuple[int | None, int | None, float]]:
-    """(local index, candidate index, cost) of the best alignment; None stands for no partner."""
-    n, m = len(local), len(candidate)
-    size = max(n, m)
-    if not size:
-        return []
-    if distance is pair_distance and local == candidate:
-        return [(i, i, 0.0) for i in range(n)]
-    cost = [[MISSING_COST] * size for _ in range(size)]
-    for i in range(n):
-        for j in range(m):
-            cost[i][j] = min(distance(local[i], candidate[j]) + ORDER_WEIGHT * abs(i - j) / size, 1.0)
-    return [(i if i < n else None, j if j < m else None, cost[i][j]) for i, j in enumerate(assign(cost).tolist())]
-
-
-def aligned(pairs: DataFrame, local: str = "local_tracks", candidate: str = "tracks") -> DataFrame:
-    """``pairs`` with ``alignment`` (array of local, candidate, cost)."""
-
-    @F.pandas_udf("array<struct<local:int,candidate:int,cost:double>>")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        lists = lambda x: list(x) if x is not None else []
-        return pd.Series([[{"local": i, "candidate": j, "cost": c} for i, j, c in align(lists(x), lists(y))] for x, y in zip(a, b, strict=True)])
-
-    return pairs.withColumn("alignment", run(local, candidate))
-
-
 def _text(a: str, b: str) -> Column:
     return F.when((F.col(a) != "") & (F.col(b) != ""), name_distance_column(a, b))
 
@@ -169,8 +89,8 @@ def score_singles(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return best.withColumn("distance", weighted_distance(made, SINGLE_WEIGHTS)).withColumn("signals", signals(made, SINGLE_WEIGHTS)).withColumn("related", related).drop(*[f"_d_{n}" for n in parts], *cells, "_t", "_pos", "_near", "_r", "_title", "_artist")
 
 
-def corroborators(scored: DataFrame, case: str, id_: str = "ref_id") -> DataFrame:
-    """(case, ref_id, corroborated_by): other sources that hold the same release.
+def duplicates(scored: DataFrame, case: str, id_: str = "ref_id") -> DataFrame:
+    """(case, ref_id, o_ref_id, o_source): candidates of other sources that hold the same release, both ways round.
 
     Candidates of one case are a provider's few answers; they are paired on the case.
     """
@@ -182,18 +102,33 @@ def corroborators(scored: DataFrame, case: str, id_: str = "ref_id") -> DataFram
     joined = a.join(b, case).filter(F.col("source") != F.col("o_source"))
     sizes = (F.col("n") == F.col("o_n")) & (F.col("n") > 0) & years
     near = F.when(~(equal("barcode") | equal("release_id")) & sizes, name_distance_column("album", "o_album"))
-    return joined.filter(equal("barcode") | equal("release_id") | F.coalesce(near < 0.10, F.lit(False))).groupBy(case, id_).agg(F.array_sort(F.collect_set("o_source")).alias("corroborated_by"))
+    return joined.filter(equal("barcode") | equal("release_id") | F.coalesce(near < 0.10, F.lit(False))).select(case, id_, f"o_{id_}", "o_source")
+
 
+def corroborators(scored: DataFrame, case: str, id_: str = "ref_id") -> DataFrame:
+    """(case, ref_id, corroborated_by): other sources that hold the same release."""
+    return _sources(duplicates(scored, case, id_), case, id_)
+
+
+def _sources(pairs: DataFrame, case: str, id_: str) -> DataFrame:
+    return pairs.groupBy(case, id_).agg(F.array_sort(F.collect_set("o_source")).alias("corroborated_by"))
 
-def rank(scored: DataFrame, case: str, priority: tuple[str, ...] = ("musicbrainz", "discogs", "deezer"), min_gap: float = MIN_GAP, earliest: bool = False, id_: str = "ref_id", position: str = "position") -> DataFrame:
+
+def rank(scored: DataFrame, case: str, priority: tuple[str, ...] = ("musicbrainz", "discogs", "deezer"), min_gap: float = MIN_GAP, earliest: bool = False, id_: str = "ref_id", position: str = "position", adjacency: bool = False) -> DataFrame:
     """``scored`` with adjusted distance, rejection and rank in its case.
 
     Corroboration lowers the distance; the order of sources counts only among candidates
     within ``min_gap`` of the best, which come first.  ``scored`` is written once: the
     alignment in it is costly, and both sides of the corroboration read it again.
+
+    With ``adjacency`` there is also ``is_duplicate_of``: the places (from 0, in the final
+    order) of the candidates of other sources that hold the same release, in order.
     """
     scored = written(scored, "scored")
-    rows = scored.join(corroborators(scored, case, id_), [case, id_], "left").withColumn("corroborated_by", F.coalesce("corroborated_by", F.array().cast("array<string>")))
+    pairs = duplicates(scored, case, id_)
+    if adjacency:
+        pairs = written(pairs, "duplicates")
+    rows = scored.join(_sources(pairs, case, id_), [case, id_], "left").withColumn("corroborated_by", F.coalesce("corroborated_by", F.array().cast("array<string>")))
     rows = rows.withColumn("adjusted", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("distance") - BONUS * F.size("corroborated_by"))))
     best = F.min("adjusted").over(Window.partitionBy(case))
     place = F.array_position(F.array(*map(F.lit, priority)), F.col("source")) - 1
@@ -205,7 +140,27 @@ def rank(scored: DataFrame, case: str, priority: tuple[str, ...] = ("musicbrainz
     year = F.when(F.col("adjusted") <= F.col("_best") + YEAR_BAND, released)
     keys = [F.desc("_in"), order.asc()] + ([F.coalesce(year, F.lit(9999)).asc()] if earliest else []) + [F.asc(position)]
     reason = F.when(~F.col("related"), "insufficient identity signals").when(F.col("adjusted") >= REJECT, "candidate is not sufficiently related")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(case).orderBy(*keys))).withColumn("rejection", reason).drop("_best", "_in")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(case).orderBy(*keys))).withColumn("rejection", reason).drop("_best", "_in")
+    if not adjacency:
+        return ranked
+    ranked = written(ranked, "ranked")
+    places = ranked.select(F.col(case), F.col(id_).alias(f"o_{id_}"), (F.col("rank") - 1).alias("place"))
+    beside = pairs.join(places, [case, f"o_{id_}"]).groupBy(case, id_).agg(F.array_sort(F.collect_list("place")).alias("is_duplicate_of"))
+    return ranked.join(beside, [case, id_], "left").withColumn("is_duplicate_of", F.coalesce("is_duplicate_of", F.array().cast("array<int>")))
+
+
+def page_of(ranked: DataFrame, case: str, page: int, size: int) -> DataFrame:
+    """Page ``page`` (from 0) of each case's ranked rows; places in ``is_duplicate_of`` count from the page's first row, others go.
+
+    ``more`` tells whether the case has rows behind the page.
+    """
+    start = page * size
+    last = F.max("rank").over(Window.partitionBy(case))
+    inside = lambda x: (x >= start) & (x < start + size)
+    rows = ranked.withColumn("more", last > start + size).filter((F.col("rank") > start) & (F.col("rank") <= start + size))
+    return rows.withColumn("is_duplicate_of", F.transform(F.filter("is_duplicate_of", inside), lambda x: x - start))
+
+
 
 
 def decide(ranked: DataFrame, case: str, strong: float = STRONG, min_gap: float = MIN_GAP) -> DataFrame:

@@ -9,6 +9,7 @@ from marram.functions.text import match_key_column, name_distance_column, path_k
 from marram.operators import duplicates as D
 from marram.operators import grouping as G
 from marram.operators import matching as M
+from marram.sources.shared import shared_path
 from marram.streaming import live as L
 
 from .bindings import MATCHES, TRACKS, matches, table, tracks
@@ -56,6 +57,16 @@ Q.add("e4_cluster_confidence", lambda s, d: G.cluster_confidence(G.tag_clusters(
 Q.add("e5_singletons", lambda s, d: tracks(s, d).filter(G.is_singleton()).select("id"), f"WITH {TRACKS} SELECT id FROM tracks WHERE album IS NULL OR trim(album) = '' OR lower(album) = lower(title) OR track_total = 1")
 Q.add("e6_partial_albums", lambda s, d: G.partial_albums(G.by_ids(tracks(s, d))[0].join(tracks(s, d).select("id", "track_total"), "id")), f"WITH {TRACKS}{_KEY}, p AS (SELECT substr(sha256(gk), 1, 32) AS key, count(*) AS members, CASE WHEN count(DISTINCT nullif(track_total, 0)) = 1 THEN max(nullif(track_total, 0)) END AS agreed FROM n GROUP BY 1) SELECT *, CASE WHEN agreed > members THEN 'partial_album' ELSE 'album' END AS kind FROM p")
 Q.add("e7_cascade", lambda s, d: G.cascade(tracks(s, d), matches(s, d), tracks(s, d).filter("group_id % 4 = 0").select("group_id").distinct()))
+
+
+def _stored_groups(s, d):
+    """The cascade from tracks to the groups it stores."""
+    store = G.GroupStore(s, shared_path(s, "groups"))
+    store.run(tracks(s, d), matches(s, d))
+    return store.groups.read().withColumn("confidence", F.round("confidence", 3))
+
+
+Q.add("e7_stored_groups", _stored_groups)
 Q.add("e7_upsert_counts", lambda s, d: G.upsert_counts(G.by_ids(tracks(s, d))[0], G.by_ids(tracks(s, d).filter("id % 2 = 0"))[0].select("key").distinct().withColumn("is_pinned", F.lit(False))), f"WITH {TRACKS}{_KEY}, s AS (SELECT gk FROM k WHERE id % 2 = 0 AND gk IS NOT NULL GROUP BY 1 HAVING count(*) > 1), p AS (SELECT DISTINCT gk FROM n) SELECT count(*) FILTER (s.gk IS NULL) AS created, count(*) FILTER (s.gk IS NOT NULL) AS updated, 0::BIGINT AS skipped FROM p LEFT JOIN s USING (gk)")
 
 
@@ -68,9 +79,9 @@ def album_pairs(s, d):
     strip = lambda a: F.transform(a, lambda x: x.dropFields("n"))
     made = F.explode(
         F.array(
-            F.struct(F.lit("musicbrainz").alias("source"), F.lit(0).alias("position"), strip("items").alias("tracks"), F.col("local_album").alias("album"), F.lit(2000).alias("year")),
-            F.struct(F.lit("discogs").alias("source"), F.lit(1).alias("position"), F.reverse(strip("items")).alias("tracks"), F.concat("local_album", F.lit(" x")).alias("album"), F.lit(2001).alias("year")),
-            F.struct(F.lit("deezer").alias("source"), F.lit(2).alias("position"), F.slice(strip("items"), 1, 1).alias("tracks"), F.lit("something else").alias("album"), F.lit(1990).alias("year")),
+            F.struct(F.lit("musicbrainz").alias("source"), F.lit(0).alias("position"), strip("items").alias("tracks"), F.col("local_album").alias("album"), F.lit(2000).alias("year"), F.when(F.col("case_id") % 3 == 0, 1970).alias("original_year")),
+            F.struct(F.lit("discogs").alias("source"), F.lit(1).alias("position"), F.reverse(strip("items")).alias("tracks"), F.concat("local_album", F.lit(" x")).alias("album"), F.lit(2001).alias("year"), F.when(F.col("case_id") % 3 == 1, 1970).otherwise(0).alias("original_year")),
+            F.struct(F.lit("deezer").alias("source"), F.lit(2).alias("position"), F.slice(strip("items"), 1, 1).alias("tracks"), F.lit("something else").alias("album"), F.lit(1990).alias("year"), F.lit(None).cast("int").alias("original_year")),
         )
     )
     null = F.lit(None).cast("string")
@@ -83,9 +94,22 @@ def _scored(s, d):
     return M.score_albums(album_pairs(s, d))
 
 
+def _with_discs(pairs):
+    """Local tracks on two discs; every tenth case has a track without one."""
+    disc = lambda x, k: F.when((F.col("case_id") % 10 == 0) & (k == 0), F.lit(None)).otherwise(k % 2 + 1).cast("int")
+    return pairs.withColumn("local_tracks", F.transform("local_tracks", lambda x, k: x.withField("disc", disc(x, k))))
+
+
+def _adjacent(s, d):
+    return M.rank(_scored(s, d), "case_id", earliest=True, adjacency=True)
+
+
 Q.add("e10_alignment_cost", lambda s, d: M.aligned(album_pairs(s, d)).select("case_id", "ref_id", F.round(F.aggregate("alignment", F.lit(0.0), lambda a, x: a + x["cost"]), 6).alias("cost")))
 Q.add("e11_album_scores", lambda s, d: _scored(s, d).select("case_id", "ref_id", F.round("distance", 6).alias("distance"), "related", F.size("signals").alias("n_signals")))
 Q.add("e13_corroboration", lambda s, d: M.corroborators(_scored(s, d), "case_id").select("case_id", "ref_id", F.array_join("corroborated_by", ",").alias("corroborated_by")))
+Q.add("e10_by_disc", lambda s, d: M.aligned(_with_discs(album_pairs(s, d))).select("case_id", "ref_id", F.size("alignment").alias("rows"), F.round(F.aggregate("alignment", F.lit(0.0), lambda a, x: a + x["cost"]), 6).alias("cost")))
+Q.add("e14_duplicates", lambda s, d: _adjacent(s, d).select("case_id", "ref_id", "rank", F.array_join(F.col("is_duplicate_of").cast("array<string>"), ",").alias("is_duplicate_of")))
+Q.add("w8_page_of_candidates", lambda s, d: M.page_of(_adjacent(s, d), "case_id", 0, 2).select("case_id", "ref_id", "rank", "more", F.array_join(F.col("is_duplicate_of").cast("array<string>"), ",").alias("is_duplicate_of")))
 Q.add("e14_e16_rank", lambda s, d: M.rank(_scored(s, d), "case_id", earliest=True).select("case_id", "ref_id", F.round("adjusted", 6).alias("adjusted"), "rank", "rejection"))
 Q.add("e15_decisions", lambda s, d: M.decide(M.rank(_scored(s, d), "case_id"), "case_id").select("case_id", "winner", F.round("adjusted", 6).alias("adjusted"), "band"))
 
