@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marram.sources.folders import mounted, walk
+
 from .catalog import in_scope
 
 #: Extensions that are catalogued, files beside them, folders that are passed over.
@@ -32,6 +34,17 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return listing.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"), "content")
 
 
+def walk_audio(spark: SparkSession, root: str, follow_symlinks: bool = False) -> DataFrame:
+    """(path, size_bytes, mtime) of the catalogued files of a mounted folder, or of a single file.
+
+    Excluded folders are never opened, empty files have a row, and links count only if they
+    are followed.
+    """
+    files = walk(spark, root, follow_symlinks, EXCLUDED)
+    kept = files if follow_symlinks else files.filter("not symlink")
+    return kept.filter(file_class(mounted(root)) == "supported").select("path", "size_bytes", "mtime")
+
+
 def audio_only(files: DataFrame, root: str = "") -> DataFrame:
     """The files that are catalogued: of a known extension, no sidecar, in no excluded folder."""
     return files.filter(file_class(root) == "supported")

@@ -92,11 +92,13 @@ def score_singles(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def duplicates(scored: DataFrame, case: str, id_: str = "ref_id") -> DataFrame:
     """(case, ref_id, o_ref_id, o_source): candidates of other sources that hold the same release, both ways round.
 
-    Candidates of one case are a provider's few answers; they are paired on the case.
+    Candidates of one case are a provider's few answers; they are paired on the case.  The number
+    of tracks is ``n_tracks`` where there is such a column, else the size of ``tracks``.
     """
-    cols = (case, id_, "source", "album", "barcode", "release_id", "year", F.size("tracks").alias("n"))
+    n = F.col("n_tracks") if "n_tracks" in scored.columns else F.size("tracks")
+    cols = (case, id_, "source", "album", "barcode", "release_id", "year", n.alias("n"))
     a = scored.select(*cols)
-    b = scored.select(F.col(case), *[F.col(c).alias(f"o_{c}") for c in (id_, "source", "album", "barcode", "release_id", "year")], F.size("tracks").alias("o_n"))
+    b = scored.select(F.col(case), *[F.col(c).alias(f"o_{c}") for c in (id_, "source", "album", "barcode", "release_id", "year")], n.alias("o_n"))
     equal = lambda c: F.coalesce((F.col(c) != "") & (F.col(c) == F.col(f"o_{c}")), F.lit(False))
     years = F.coalesce(F.abs(F.col("year") - F.col("o_year")) <= 1, F.lit(True))
     joined = a.join(b, case).filter(F.col("source") != F.col("o_source"))

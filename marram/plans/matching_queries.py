@@ -94,6 +94,11 @@ def _scored(s, d):
     return M.score_albums(album_pairs(s, d))
 
 
+def _short(scored):
+    """What ranking reads, without the track lists: it is written between two steps."""
+    return scored.select("case_id", "source", "ref_id", "position", "album", "barcode", "release_id", "year", "original_year", "distance", "related", F.size("tracks").alias("n_tracks"))
+
+
 def _with_discs(pairs):
     """Local tracks on two discs; every tenth case has a track without one."""
     disc = lambda x, k: F.when((F.col("case_id") % 10 == 0) & (k == 0), F.lit(None)).otherwise(k % 2 + 1).cast("int")
@@ -101,17 +106,17 @@ def _with_discs(pairs):
 
 
 def _adjacent(s, d):
-    return M.rank(_scored(s, d), "case_id", earliest=True, adjacency=True)
+    return M.rank(_short(_scored(s, d)), "case_id", earliest=True, adjacency=True)
 
 
 Q.add("e10_alignment_cost", lambda s, d: M.aligned(album_pairs(s, d)).select("case_id", "ref_id", F.round(F.aggregate("alignment", F.lit(0.0), lambda a, x: a + x["cost"]), 6).alias("cost")))
 Q.add("e11_album_scores", lambda s, d: _scored(s, d).select("case_id", "ref_id", F.round("distance", 6).alias("distance"), "related", F.size("signals").alias("n_signals")))
-Q.add("e13_corroboration", lambda s, d: M.corroborators(_scored(s, d), "case_id").select("case_id", "ref_id", F.array_join("corroborated_by", ",").alias("corroborated_by")))
+Q.add("e13_corroboration", lambda s, d: M.corroborators(_short(_scored(s, d)), "case_id").select("case_id", "ref_id", F.array_join("corroborated_by", ",").alias("corroborated_by")))
 Q.add("e10_by_disc", lambda s, d: M.aligned(_with_discs(album_pairs(s, d))).select("case_id", "ref_id", F.size("alignment").alias("rows"), F.round(F.aggregate("alignment", F.lit(0.0), lambda a, x: a + x["cost"]), 6).alias("cost")))
 Q.add("e14_duplicates", lambda s, d: _adjacent(s, d).select("case_id", "ref_id", "rank", F.array_join(F.col("is_duplicate_of").cast("array<string>"), ",").alias("is_duplicate_of")))
 Q.add("w8_page_of_candidates", lambda s, d: M.page_of(_adjacent(s, d), "case_id", 0, 2).select("case_id", "ref_id", "rank", "more", F.array_join(F.col("is_duplicate_of").cast("array<string>"), ",").alias("is_duplicate_of")))
-Q.add("e14_e16_rank", lambda s, d: M.rank(_scored(s, d), "case_id", earliest=True).select("case_id", "ref_id", F.round("adjusted", 6).alias("adjusted"), "rank", "rejection"))
-Q.add("e15_decisions", lambda s, d: M.decide(M.rank(_scored(s, d), "case_id"), "case_id").select("case_id", "winner", F.round("adjusted", 6).alias("adjusted"), "band"))
+Q.add("e14_e16_rank", lambda s, d: M.rank(_short(_scored(s, d)), "case_id", earliest=True).select("case_id", "ref_id", F.round("adjusted", 6).alias("adjusted"), "rank", "rejection"))
+Q.add("e15_decisions", lambda s, d: M.decide(M.rank(_short(_scored(s, d)), "case_id"), "case_id").select("case_id", "winner", F.round("adjusted", 6).alias("adjusted"), "band"))
 
 
 def _singles(s, d):

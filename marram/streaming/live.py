@@ -12,8 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from marram.operators.changes import apply_changes
+from marram.sources.versioned import KeyedTable
 
 #: Seconds within which progress is held back.
 COALESCE = 0.25
@@ -108,6 +110,61 @@ def eval_state(text: str):
     return ast.literal_eval(text)
 
 
+class _Held(StatefulProcessor):
+    """Progress of a key: when it was last emitted, and what is held back until then."""
+
+    def __init__(self, seconds: float, names: list[str]):
+        self.seconds, self.names = seconds, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at double")
+        self.held = handle.getValueState("held", "at double, value double, due long")
+
+    def _out(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        if rows:
+            yield pd.DataFrame([(key[0], *r) for r in rows], columns=self.names)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0] if self.last.exists() else None
+        held = self.held.get() if self.held.exists() else None
+        own = Throttle((last, held and held[:2]), self.seconds)
+        pdf = pd.concat(list(rows)).sort_values(["at", "value"], kind="stable")
+        out = [r for at, value in zip(pdf["at"], pdf["value"], strict=True) for r in own.step(at, value)]
+        now, waiting = own.state()
+        self.last.update((now,))
+        if held is not None:
+            self.handle.deleteTimer(held[2])
+            self.held.clear()
+        if waiting is not None:
+            due = timerValues.getCurrentProcessingTimeInMs() + int(self.seconds * 1000)
+            self.held.update((*waiting, due))
+            self.handle.registerTimer(due)
+        yield from self._out(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.held.exists():
+            at, value, _ = self.held.get()
+            self.held.clear()
+            self.last.update((at,))
+            yield from self._out(key, [(at, value, True)])
+
+    def close(self) -> None:
+        pass
+
+
+def throttle_stream(rows: DataFrame, seconds: float = COALESCE) -> DataFrame:
+    """(key, at, value, flushed): progress of each key, at most once in ``seconds``.
+
+    What is held back comes out, flushed, once ``seconds`` have passed without a successor: a
+    timer of processing time sees to that, so the last row of a quiet key is never lost.  The
+    session's state store must be the one with column families (RocksDB).
+    """
+    schema = f"key {dict(rows.dtypes)['key']}, at double, value double, flushed boolean"
+    names = ["key", "at", "value", "flushed"]
+    return rows.select("key", "at", "value").groupBy("key").transformWithStateInPandas(_Held(seconds, names), schema, "append", "ProcessingTime")
+
+
 def replay(stream: DataFrame, seq: str, after: int) -> DataFrame:
     """Events behind a cursor, as they arrive."""
     return stream.filter(F.col(seq) > after)
@@ -128,3 +185,23 @@ def incremental_scan(listing: DataFrame, catalog: DataFrame, target: str, root:
         apply_changes(listed, before, root, number).write.mode("overwrite").parquet(f"{target}/v{number}")
 
     return listing.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: Columns of a catalogue that a stream of listings keeps up to date.
+CATALOG = "path string, size_bytes long, mtime long, missing_since long"
+
+
+def keep_catalog(listing: DataFrame, table: KeyedTable, checkpoint: str, keep: int = 3):
+    """Merge every batch of a listing stream (path, size_bytes, mtime) into a catalogue by path.
+
+    A batch writes the buckets of its paths alone, and nothing where no row changes, so one that
+    runs again changes nothing; the newest row of a path in a batch counts, and a path that is
+    listed again is missing no more.  The latest ``keep`` versions stay.
+    """
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        newest = batch.groupBy("path").agg(F.max(F.struct("mtime", "size_bytes")).alias("m")).select("path", "m.size_bytes", "m.mtime", F.lit(None).cast("long").alias("missing_since"))
+        table.merge(newest)
+        table.expire(keep)
+
+    return listing.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
