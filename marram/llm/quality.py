@@ -1,13 +1,18 @@
 """Quality rules with risk-controlled thresholds.
 
-A rule rejects a document when a statistic of its text lies above a cutoff.  Cutoffs are
-chosen per stratum (language) from labelled documents: a cutoff may be used only if an
-exact binomial test shows, at a confidence corrected for the number of rules and strata,
-that it rejects at most ``ALPHA`` of the stratum's good documents.  Cutoffs are tested from
-the most lenient to the strictest and testing stops at the first that fails (fixed-sequence
-testing), so no correction for the number of cutoffs is due.  Of the certified cutoffs the
-one with the largest surplus of rejected bad over rejected good documents is used; of equal
-ones, the most lenient.
+A rule rejects a document when a statistic of its text lies above a cutoff; a document goes if
+any rule rejects it.  Cutoffs are chosen per stratum (language) from labelled documents, so that
+all rules together reject at most ``ALPHA`` of the stratum's good documents:
+
+1. One half of the good documents and the bad ones give a path: starting from no rule, each
+   step lowers one statistic's cutoff where that catches the most bad for the fewest good.
+   Along the path the rules reject more and more.
+2. On the other half of the good documents, which had no part in the path, an exact binomial
+   test certifies what the rules of a step reject in union.  Steps are tested in order and
+   testing stops at the first that fails (fixed-sequence testing), so no correction for their
+   number is due; the confidence is corrected for the number of strata.
+3. Of the certified steps the one with the largest surplus of rejected bad over rejected good
+   documents is used; of equal ones, the most lenient.
 """
 
 from __future__ import annotations
@@ -19,11 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Words, chunks, map_texts, materialise, mix
+from .common import NOT_SPACE, Words, chunks, discard, map_texts, materialise, mix
 
-#: Largest certified share of good documents that one rule may reject in one stratum.
+#: Largest certified share of good documents that all rules together may reject in one stratum.
 ALPHA = 0.01
-#: Chance that any certificate is wrong, over all rules and strata.
+#: Chance that any certificate is wrong, over all strata.
 DELTA = 0.05
 #: Statistics that rules look at, each between 0 and 1.
 STATISTICS = ("symbol_share", "dup_line_share", "repeat_share", "upper_share", "mark_share", "short_share")
@@ -131,23 +136,23 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top + math.log(total)))
 
 
-def choose_cutoffs(bins: pd.DataFrame, alpha: float = ALPHA, delta: float = DELTA, tests: int | None = None) -> pd.DataFrame:
+def choose_cutoffs(bins: pd.DataFrame, alpha: float = ALPHA, delta: float = DELTA, tests: int | None = None, grid: int = GRID) -> pd.DataFrame:
     """Certified cutoffs from histograms (stratum, statistic, bin, good, bad).
 
     A row (stratum, statistic, cutoff, good_rejected, good, bad_rejected, bad, p_value)
-    means: reject where floor(statistic * GRID) >= cutoff.  Rules without a useful
-    certified cutoff have no row.  ``tests`` counts rules and strata, also those left out of
-    ``bins``; by default, those in it.
+    means: reject where the bin is at least cutoff; bins go from 0 to ``grid``.  Sequences
+    without a useful certified cutoff have no row.  ``tests`` counts sequences, also those left
+    out of ``bins``; by default, every statistic in each stratum of it.
     """
     out = []
     tests = tests or max(1, bins["stratum"].nunique() * len(STATISTICS))
     for (stratum, statistic), part in bins.groupby(["stratum", "statistic"], sort=True):
-        good, bad = (np.zeros(GRID + 1, np.int64) for _ in range(2))
+        good, bad = (np.zeros(grid + 1, np.int64) for _ in range(2))
         np.add.at(good, part["bin"].to_numpy(int), part["good"].to_numpy(int))
         np.add.at(bad, part["bin"].to_numpy(int), part["bad"].to_numpy(int))
         n, above_good, above_bad = int(good.sum()), np.cumsum(good[::-1])[::-1], np.cumsum(bad[::-1])[::-1]
         best = None
-        for cutoff in range(GRID, 0, -1):
+        for cutoff in range(grid, 0, -1):
             p = binomial_tail(int(above_good[cutoff]), n, alpha) if n else 1.0
             if p > delta / tests:
                 break
@@ -164,28 +169,77 @@ def stratum(lang: str = "lang") -> F.Column:
     return F.coalesce(F.lower(F.col(lang).cast("string")), F.lit("none"))
 
 
+#: Steps of a path at most: each lowers one of the cutoffs.
+STEPS = len(STATISTICS) * GRID
+
+
+def path_of(bins: pd.DataFrame) -> list[tuple[str, int]]:
+    """The steps (statistic, cutoff) of one stratum, from histograms (statistic, bin, good, bad).
+
+    Each step lowers the cutoff of the statistic that gains most: the most bad documents for a
+    good one, of those not yet above its cutoff.  It ends where no cutoff gains more bad than good.
+    """
+    count = {s: np.zeros((2, GRID + 1), np.int64) for s in STATISTICS}
+    for r in bins.itertuples():
+        count[r.statistic][:, r.bin] += (r.good, r.bad)
+    now, steps = dict.fromkeys(STATISTICS, GRID + 1), []
+    while True:
+        best = None
+        for s in STATISTICS:
+            good, bad = (np.cumsum(c[now[s] - 1 : 0 : -1]) for c in count[s])
+            gain = np.where(bad > good, bad / (good + 1), 0.0)
+            if len(gain) and gain.max() > 0 and (best is None or gain.max() > best[0]):
+                best = (gain.max(), s, now[s] - 1 - int(gain.argmax()))
+        if best is None:
+            return steps
+        _, s, now[s] = best
+        steps.append((s, now[s]))
+
+
+def _first_steps(steps: list[tuple[str, int]]) -> list[list[int]]:
+    """For each statistic and bin the first step (from 1) that rejects it, 0 if none does."""
+    out = [[0] * (GRID + 1) for _ in STATISTICS]
+    for k in range(len(steps), 0, -1):
+        s, cutoff = steps[k - 1]
+        out[STATISTICS.index(s)][cutoff:] = [k] * (GRID + 1 - cutoff)
+    return out
+
+
 def calibrate(stats: DataFrame, labels: DataFrame) -> pd.DataFrame:
-    """Histogram the labelled documents in Spark, then choose cutoffs from the histogram.
+    """(stratum, statistic, cutoff) of the certified rules, from histograms made in Spark.
 
-    Every language is a stratum.  Only strata with enough good documents to certify a cutoff
-    that rejects none of them reach the driver, each as len(STATISTICS) * (GRID + 1) rows at
-    most; all count as tests.  Documents that fail the base rules are no part of the
-    holdout: they are rejected already.  A document with several labels counts once, as bad
-    if any label says so.
+    Every language is a stratum.  Only strata with enough good documents to certify a step that
+    rejects none of them reach the driver, each as len(STATISTICS) * (GRID + 1) rows and then
+    STEPS + 1 rows at most; all count as tests.  Documents that fail the base rules are no part
+    of the holdout: they are rejected already.  A document with several labels counts once, as
+    bad if any label says so; good ones are halved by a hash of their doc_id.
     """
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    level = lambda s: F.floor(F.col(s) * GRID).cast("int")
     held = stats.filter(~base_failed()).join(marks, "doc_id")
-    pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.floor(F.col(s) * GRID).cast("int").alias("bin")) for s in STATISTICS]))
-    hist = (
-        held.select("stratum", (F.col("quality") > 0).alias("ok"), pairs.alias("p"))
-        .groupBy("stratum", "p.statistic", "p.bin")
-        .agg(F.count_if("ok").alias("good"), F.count_if(~F.col("ok")).alias("bad"))
-    )
-    hist = materialise(hist, "quality-bins")
-    strata = hist.filter(F.col("statistic") == STATISTICS[0]).groupBy("stratum").agg(F.sum("good").alias("n"))
-    tests = max(1, strata.count() * len(STATISTICS))
+    held = materialise(held.select("stratum", (F.col("quality") > 0).alias("ok"), (F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0).alias("fit"), F.array(*[level(s) for s in STATISTICS]).alias("bins")), "quality-held")
+    proof = F.col("ok") & ~F.col("fit")
+    strata = held.groupBy("stratum").agg(F.count_if(proof).alias("n"))
+    tests = max(1, strata.count())
     able = strata.filter(F.col("n") >= math.floor(math.log(DELTA / tests) / math.log1p(-ALPHA))).select("stratum")
-    return choose_cutoffs(hist.join(able, "stratum", "left_semi").toPandas(), tests=tests)
+    used = held.join(able, "stratum", "left_semi")
+    names = F.array(*map(F.lit, STATISTICS))
+    cells = used.select("stratum", "ok", "fit", F.explode(F.arrays_zip(names.alias("statistic"), F.col("bins").alias("bin"))).alias("p")).select("stratum", "ok", "fit", "p.*")
+    bins = cells.groupBy("stratum", "statistic", "bin").agg(F.count_if(F.col("ok") & F.col("fit")).alias("good"), F.count_if(~F.col("ok")).alias("bad")).toPandas()
+    paths = {s: path_of(part) for s, part in bins.groupby("stratum")}
+    rows = [(s, _first_steps(p)) for s, p in paths.items() if p]
+    none = pd.DataFrame([], columns=["stratum", "statistic", "cutoff"])
+    if rows:
+        firsts = held.sparkSession.createDataFrame(rows, "stratum string, firsts array<array<int>>")
+        step = F.array_min(F.filter(F.zip_with("firsts", "bins", lambda f, b: F.get(f, b)), lambda k: k > 0))
+        # The earlier a step rejects a document, the higher its bin in the sequence of tests.
+        seen = used.join(firsts, "stratum").select("stratum", F.coalesce(F.lit(STEPS + 1) - step, F.lit(0)).alias("bin"), proof.alias("good"), (~F.col("ok")).alias("bad"))
+        hist = seen.groupBy("stratum", "bin").agg(F.count_if("good").alias("good"), F.count_if("bad").alias("bad")).toPandas().assign(statistic="path")
+        chosen = choose_cutoffs(hist, tests=tests, grid=STEPS)
+        cutoffs = {(r.stratum, s): c for r in chosen.itertuples() for s, c in paths[r.stratum][: STEPS + 1 - r.cutoff]}
+        none = pd.DataFrame([(*k, c) for k, c in cutoffs.items()], columns=none.columns)
+    discard(held)
+    return none
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
