@@ -1,13 +1,17 @@
 """Licence scans by a positional rare-token index, in Spark expressions only.
 
-The index maps the longer words of each licence template to their (template, position)
-postings, and every such word of a file is looked up.  A word at position i of the file that
-stands at position p of a template votes for the alignment i - p; alignments with ``AGREE``
-votes are candidates.  A candidate counts if the template's key phrase stands word for word
-where the alignment puts it and at least ``COVER`` of the template's words are in place.
-Every key phrase has AGREE indexed words, so no alignment that counts is passed over.
-
-All of it is local to a row: nothing is shuffled or collected.
+1. One pass counts, for each word of the templates' key phrases, the files that hold it: its
+   inverse document frequency over the whole corpus.
+2. The index posts the ``RAREST`` words of highest inverse document frequency of each key
+   phrase, with their positions.  Rarity is taken a template, not a file: a file with several
+   licences is looked up for every one of them, at all occurrences of its posted words.
+3. A word at position i of the file that stands at position p of a template puts the template
+   at i - p.  Where all posted words of a template agree, and only there, it is a candidate; as
+   the key phrase is mandatory, no alignment that counts is passed over.
+4. A candidate counts if the key phrase stands there word for word and at least ``COVER`` of the
+   template's words are in place.
+
+The second pass is local to a row: nothing is shuffled.  The driver gets one count a word.
 """
 
 from __future__ import annotations
@@ -37,11 +41,9 @@ TEMPLATES = [
 ]
 #: Base phrases and their labels.
 PHRASES = [(("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl")]
-#: Words of fewer letters have no postings.
-RARE_LETTERS = 3
-#: Words of some length that are no sign of a licence.
-COMMON = ("the", "and", "any", "are", "can", "for", "not", "you", "use", "this", "that", "with", "will", "under", "into")
-AGREE, COVER = 2, 0.75
+#: Posted words of a template, all of which must agree.
+RAREST = AGREE = 2
+COVER = 0.75
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,21 +60,43 @@ def _parsed() -> list[tuple[str, list[str], int, int]]:
 
 
 TEMPLATE_WORDS = _parsed()
+#: (template, position) of the words of key phrases.
 POSTINGS: dict[str, list[tuple[int, int]]] = {}
-for _t, (_, _words, _, _) in enumerate(TEMPLATE_WORDS):
-    for _p, _w in enumerate(_words):
-        if len(_w) >= RARE_LETTERS and _w not in COMMON:
-            POSTINGS.setdefault(_w, []).append((_t, _p))
+for _t, (_, _words, _first, _size) in enumerate(TEMPLATE_WORDS):
+    for _p in range(_first, _first + _size):
+        POSTINGS.setdefault(_words[_p], []).append((_t, _p))
 
 
 def _low(c: F.Column) -> F.Column:
     return F.translate(c, _UP, _LOW)
 
 
-def word_hits(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """The ``_keep`` columns and words of each text, and ``_hits``: (i, w) of those that base phrases or templates hold."""
-    vocabulary = sorted({*POSTINGS, *(w for words, _ in PHRASES for w in words)})
-    words = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_keep"), F.regexp_extract_all(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD), F.lit(0)).alias("_words"))
+def _words(text: str) -> F.Column:
+    return F.regexp_extract_all(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD), F.lit(0))
+
+
+def document_frequency(docs: DataFrame, text: str = "text") -> dict[str, int]:
+    """The number of texts that hold each word of the key phrases; one row a word reaches the driver."""
+    known = sorted(POSTINGS)
+    own = F.array_distinct(F.transform(F.filter(_words(text), lambda w: F.lower(w).isin(known)), _low))
+    held = docs.select(F.explode(F.filter(own, lambda w: w.isin(known))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return {r["w"]: r["n"] for r in held.collect()}
+
+
+def rare_index(frequency: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
+    """(template, position) postings of each key phrase's RAREST words of highest inverse document frequency."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    for t, (_, words, first, size) in enumerate(TEMPLATE_WORDS):
+        rare = sorted(range(first, first + size), key=lambda p: (frequency.get(words[p], 0), words[p], p))
+        for p in rare[:RAREST]:
+            out.setdefault(words[p], []).append((t, p))
+    return out
+
+
+def word_hits(docs: DataFrame, text: str, keep: tuple[str, ...], index: dict[str, list[tuple[int, int]]]) -> DataFrame:
+    """The ``_keep`` columns and words of each text, and ``_hits``: (i, w) of those that base phrases or the index hold."""
+    vocabulary = sorted({*index, *(w for words, _ in PHRASES for w in words)})
+    words = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_keep"), _words(text).alias("_words"))
     at = F.array_compact(F.transform("_words", lambda w, i: F.when(F.lower(w).isin(vocabulary), i)))
     spots = words.withColumn("_at", at)
     # lower() also maps some letters beyond A-Z; only A-Z may count.
@@ -84,10 +108,11 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     """``keep`` columns and the scan's result for every row of ``docs``.
 
     A null or empty text has no words and no labels, and score 0; an empty table gives no
-    rows.  Rows are independent, so repeated ones are judged alike and no other row counts;
-    a text of any length is read whole.  ``keep`` columns may have any names.
+    rows.  Other rows decide only which words are posted, never what is found, so repeated rows
+    are judged alike; a text of any length is read whole.  ``keep`` columns may have any names.
     """
-    hits = word_hits(docs, text, keep)
+    index = rare_index(document_frequency(docs, text))
+    hits = word_hits(docs, text, keep, index)
     at = lambda i: _low(F.get("_words", i))
 
     def phrase(h):
@@ -101,8 +126,8 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
         return c
 
     found = hits.withColumn("_base", F.array_compact(F.transform("_hits", phrase)))
-    votes = F.create_map(*[x for w in sorted(POSTINGS) for x in (F.lit(w), F.array(*[F.lit(t * _STEP + _SHIFT - p).cast("long") for t, p in POSTINGS[w]]))])
-    own = F.filter("_hits", lambda h: h["w"].isin(sorted(POSTINGS)))
+    votes = F.create_map(*[x for w in sorted(index) for x in (F.lit(w), F.array(*[F.lit(t * _STEP + _SHIFT - p).cast("long") for t, p in index[w]]))])
+    own = F.filter("_hits", lambda h: h["w"].isin(sorted(index)))
     found = found.withColumn("_own", F.when(F.size("_hits") >= AGREE, own).otherwise(F.array().cast("array<struct<i:int,w:string>>")))
     voted = F.transform("_own", lambda h: F.transform(F.element_at(votes, h["w"]), lambda v: v + h["i"]))
     found = found.withColumn("_votes", F.sort_array(F.flatten(voted)))
