@@ -177,6 +177,9 @@ Q.add("b8_filename", _t(lambda t: t.selectExpr("id", _NAME.format(s="STRING") +
 Q.add("b10_b11_parsing", _t(lambda t: t.select("id", S.of_total(F.concat(F.col("track_no").cast("string"), F.lit("/"), F.coalesce(F.col("track_total").cast("string"), F.lit("x")))).alias("p"), S.year_of(F.concat(F.col("year").cast("string"), F.lit("-05"))).alias("y"), S.clock_ms(F.concat(F.col("track_no").cast("string"), F.lit(":07"))).alias("ms"), S.lenient_float(F.lit("-6.50 dB")).alias("gain"), S.lenient_int(F.lit(" 12 ")).alias("n")).select("id", "p.number", "p.total", "y", "ms", "gain", "n")), T + "SELECT id, track_no AS number, track_total AS total, year AS y, (track_no * 60 + 7) * 1000::BIGINT AS ms, -6.5::DOUBLE AS gain, 12 AS n FROM tracks")
 Q.add("b12_candidate_url", lambda s, d: table(s, d, "pages").select("page_id", S.candidate_url(F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("https://www.discogs.com/release/"), (F.col("page_id") + 1).cast("string"), F.lit("-x"))).when(F.col("page_id") % 4 == 1, F.concat(F.lit("https://www.deezer.com/en/album/"), F.col("page_id").cast("string"))).otherwise(F.col("url"))).alias("u")).select("page_id", "u.provider", "u.type", "u.id"), "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'discogs' WHEN 1 THEN 'deezer' END AS provider, CASE page_id % 4 WHEN 0 THEN 'release' WHEN 1 THEN 'album' END AS type, CASE page_id % 4 WHEN 0 THEN CAST(page_id + 1 AS VARCHAR) WHEN 1 THEN CAST(page_id AS VARCHAR) END AS id FROM pages")
 Q.add("b19_digest", lambda s, d: table(s, d, "region").select("r_regionkey", S.digest(table(s, d, "region"), "r_regionkey", "r_name").alias("digest")), "SELECT r_regionkey, sha256('{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}') AS digest FROM region")
+_ISRC = "concat('us-', CASE WHEN id % 3 = 0 THEN 'ab' ELSE 'Z9' END, CAST(id % 10 AS {s}), '-', CAST(10 + id % 90 AS {s}), ' ', CAST(10000 + id AS {s}), CASE WHEN id % 4 = 0 THEN 'x' ELSE '' END)"
+_UUID = "concat(substr(md5(path), 1, 8), '-', substr(md5(path), 9, 4), '-', substr(md5(path), 13, 4), '-', substr(md5(path), 17, 4), '-', substr(md5(path), 21, CASE WHEN id % 5 = 0 THEN 11 ELSE 12 END))"
+Q.add("b5_b6_codes", _t(lambda t: t.selectExpr("id", _ISRC.format(s="STRING") + " AS isrc", f"concat(' ', upper({_UUID}), '\t') AS mbid").select("id", S.recording_code(F.col("isrc")).alias("isrc"), S.release_id(F.col("mbid")).alias("mbid"))), T + f"SELECT id, CASE WHEN id % 4 <> 0 AND id < 90000 THEN upper(replace(replace({_ISRC.format(s='VARCHAR')}, '-', ''), ' ', '')) END AS isrc, CASE WHEN id % 5 <> 0 THEN {_UUID} END AS mbid FROM tracks")
 _EXT = [".mp3", ".FLAC", ".ogg", ".opus", ".m4a", ".wav", ".aiff", ".Aif", ".aac", ""]
 Q.add("b14_format_labels", _t(lambda t: t.select("id", S.format_label(F.concat(F.lit("lib/a.b/x"), F.element_at(F.array(*map(F.lit, _EXT)), (F.col("id") % len(_EXT)).cast("int") + 1))).alias("label"))), T + f"SELECT id, CASE lower({_EXT}[id % {len(_EXT)} + 1]) WHEN '.mp3' THEN 'MP3' WHEN '.flac' THEN 'FLAC' WHEN '.ogg' THEN 'OGG' WHEN '.opus' THEN 'Opus' WHEN '.m4a' THEN 'MP4' WHEN '.wav' THEN 'WAV' WHEN '.aiff' THEN 'AIFF' WHEN '.aif' THEN 'AIFF' END AS label FROM tracks")
 

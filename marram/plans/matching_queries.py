@@ -45,6 +45,18 @@ Q.add("l9_visible_groups", lambda s, d: D.visible(_known(s, d), 20), f"WITH {MAT
 
 # Names
 Q.add("b1_match_key", lambda s, d: tracks(s, d).select("id", match_key_column(F.concat(F.lit("The "), "title", F.lit(" (Remastered 2009) [feat. É] Pt. II"))).alias("key")), f"WITH {TRACKS} SELECT id, coalesce(title || ' feat e pt 2', '') AS key FROM tracks")
+_FORMS = [lambda t: t, lambda t: F.concat(F.lit("The "), t), lambda t: F.concat(t, F.lit(" (Remastered 2009)")), lambda t: F.concat(t, F.lit(" ft. Zed")), lambda t: F.concat(t, F.lit(" Vol. VII")), lambda t: F.concat(F.upper(t), F.lit("!")), lambda t: F.concat(F.lit("\u00c1 "), t), lambda t: F.concat(t, F.lit(" [Explicit]  with\tNo. IX"))]
+
+
+def _in_forms(t):
+    out = F.lit(None).cast("string")
+    for k, form in enumerate(_FORMS):
+        out = F.when(F.col("id") % len(_FORMS) == k, form(F.col("title"))).otherwise(out)
+    return t.select("id", match_key_column(out).alias("key"))
+
+
+Q.add("b1_match_key_forms", lambda s, d: _in_forms(tracks(s, d)), f"WITH {TRACKS} SELECT id, coalesce(title || CASE id % 8 WHEN 3 THEN ' feat zed' WHEN 4 THEN ' vol 7' WHEN 7 THEN ' feat no 9' ELSE '' END, '') AS key FROM tracks")
+Q.add("s7_composed_path", lambda s, d: tracks(s, d).select("id", path_key_column(F.concat("path", F.when(F.col("id") % 2 == 0, F.lit("e\u0301")).otherwise(F.lit("o\u0308")))).alias("key")), f"WITH {TRACKS} SELECT id, path || CASE WHEN id % 2 = 0 THEN 'é' ELSE 'ö' END AS key FROM tracks")
 Q.add("b3_name_distance", lambda s, d: tracks(s, d).select("title", "album").distinct().select("title", "album", F.round(name_distance_column("title", "album"), 6).alias("distance")))
 Q.add("s7_path_key", lambda s, d: tracks(s, d).select("id", path_key_column(F.concat("path", F.lit("é"))).alias("key")), f"WITH {TRACKS} SELECT id, path || 'é' AS key FROM tracks")
 
@@ -129,6 +141,14 @@ Q.add("e9_e12_single_scores", lambda s, d: M.score_singles(_singles(s, d), ["cas
 Q.add("e18_local_evidence", lambda s, d: M.local_names(tracks(s, d).select("id", "title", F.lit(None).cast("string").alias("artist"), F.concat(F.lit("01 Artist - "), F.col("id").cast("string"), F.lit(".mp3")).alias("name")), "name").select("id", "title", "artist"), f"WITH {TRACKS} SELECT id, coalesce(title, CAST(id AS VARCHAR)) AS title, 'Artist' AS artist FROM tracks")
 
 
+_FILE = "CASE id % 4 WHEN 0 THEN concat('01 - Band ', CAST(id % 9 AS {s}), ' - Song ', CAST(id AS {s}), '.mp3') WHEN 1 THEN concat('Take ', CAST(id AS {s}), '.flac') WHEN 2 THEN concat('dir - x/', '7. Trio - Part - ', CAST(id AS {s}), '.ogg') ELSE '.mp3' END"
+Q.add(
+    "e18_file_names",
+    lambda s, d: M.local_names(tracks(s, d).selectExpr("id", "CASE WHEN id % 3 = 0 THEN title END AS title", "CASE WHEN id % 6 = 0 THEN artist END AS artist", _FILE.format(s="STRING") + " AS name"), "name").select("id", "title", "artist"),
+    f"WITH {TRACKS} SELECT id, coalesce(CASE WHEN id % 3 = 0 THEN title END, CASE id % 4 WHEN 0 THEN 'Song ' || id WHEN 1 THEN 'Take ' || id WHEN 2 THEN 'Part - ' || id ELSE '.mp3' END) AS title, coalesce(CASE WHEN id % 6 = 0 THEN artist END, CASE id % 4 WHEN 0 THEN 'Band ' || (id % 9) WHEN 2 THEN 'Trio' END) AS artist FROM tracks",
+)
+
+
 def _ranked_events(s, d):
     w = Window.partitionBy("user_id").orderBy("value", "event_id")
     return table(s, d, "events").select(F.col("user_id").alias("case_id"), F.col("event_type").alias("source"), F.col("event_id").cast("string").alias("ref_id"), F.row_number().over(w).alias("rank"))
