@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marram.sources.shared import written
+from marram.sources.versioned import BUCKETS, KeyedTable
+
 from .ordered import best_match
 
 
@@ -55,9 +58,12 @@ def quality(matches: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def reconcile(new: DataFrame, known: DataFrame, key: str = "mb_recording_id") -> DataFrame:
-    """(key, action): created, updated, removed, or kept dismissed, over the union of keys."""
+    """(key, action): created, updated, removed, or kept dismissed, over the union of keys.
+
+    A dismissed group stays as it is, whether it would be found again or not.
+    """
     n, k = new.select(key, F.lit(True).alias("found")), known.select(key, F.coalesce("dismissed", F.lit(False)).alias("dismissed"), F.lit(True).alias("stored"))
-    action = F.when(F.col("dismissed") & F.col("found"), "dismissed_skipped").when(F.col("stored").isNull(), "created").when(F.col("found").isNull(), "removed").otherwise("updated")
+    action = F.when(F.col("dismissed"), "dismissed_skipped").when(F.col("stored").isNull(), "created").when(F.col("found").isNull(), "removed").otherwise("updated")
     return n.join(k, key, "full_outer").select(key, action.alias("action"))
 
 
@@ -75,3 +81,42 @@ def stale_members(stored: DataFrame, now: DataFrame) -> DataFrame:
 def visible(groups: DataFrame, limit: int = 100) -> DataFrame:
     """Groups that are not dismissed, the newest first."""
     return groups.filter(~F.coalesce("dismissed", F.lit(False))).orderBy(F.desc("id")).limit(limit)
+
+
+#: Columns of a stored group beside its key and whether it is dismissed.
+EVIDENCE = "members long, mean_score double, spread_ms long, spread_percent double, formats long, confidence double, label string, is_uncertain boolean, is_false_positive boolean"
+
+
+class DuplicateStore:
+    """Duplicate groups and their members, as two keyed tables under ``root``."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.groups = KeyedTable(spark, f"{root}/groups", f"mb_recording_id string, {EVIDENCE}, dismissed boolean", ["mb_recording_id"], buckets)
+        self.members = KeyedTable(spark, f"{root}/members", "mb_recording_id string, track_id long", ["mb_recording_id", "track_id"], buckets)
+
+    def dismiss(self, keys: DataFrame, dismissed: bool = True) -> None:
+        """Dismiss the groups of ``keys`` (mb_recording_id), or take them up again."""
+        self.groups.merge(self.groups.read().join(keys, "mb_recording_id", "left_semi").withColumn("dismissed", F.lit(dismissed)))
+
+    def run(self, matches: DataFrame, tracks: DataFrame) -> dict[str, int]:
+        """Detect duplicates anew and store what changes: groups that no longer qualify go, dismissed ones stay.
+
+        Gives the numbers of groups created, updated (found and there before), removed and
+        dismissed_skipped.  The same matches again change no stored row.
+        """
+        key = "mb_recording_id"
+        found = written(evidence(matches, tracks), "duplicate-evidence")
+        actions = written(reconcile(found, self.groups.read()), "duplicate-actions")
+        open_ = actions.filter("action in ('created', 'updated')").select(key)
+        names = [c.split()[0] for c in EVIDENCE.split(", ")]
+        put = found.join(open_, key, "left_semi").select(key, *names).withColumns({"dismissed": F.lit(False), "removed": F.lit(False)})
+        gone = actions.filter("action = 'removed'").select(key)
+        drop = self.groups.read().join(gone, key, "left_semi").withColumn("removed", F.lit(True))
+        now = written(members(matches, tracks).join(open_, key, "left_semi"), "duplicate-members")
+        # Members of dismissed groups stay with them.
+        stored = self.members.read().join(actions.filter("action <> 'dismissed_skipped'").select(key), key, "left_semi")
+        left = stale_members(stored, now).withColumn("removed", F.lit(True))
+        self.groups.merge(put.unionByName(drop))
+        self.members.merge(now.withColumn("removed", F.lit(False)).unionByName(left))
+        count = {r["action"]: r["n"] for r in actions.groupBy("action").agg(F.count("*").alias("n")).collect()}
+        return {k: count.get(k, 0) for k in ("created", "updated", "removed", "dismissed_skipped")}

@@ -39,7 +39,21 @@ def _known(s, d):
 
 
 _KNOWN = ", known AS (SELECT mb_recording_id, min(id) % 3 = 0 AS dismissed, min(id) AS id FROM matches WHERE id % 7 = 0 GROUP BY 1)"
-Q.add("j7_reconcile", lambda s, d: D.reconcile(_evidence(s, d), _known(s, d)), _EVIDENCE + _KNOWN + " SELECT coalesce(k.mb_recording_id, n.mb_recording_id) AS mb_recording_id, CASE WHEN n.dismissed AND k.mb_recording_id IS NOT NULL THEN 'dismissed_skipped' WHEN n.mb_recording_id IS NULL THEN 'created' WHEN k.mb_recording_id IS NULL THEN 'removed' ELSE 'updated' END AS action FROM k FULL JOIN known n ON n.mb_recording_id = k.mb_recording_id")
+Q.add("j7_reconcile", lambda s, d: D.reconcile(_evidence(s, d), _known(s, d)), _EVIDENCE + _KNOWN + " SELECT coalesce(k.mb_recording_id, n.mb_recording_id) AS mb_recording_id, CASE WHEN n.dismissed THEN 'dismissed_skipped' WHEN n.mb_recording_id IS NULL THEN 'created' WHEN k.mb_recording_id IS NULL THEN 'removed' ELSE 'updated' END AS action FROM k FULL JOIN known n ON n.mb_recording_id = k.mb_recording_id")
+
+
+def _stored_duplicates(s, d):
+    """Half of the matches first; some groups are dismissed; then all of them."""
+    store = D.DuplicateStore(s, shared_path(s, "duplicates"))
+    store.run(matches(s, d).filter("id % 2 = 0"), tracks(s, d))
+    store.dismiss(store.groups.read().filter("mb_recording_id like '%-1%'").select("mb_recording_id"))
+    store.run(matches(s, d), tracks(s, d))
+    return store.groups.read().selectExpr("mb_recording_id", "members", "round(mean_score, 6) AS mean_score", "spread_ms", "formats", "round(confidence, 6) AS confidence", "label", "dismissed")
+
+
+_KEPT = "mb_recording_id, members, round(mean_score, 6) AS mean_score, spread_ms, formats, round(confidence, 6) AS confidence, CASE WHEN confidence >= 0.75 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS label"
+_PASS = "(WITH matches AS (SELECT * FROM all_matches WHERE {w})" + _EVIDENCE[len(TM) :].replace("{", "{{").replace("}", "}}") + f" SELECT {_KEPT} FROM k)"
+Q.add("j7_stored_groups", _stored_duplicates, f"WITH {TRACKS}, {MATCHES.replace('matches AS', 'all_matches AS', 1)}, e1 AS {_PASS.format(w='id % 2 = 0')}, e2 AS {_PASS.format(w='true')} SELECT *, true AS dismissed FROM e1 WHERE mb_recording_id LIKE '%-1%' UNION ALL SELECT *, false FROM e2 WHERE mb_recording_id NOT IN (SELECT mb_recording_id FROM e1 WHERE mb_recording_id LIKE '%-1%')")
 Q.add("u3_stale_members", lambda s, d: D.stale_members(matches(s, d).select("mb_recording_id", "track_id").distinct(), D.members(matches(s, d), tracks(s, d))), _CLAIMED + ", m AS (SELECT mb_recording_id, track_id FROM c QUALIFY count(*) OVER (PARTITION BY mb_recording_id) >= 2) SELECT DISTINCT mb_recording_id, track_id FROM matches EXCEPT SELECT mb_recording_id, track_id FROM m")
 Q.add("l9_visible_groups", lambda s, d: D.visible(_known(s, d), 20), f"WITH {MATCHES}{_KNOWN} SELECT mb_recording_id, dismissed, id FROM known WHERE NOT dismissed ORDER BY id DESC LIMIT 20")
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marram.functions.text import key_distance, match_key
+from marram.operators import duplicates as D
 from marram.operators import grouping as G
 from marram.sources.versioned import KeyedTable
 
@@ -183,3 +184,21 @@ def test_scoped_runs_leave_mixed_groups(spark, tmp_path):
     assert store.run(renamed, none, root="lib") == {"created": 1, "updated": 0, "tracks_grouped": 2, "tracks_skipped_pinned": 0}
     home = {r["id"]: r["key"] for r in store.members.read().collect()}
     assert home[1] == home[2] != home[3] == home[4]
+
+
+def test_stored_duplicates_follow_matches_and_dismissals(spark, tmp_path):
+    tracks = spark.createDataFrame([(i, 1000 * i, "MP3", 5, i == 9) for i in range(1, 10)], "id long, duration_ms long, format string, size_bytes long, is_missing boolean")
+    match = lambda rows: spark.createDataFrame([(k, t, r, s) for k, (t, r, s) in enumerate(rows)], "id long, track_id long, mb_recording_id string, score double")
+    store = D.DuplicateStore(spark, f"file://{tmp_path}", buckets=4)
+    first = [(1, "a", 0.9), (2, "a", 0.8), (3, "b", 0.9), (4, "b", 0.9), (5, "c", 0.5), (6, "c", 0.6), (9, "d", 1.0), (7, "d", 1.0)]
+    assert store.run(match(first), tracks) == {"created": 3, "updated": 0, "removed": 0, "dismissed_skipped": 0}
+    assert store.run(match(first), tracks) == {"created": 0, "updated": 3, "removed": 0, "dismissed_skipped": 0}
+    assert store.groups.version() == store.members.version() == 1
+    store.dismiss(spark.createDataFrame([("b",)], "mb_recording_id string"))
+    # b has nothing left but is dismissed; c goes; a gains a member and loses one; e is new.
+    then = [(1, "a", 0.9), (2, "e", 0.8), (3, "a", 0.9), (4, "e", 0.9), (5, "c", 0.5)]
+    assert store.run(match(then), tracks) == {"created": 1, "updated": 1, "removed": 1, "dismissed_skipped": 1}
+    assert {(r["mb_recording_id"], r["dismissed"], r["members"]) for r in store.groups.read().collect()} == {("a", False, 2), ("b", True, 2), ("e", False, 2)}
+    assert {tuple(r) for r in store.members.read().collect()} == {("a", 1), ("a", 3), ("b", 3), ("b", 4), ("e", 2), ("e", 4)}
+    store.dismiss(spark.createDataFrame([("b",)], "mb_recording_id string"), False)
+    assert store.run(match(then), tracks)["removed"] == 1 and store.groups.read().count() == 2
