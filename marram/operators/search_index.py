@@ -11,8 +11,10 @@ list of its segments.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,35 @@ MAX_SEGMENTS = 8
 _POSTINGS = "token string, place int, id long, at array<int>, bucket int"
 
 
+#: Postings of a batch, about.
+BATCH = 100_000
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of rows (id, words of each column joined by spaces)."""
+    out: tuple[list, list, list, list] = ([], [], [], [])
+
+    def settle() -> pa.RecordBatch:
+        made = [pa.array(x, kind) for x, kind in zip(out, (pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int32())), strict=True)]
+        for x in out:
+            x.clear()
+        return pa.RecordBatch.from_arrays(made, ["token", "place", "id", "at"])
+
+    for batch in batches:
+        ids = batch.column(0).to_pylist()
+        for place, texts in enumerate(batch.columns[1:]):
+            for id_, text in zip(ids, texts.to_pylist(), strict=True):
+                at: dict[str, list[int]] = {}
+                for k, word in enumerate(text.split(" ") if text else ()):
+                    at.setdefault(word, []).append(k)
+                for x, more in zip(out, (at, [place] * len(at), [id_] * len(at), at.values()), strict=True):
+                    x.extend(more)
+                if len(out[0]) >= BATCH:
+                    yield settle()
+    if out[0]:
+        yield settle()
+
+
 class PhraseIndex:
     """The index of ``columns`` of rows with a long ``id``, under ``root``."""
 
@@ -54,16 +85,22 @@ class PhraseIndex:
 
     def _write(self, postings: DataFrame, touched: DataFrame) -> str:
         folder = f"{self.root}/segments/{uuid.uuid4().hex}"
-        dealt = postings.withColumn("bucket", self._bucket(F.col("token"))).repartitionByRange("bucket", "token", "id").sortWithinPartitions("bucket", "token", "id")
-        dealt.write.partitionBy("bucket").parquet(f"{folder}/postings")
+        # Written as they come first: dealing by ranges reads its rows twice.
+        postings.write.parquet(f"{folder}/raw")
+        raw = self.spark.read.schema(postings.schema).parquet(f"{folder}/raw").withColumn("bucket", self._bucket(F.col("token")))
+        raw.repartitionByRange("bucket", "token", "id").sortWithinPartitions("bucket", "token", "id").write.partitionBy("bucket").parquet(f"{folder}/postings")
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/raw")
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
         touched.write.parquet(f"{folder}/touched")
         return folder
 
     def postings_of(self, rows: DataFrame, id_: str = "id") -> DataFrame:
-        """(token, place, id, at): where the words of each column stand; null and wordless texts have none."""
-        cells = F.array(*[F.struct(F.lit(k).alias("place"), F.split(F.trim(tokens(F.col(c).cast("string"))), " ").alias("words")) for k, c in enumerate(self.columns)])
-        words = rows.select(F.col(id_).cast("long").alias("id"), F.explode(cells).alias("c")).select("id", "c.place", F.posexplode("c.words").alias("at", "token")).filter("token <> ''")
-        return words.groupBy("token", "place", "id").agg(F.array_sort(F.collect_list("at")).alias("at"))
+        """(token, place, id, at): where the words of each column stand; null and wordless texts have none.
+
+        Local to a row: nothing is shuffled for it.
+        """
+        texts = rows.select(F.col(id_).cast("long").alias("id"), *[F.trim(tokens(F.col(c).cast("string"))).alias(f"c{k}") for k, c in enumerate(self.columns)])
+        return texts.mapInArrow(_posted, "token string, place int, id long, at array<int>")
 
     def update(self, rows: DataFrame, removed: DataFrame | None = None, id_: str = "id") -> None:
         """Index ``rows`` (new or changed ones, ids unique) and forget the ids of ``removed``."""
