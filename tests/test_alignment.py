@@ -117,3 +117,14 @@ def test_the_original_year_settles_ties(spark):
     df = df.withColumns({"album": F.col("ref_id"), "barcode": F.lit(None).cast("string"), "release_id": F.lit(None).cast("string"), "related": F.lit(True), "tracks": F.array().cast(f"array<{M.TRACK}>")})
     assert [x["ref_id"] for x in M.rank(df, "case_id", earliest=True).orderBy("rank").collect()] == ["b", "c", "a"]
     assert [x["ref_id"] for x in M.rank(df.drop("original_year"), "case_id", earliest=True).orderBy("rank").collect()] == ["c", "a", "b"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nothing_is_aligned_for_other_columns(spark):
+    df = spark.createDataFrame([(1, [], [], "x")], f"case_id int, local_tracks array<{M.TRACK}>, tracks array<{M.TRACK}>, more string")
+    rows = A.aligned(df)
+    assert "Python" not in _plan(rows.select("case_id", "more")) and "Arrow" not in _plan(rows.select("case_id", "more"))
+    assert "ArrowEvalPython" in _plan(rows.select("alignment")) and rows.first()["alignment"] == []
