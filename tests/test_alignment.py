@@ -128,3 +128,14 @@ def test_nothing_is_aligned_for_other_columns(spark):
     rows = A.aligned(df)
     assert "Python" not in _plan(rows.select("case_id", "more")) and "Arrow" not in _plan(rows.select("case_id", "more"))
     assert "ArrowEvalPython" in _plan(rows.select("alignment")) and rows.first()["alignment"] == []
+
+
+def test_single_tracks_are_scored_within_their_row(spark):
+    own = [("Other", "Band", 60_000, None, None), ("Song", "Band", 60_000, None, None), None, ("Song", "Band", 60_000, None, None)]
+    df = spark.createDataFrame([(1, "a", own[:2]), (1, "b", None), (1, "c", own[1:]), (1, "d", own[1:2])], f"case_id int, ref_id string, tracks array<{M.TRACK}>")
+    null = F.lit(None).cast("string")
+    df = df.withColumns({"album": F.lit("Song"), "album_artist": F.lit("Band"), "local_title": F.lit("Song"), "local_artist": F.lit("Band"), "local_duration_ms": F.lit(61_000).cast("long"), "local_isrc": null, "local_acoustid": null, "acoustid": null})
+    rows = M.score_singles(df, ["case_id", "ref_id"])
+    assert "Exchange" not in _plan(rows) and "Generate" not in _plan(rows)
+    # A missing track or list is scored by the album's own names.
+    assert {x["ref_id"]: (round(x["distance"], 6), len(x["signals"])) for x in rows.collect()} == {"a": (round(0.25 / 8.5, 6), 3), "b": (0.0, 2), "c": (0.0, 2), "d": (round(0.25 / 8.5, 6), 3)}
