@@ -130,6 +130,24 @@ def test_nothing_is_aligned_for_other_columns(spark):
     assert "ArrowEvalPython" in _plan(rows.select("alignment")) and rows.first()["alignment"] == []
 
 
+def _answers(spark, rows):
+    df = spark.createDataFrame([(1, s, i, p, a, d) for p, (s, i, a, d) in enumerate(rows)], "case_id int, source string, ref_id string, position int, album string, distance double")
+    return df.withColumns({"barcode": F.lit(None).cast("string"), "release_id": F.lit(None).cast("string"), "year": F.lit(2000), "related": F.lit(True), "n_tracks": F.lit(2)})
+
+
+def test_candidates_are_ranked_in_one_reading(spark):
+    df = _answers(spark, [("musicbrainz", "a", "Kid A", 0.1), ("discogs", "b", "Kid A", 0.2)])
+    for got in (M.rank(df, "case_id"), M.rank(df, "case_id", adjacency=True), M.duplicates(df, "case_id"), M.corroborators(df, "case_id")):
+        assert _plan(got).count("Join") == 0 and not got.inputFiles()
+        assert got.count() == 2
+
+
+def test_sources_may_give_the_same_id(spark):
+    df = _answers(spark, [("musicbrainz", "1", "Kid A", 0.1), ("discogs", "1", "Kid A", 0.2), ("deezer", "2", "Amnesiac", 0.3), ("deezer", "3", None, 0.4)])
+    got = {(x["source"], x["ref_id"]): (x["rank"], x["corroborated_by"], x["is_duplicate_of"]) for x in M.rank(df, "case_id", adjacency=True).collect()}
+    assert got == {("musicbrainz", "1"): (1, ["discogs"], [1]), ("discogs", "1"): (2, ["musicbrainz"], [0]), ("deezer", "2"): (3, [], []), ("deezer", "3"): (4, [], [])}
+
+
 def test_single_tracks_are_scored_within_their_row(spark):
     own = [("Other", "Band", 60_000, None, None), ("Song", "Band", 60_000, None, None), None, ("Song", "Band", 60_000, None, None)]
     df = spark.createDataFrame([(1, "a", own[:2]), (1, "b", None), (1, "c", own[1:]), (1, "d", own[1:2])], f"case_id int, ref_id string, tracks array<{M.TRACK}>")
