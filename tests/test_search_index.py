@@ -67,3 +67,17 @@ def test_a_search_reads_the_buckets_of_its_words(spark, tmp_path):
     assert plan.toString().count("PartitionFilters: [bucket") == 1
     assert [x["id"] for x in index.search("all w7").collect()] == [7]
     assert index.search("all").count() == 400
+
+
+def test_postings_are_sorted_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "BLOCKS_A_TASK", 16)
+    index = I.PhraseIndex(spark, f"file://{tmp_path}/i", ("title",), buckets=4)
+    rows = spark.range(0, 3000, 1, 2).select("id", F.concat_ws(" ", F.lit("all of all"), F.concat(F.lit("w"), (F.col("id") % 5).cast("string"))).alias("title"))
+    index.update(rows)
+    stored = spark.read.parquet(f"{index.segments()[0]}/postings")
+    # 15,000 places of 7 words in blocks of I.BLOCK, and no file of more blocks than a task sorts.
+    assert stored.count() < 200 and stored.agg(F.max(F.size("at"))).first()[0] <= I.BLOCK + 1
+    assert stored.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 40
+    assert index.search("all of all w3").count() == 600 and index.search("of all all").count() == 0
+    got = {(x["token"], x["id"]): x["at"] for x in index.postings(["all", "w0"]).filter("id in (10, 11)").collect()}
+    assert got == {("all", 10): [0, 2], ("all", 11): [0, 2], ("w0", 10): [3]}
