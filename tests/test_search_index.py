@@ -81,3 +81,9 @@ def test_postings_are_sorted_in_blocks(spark, tmp_path, monkeypatch):
     assert index.search("all of all w3").count() == 600 and index.search("of all all").count() == 0
     got = {(x["token"], x["id"]): x["at"] for x in index.postings(["all", "w0"]).filter("id in (10, 11)").collect()}
     assert got == {("all", 10): [0, 2], ("all", 11): [0, 2], ("w0", 10): [3]}
+
+
+def test_words_of_plain_and_marked_texts(spark):
+    texts = ["AC-DC  Live!", "", " ", "Björk BJÖRK", "Á", "東京 so", "l'Été x1", "\tTab\x00nul", None, "İstanbul"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.trim(C.tokens(F.col("t"))).alias("w"))
+    assert {x["t"]: x["w"] for x in df.collect()} == {t: None if t is None else " ".join(C.wanted_words(t) or []) for t in texts}
