@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import map_texts
 
-#: Pieces and neighbour pairs remembered in a worker; a full table is emptied.
-MEMO = 500_000
+#: Neighbour pairs and pieces (some 200 bytes each) remembered in a task; a full table is emptied.
+MEMO, PIECES = 500_000, 250_000
 
 #: Fixed value: the pattern that _FAST stands for on characters below U+0250.
 _FAST_OF = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -63,7 +64,8 @@ class Encoder:
         self.size_of = {i: len(b) for b, i in ranks.items()}
         self.widest = max(map(len, ranks))
         self.fits: dict[int, bool] = {}
-        self.pieces: dict[str, tuple[str, bytes, list[int]]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.name_of = {i: str(i) for i in self.text_of}
         self.shorter: dict[int, int] = {}
         self.spines: dict[int, tuple[list, list] | None] = {}
         self.automaton = ahocorasick.Automaton()
@@ -206,42 +208,27 @@ class Encoder:
     def split(self, text: str) -> list[str]:
         return (self.pattern if _BEYOND.search(text) else self.quick).findall(text)
 
-    def _piece(self, piece: str) -> tuple[str, bytes, list[int]]:
-        """Ids of a piece as text, the bytes that they decode to, the ids."""
-        ids = self.encode_bytes(piece.encode("utf-8", "replace"))
-        if len(self.pieces) >= MEMO:
-            self.pieces.clear()
-        found = (",".join(map(str, ids)), self.decode(ids), ids)
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        """Ids of a piece."""
+        ids = tuple(self.encode_bytes(piece.encode("utf-8", "replace")))
         if len(piece) <= 64:
-            self.pieces[piece] = found
-        return found
+            if len(self.pieces) >= PIECES:
+                self.pieces.clear()
+            self.pieces[piece] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
-        get = self.pieces.get
-        return [i for p in self.split(text) for i in (get(p) or self._piece(p))[2]]
+        get, make = self.pieces.get, self._piece
+        return [i for p in self.split(text) for i in (get(p) or make(p))]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def digest(self, text: str) -> tuple[list[int], str, str]:
         """The ids, SHA-256 of the ids' decimal form, SHA-256 of the decoded bytes."""
-        get, make = self.pieces.get, self._piece
-        found = [get(p) or make(p) for p in self.split(text)]
-        ids, decoded = hashlib.sha256(), hashlib.sha256()
-        ids.update(",".join([f[0] for f in found]).encode())
-        decoded.update(b"".join([f[1] for f in found]))
-        return [i for f in found for i in f[2]], ids.hexdigest(), decoded.hexdigest()
-
-
-_loaded: dict[tuple[str, str], Encoder] = {}
-
-
-def encoder(vocabulary: str, pattern: str, file_bytes: bytes) -> Encoder:
-    """The worker's encoder; built once a Python process."""
-    key = (vocabulary, pattern)
-    if key not in _loaded:
-        _loaded[key] = Encoder(load_ranks(file_bytes), pattern)
-    return _loaded[key]
+        ids = self.encode(text)
+        names = ",".join(map(self.name_of.__getitem__, ids))
+        return ids, hashlib.sha256(names.encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
 
 
 def _tables(spark: SparkSession, vocabulary: str):
@@ -255,9 +242,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
     data = _tables(docs.sparkSession, vocabulary)
 
     @F.pandas_udf("array<int>")
-    def run(s: pd.Series) -> pd.Series:
-        e = encoder(vocabulary, pattern, data.value)
-        return pd.Series([e.encode(t) if isinstance(t, str) else [] for t in s])
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        e = Encoder(load_ranks(data.value), pattern)
+        for s in parts:
+            yield pd.Series([e.encode(t) if isinstance(t, str) else [] for t in s])
 
     return docs.withColumn(column, run(F.col(text).cast("string")))
 
@@ -267,9 +255,10 @@ def decode_documents(docs: DataFrame, vocabulary: str, pattern: str, ids: str =
     data = _tables(docs.sparkSession, vocabulary)
 
     @F.pandas_udf("binary")
-    def run(s: pd.Series) -> pd.Series:
-        e = encoder(vocabulary, pattern, data.value)
-        return pd.Series([e.decode(list(x)) if x is not None else b"" for x in s])
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        e = Encoder(load_ranks(data.value), pattern)
+        for s in parts:
+            yield pd.Series([e.decode(list(x)) if x is not None else b"" for x in s])
 
     return docs.withColumn(column, run(ids))
 
@@ -279,12 +268,13 @@ def digest_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
 
     Encodes and decodes each whole text in the task that reads it, one text at a time; null
     and empty texts have no ids, repeated rows are encoded each, an empty table gives none.
+    The encoder (0.1 s to build) goes with its task: the worker serves other stages next.
     """
     data = _tables(docs.sparkSession, vocabulary)
     fields = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if with_ids else {})
 
     def make():
-        e = encoder(vocabulary, pattern, data.value)
+        e = Encoder(load_ranks(data.value), pattern)
 
         def run(texts: list[str]) -> dict:
             out: dict = {name: [] for name in fields}

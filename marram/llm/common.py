@@ -8,12 +8,15 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Texts are handled in chunks of about this many characters inside a task.
 CHUNK_CHARS = 250_000
+#: So many bytes of text of an Arrow batch (10,000 rows) become Python strings at a time.
+SLICE_BYTES = 4 * CHUNK_CHARS
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,10 +75,21 @@ _ARROW = {
 }
 
 
+def slices(batch: pa.RecordBatch, at: int):
+    """The rows of ``batch`` in runs of about SLICE_BYTES of column ``at``, a row at least."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(total):
+        before = total[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(total, before + SLICE_BYTES, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def map_texts(rows: DataFrame, make: Callable[[], Callable[[list[str]], dict]], fields: dict[str, str], text: str = "_text") -> DataFrame:
     """``rows`` without ``text``, and ``fields`` as a function of the texts gives them.
 
-    ``make`` is called once a task for that function, which takes the texts of a batch (null
+    ``make`` is called once a task for that function, which takes the texts of a slice (null
     as empty) and gives a list or array a field.  All other columns pass by as Arrow, so
     they may have any type and a long beside a null keeps its value.
     """
@@ -85,9 +99,10 @@ def map_texts(rows: DataFrame, make: Callable[[], Callable[[list[str]], dict]],
         own = make()
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            got = own([t or "" for t in batch.column(at).to_pylist()])
-            made = [pa.array(got[n], _ARROW[kind]) for n, kind in fields.items()]
-            yield pa.RecordBatch.from_arrays([c for i, c in enumerate(batch.columns) if i != at] + made, schema.names)
+            for part in slices(batch, at):
+                got = own([t or "" for t in part.column(at).to_pylist()])
+                made = [pa.array(got[n], _ARROW[kind]) for n, kind in fields.items()]
+                yield pa.RecordBatch.from_arrays([c for i, c in enumerate(part.columns) if i != at] + made, schema.names)
 
     return rows.mapInArrow(run, schema)
 
